@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, langid, packing, sql, tokencount
+from plumbline.llm import decontam, langid, packing, sql, tokencount, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,15 +28,21 @@ def op1_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no label may be learned from."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op3_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    found = langid.predict(docs, langid.train(docs.where(~F.coalesce(held_out(), F.lit(False)))))
+    found = langid.predict(docs, langid.train(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels").where(~held_out())))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "expected_toxic", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(
