@@ -26,4 +26,15 @@ SELECT doc.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_
 FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
-SQL = {"op5_aho_corasick_decontamination": OP5}
+OP8 = """
+WITH own AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id, count(*) AS n FROM own WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT own.page_id AS page_id, own.payload_bytes AS payload_bytes, own.payload_digest AS payload_digest,
+       CASE WHEN first_id < own.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < own.page_id THEN first_id END AS refers_to
+FROM own LEFT JOIN firsts ON own.payload_digest = firsts.payload_digest AND own.payload_bytes >= 100
+"""
+
+SQL = {"op8_sharded_warc": OP8, "op5_aho_corasick_decontamination": OP5}
