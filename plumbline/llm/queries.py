@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, langid, media, packing, simhash, sql, tokencount, toxicity, warc
+from plumbline.llm import decontam, langid, licences, media, packing, simhash, sql, tokencount, toxicity, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,11 @@ def op5_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     )
 
 
+def op6_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "digest", "license_id", "notice_lines", F.array_join("notice_ids", ",").alias("notice_ids"))
+
+
 def op7_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
@@ -81,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.SQL)
+    return sql.SQL | {"op6_licence_digests": licences.oracle_sql()}
