@@ -4,7 +4,8 @@ Fitting takes a bounded sample of labelled documents: at most about
 ``sample_rows`` of each class, chosen by the hash of their id, so that it may be
 broadcast. Over the sample, words and their prefixes of three to six letters are
 counted by class; those that a likelihood-ratio test finds bound to toxic
-documents become the ``max_features`` features. A word of a toxic document is
+documents, at ``least_lift`` times the rate of clean ones, are the features, at
+most ``max_features`` of them. A word of a toxic document is
 labelled toxic if one of its features occurs in toxic documents at least
 ``purity`` of the time, any other word clean. A chain with two states is fitted
 to these labelled tokens by maximum likelihood; gradients are marginals of the
@@ -46,6 +47,8 @@ WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Tokens of a training sequence.
 SEGMENT = 64
+#: Training sequences whose expectations are computed at once.
+AT_ONCE = 1024
 #: One in so many training sequences without features is used, with that weight.
 THIN = 16
 #: Words and counts that a worker keeps before it hands them on or forgets them.
@@ -183,6 +186,23 @@ class Model:
         return found
 
 
+def _expectations(emission: np.ndarray, trans: np.ndarray, valid: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals of the toxic state, weighted sums of the pairs of states) by forward-backward over sequences."""
+    own = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], 2)
+    forward, back = np.empty_like(own), np.ones_like(own)
+    forward[:, 0] = own[:, 0] / own[:, 0].sum(1, keepdims=True)
+    for t in range(1, SEGMENT):
+        nxt = forward[:, t - 1] @ trans * own[:, t]
+        forward[:, t] = nxt / nxt.sum(1, keepdims=True)
+    for t in range(SEGMENT - 2, -1, -1):
+        prev = (own[:, t + 1] * back[:, t + 1]) @ trans.T
+        back[:, t] = np.where(valid[:, t + 1, None], prev / prev.sum(1, keepdims=True), 1.0)
+    both = forward * back
+    joint = forward[:, :-1, :, None] * trans[None, None] * (own * back)[:, 1:, None, :]
+    joint = joint / joint.sum((2, 3), keepdims=True) * (valid[:, 1:] * weights[:, None])[..., None, None]
+    return both[..., 1] / both.sum(2) * valid, joint.sum((0, 1))
+
+
 def fit_chain(model: Model, docs: list[tuple[int, int, list[int], list[list[int]]]], rounds: int = 80) -> None:
     """Maximum likelihood of the labelled tokens of (toxic, words, places, features) rows by Adam."""
     rows, cols, entry_token, entry_feature, labels, lengths, weights = [], [], [], [], [], [], []
@@ -221,21 +241,13 @@ def fit_chain(model: Model, docs: list[tuple[int, int, list[int], list[list[int]
         emission = np.full((segments, SEGMENT), theta[kinds])
         emission[rows, cols] += np.bincount(entry_token, theta[entry_feature], len(rows))
         trans = np.exp(theta[kinds + 1 :].reshape(2, 2))
-        own = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], 2)
-        forward, back = np.empty_like(own), np.ones_like(own)
-        forward[:, 0] = own[:, 0] / own[:, 0].sum(1, keepdims=True)
-        for t in range(1, SEGMENT):
-            nxt = forward[:, t - 1] @ trans * own[:, t]
-            forward[:, t] = nxt / nxt.sum(1, keepdims=True)
-        for t in range(SEGMENT - 2, -1, -1):
-            prev = (own[:, t + 1] * back[:, t + 1]) @ trans.T
-            back[:, t] = np.where(pair_valid[:, t, None], prev / prev.sum(1, keepdims=True), 1.0)
-        both = forward * back
-        p = (both[..., 1] / both.sum(2)) * valid
-        joint = forward[:, :-1, :, None] * trans[None, None] * (own * back)[:, 1:, None, :]
-        joint = joint / joint.sum((2, 3), keepdims=True) * (pair_valid * weights[:, None])[..., None, None]
-        gap = (truth - p) * weights[:, None] * valid
-        grad = np.concatenate([np.bincount(entry_feature, gap[rows, cols][entry_token], kinds), [gap.sum()], (observed - joint.sum((0, 1))).ravel()])
+        gap, expected = np.empty_like(emission), np.zeros((2, 2))
+        for at in range(0, segments, AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            p, pairs_of = _expectations(emission[part], trans, valid[part], weights[part])
+            gap[part] = (truth[part] - p) * weights[part, None] * valid[part]
+            expected += pairs_of
+        grad = np.concatenate([np.bincount(entry_feature, gap[rows, cols][entry_token], kinds), [gap.sum()], (observed - expected).ravel()])
         grad = grad / total * 1e3 - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad * grad
         theta = theta + 0.3 * (1 - turn / (rounds + 1)) * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.98**turn)) + 1e-8)
@@ -279,7 +291,7 @@ def _evidence(shared):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, chain_rows: int = 1_500, max_features: int = 4_096, purity: float = 0.5, least_ratio: float = 30.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, chain_rows: int = 1_500, max_features: int = 4_096, purity: float = 0.9, least_ratio: float = 30.0, least_lift: float = 3.0) -> Model:
     """Fit on at most about ``sample_rows`` labelled documents of each class, the chain on ``chain_rows`` of each."""
     context = docs.sparkSession.sparkContext
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("long").alias("toxic"))
@@ -309,8 +321,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # shares as they are among all labels, whatever the sample's balance
     weight = F.col("b") / n_toxic * base / (F.col("b") / n_toxic * base + F.col("a") / n_clean * (1 - base))
-    rated = counted.where("b >= 3").select("feature", (2 * (part(F.col("a"), n * (1 - rate)) + part(F.col("b"), n * rate))).alias("ratio"), weight.alias("pure"), (F.col("b") / n).alias("own"))
-    kept = rated.where((F.col("ratio") >= least_ratio) & (F.col("own") > rate)).orderBy(F.desc("ratio"), "feature").limit(max_features).collect()
+    lift = F.col("b") * n_clean / (F.greatest("a", F.lit(1)) * n_toxic)
+    rated = counted.where((F.col("b") >= 3) & (lift >= least_lift)).select("feature", (2 * (part(F.col("a"), n * (1 - rate)) + part(F.col("b"), n * rate))).alias("ratio"), weight.alias("pure"))
+    kept = rated.where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "feature").limit(max_features).collect()
     model.features = {row["feature"]: i for i, row in enumerate(kept)}
     model.seeds = {i for i, row in enumerate(kept) if row["pure"] >= purity}
     model.weights = np.zeros(len(kept))
