@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,3 +65,16 @@ def pairs(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         left, right = batch.column(0), batch.column(1)
         for i in range(batch.num_rows):
             yield left[i].as_py(), right[i].as_py()
+
+
+def kept(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows whose text the task's judge keeps, with all columns as they came; no join and no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = judge()
+        for batch in stream:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([keep(texts[i].as_py()) for i in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import batches, pairs
+from plumbline.llm.common import batches, kept, pairs
 
 #: A-Z to a-z, ASCII letters and digits and all bytes of other characters to themselves, the rest to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -139,3 +139,20 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     blocks = [context.broadcast(block) for block in item_blocks(items, item_col, item_text_col, max_bytes)]
     kind = docs.schema[id_col].dataType
     return docs.select(id_col, text_col).mapInArrow(scanner(blocks, size, to_arrow_type(kind)), SCHEMA.format(id=kind.simpleString()))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 10, max_bytes: int = 8 << 20) -> DataFrame:
+    """The rows without a hit, with all columns as they came."""
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(block) for block in item_blocks(items, item_col, item_text_col, max_bytes)]
+
+    def judge(block):
+        def begin():
+            machine = Automaton(block.value, size)
+            return lambda text: not machine.scan(f" {b' '.join(words(text)).decode('latin-1')} ")
+
+        return begin
+
+    for block in blocks:
+        docs = kept(docs, text_col, judge(block))
+    return docs
