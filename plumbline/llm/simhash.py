@@ -188,4 +188,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = groups(docs, id_col, text_col, shingle, radius)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = written(kept, "kept-ids")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([id_col, text_col])
+    # shuffled at every size: the kept ids grow with the documents, so they are never broadcast
+    own = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col, text_col])
+    nameless = kept.where("kept_id is null").limit(1)
+    return own.unionByName(docs.where(F.col(id_col).isNull()).join(F.broadcast(nameless), F.lit(True), "left_semi").dropDuplicates([text_col]))
