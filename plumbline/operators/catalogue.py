@@ -38,7 +38,11 @@ def facet_values(columns: list[str]) -> dict[str, Column]:
 def facets(pool: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(facet_key, facet_label, value, count, facet_order, value_order) in one pass over the unfiltered pool."""
     values = facet_values(pool.columns)
-    rows = F.flatten(F.array(*(F.transform(values[key], lambda v, key=key, label=label, n=n: F.struct(F.lit(n).alias("facet_order"), F.lit(key).alias("facet_key"), F.lit(label).alias("facet_label"), v.alias("value"))) for n, (key, label) in enumerate(FACETS, 1))))
+
+    def labelled(n: int, key: str, label: str) -> Column:
+        return F.transform(values[key], lambda v: F.struct(F.lit(n).alias("facet_order"), F.lit(key).alias("facet_key"), F.lit(label).alias("facet_label"), v.alias("value")))
+
+    rows = F.flatten(F.array(*(labelled(n, key, label) for n, (key, label) in enumerate(FACETS, 1))))
     counted = pool.select(*by, F.inline(rows)).groupBy(*by, "facet_order", "facet_key", "facet_label", "value").agg(F.count("*").alias("count"))
     window = Window.partitionBy(*by, "facet_order").orderBy(F.desc("count"), "value")
     return counted.withColumn("value_order", F.row_number().over(window).cast("long"))

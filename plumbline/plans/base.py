@@ -166,4 +166,6 @@ def with_(names: list[str], select: str) -> str:
     for name in names:
         need(name)
     own = ",\n".join(f"{name} AS ({RELATIONS[name][1]})" for name in order)
+    if order and select.startswith("WITH "):
+        return f"WITH {own},\n{select.removeprefix('WITH ')}"
     return f"WITH {own}\n{select}" if order else select

@@ -188,9 +188,9 @@ def named(spark, sf):
 CAT = f"""cat AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_name AS title, coalesce(s_name, '') AS author FROM part LEFT JOIN supplier ON p_partkey = s_suppkey),
 asked AS (SELECT doc_id AS query_id, CASE WHEN doc_id::INT % 2 = 0 THEN title ELSE concat('books by ', author) END AS query FROM cat WHERE author <> ''),
 ct AS (SELECT doc_id, array_to_string({tok('title')}, ' ') AS t, array_to_string({tok('author')}, ' ') AS a FROM cat),
-at AS (SELECT query_id, {tok('query')} AS qt FROM asked),
+askt AS (SELECT query_id, {tok('query')} AS qt FROM asked),
 exact AS (SELECT query_id, doc_id, CASE WHEN t <> '' AND t = array_to_string(qt, ' ') THEN 1 WHEN a <> '' AND contains(concat(' ', array_to_string(qt, ' '), ' '), concat(' ', a, ' ')) THEN 2
- WHEN t <> '' AND len(qt) >= 3 AND len(list_filter(range(1, len(qt) - 1), lambda i: contains(t, array_to_string(list_slice(qt, i, i + 2), ' ')))) > 0 THEN 3 END AS reason_order FROM at, ct WHERE len(qt) > 0)"""
+ WHEN t <> '' AND len(qt) >= 3 AND len(list_filter(range(1, len(qt) - 1), lambda i: contains(t, array_to_string(list_slice(qt, i, i + 2), ' ')))) > 0 THEN 3 END AS reason_order FROM askt, ct WHERE len(qt) > 0)"""
 
 
 @query("R8_exact_find", "", f"WITH {CAT} SELECT query_id, doc_id, (['title', 'author', 'phrase'])[reason_order] AS reason FROM exact WHERE reason_order IS NOT NULL")
@@ -297,7 +297,7 @@ def a3(spark, sf):
     return r.where(C.matching(r.columns, wanted)).select("doc_id")
 
 
-@query("A6_cards", "bmtop rec", "SELECT query_id, rank, doc_id, title, author, year, format, language, location, available::BIGINT AS available, round_even(score, 4) AS score FROM bmtop JOIN rec USING (doc_id)")
+@query("A6_cards", "bmtop rec", "SELECT query_id, rank, doc_id, title, author, year, format, language, location, available::BIGINT AS available, (n // 100 + (n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1))::INT) / 10000.0 AS score FROM (SELECT *, round(score * 1000000)::BIGINT AS n FROM bmtop) JOIN rec USING (doc_id)")
 def a6(spark, sf):
     hits = bm25(spark, sf).join(records(spark, sf), "doc_id")
     fields = ("rank", "doc_id", "title", "author", "year", "format", "language", "location", "available", "score")
@@ -592,8 +592,8 @@ def p11(spark, sf):
 
 @query("P12_montecarlo", "lanes grades rel q", f"""WITH {EXTRA}, runs AS (SELECT t AS trial, r::DOUBLE AS rate FROM range(20) x(t), (SELECT unnest([0.0, 0.25, 1.0]) AS r)),
 r3 AS (SELECT trial, rate, query_id, doc_id FROM rel, runs UNION SELECT trial, rate, query_id, doc_id FROM extra, runs WHERE {UNIFORM.format("concat(trial, '|', query_id, '|', doc_id)")} < rate)
-SELECT lane, rate, round(avg(coalesce(s, 0) / nq), 6) AS recall FROM (SELECT DISTINCT lane FROM lanes), runs LEFT JOIN (SELECT lane, trial, rate, sum(h / n) AS s FROM (
- SELECT lane, trial, rate, query_id, count(*) AS h FROM lanes JOIN r3 USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL) JOIN (SELECT trial, rate, query_id, count(*) AS n FROM r3 GROUP BY ALL) USING (trial, rate, query_id) GROUP BY ALL) USING (lane, trial, rate), (SELECT count(*) AS nq FROM q) GROUP BY lane, rate""")
+SELECT lane, rate, round(avg(coalesce(s, 0) / nq), 6) AS recall FROM (SELECT DISTINCT lane FROM lanes) CROSS JOIN runs LEFT JOIN (SELECT lane, trial, rate, sum(h / n) AS s FROM (
+ SELECT lane, trial, rate, query_id, count(*) AS h FROM lanes JOIN r3 USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL) JOIN (SELECT trial, rate, query_id, count(*) AS n FROM r3 GROUP BY ALL) USING (trial, rate, query_id) GROUP BY ALL) USING (lane, trial, rate) CROSS JOIN (SELECT count(*) AS nq FROM q) GROUP BY lane, rate""")
 def p12(spark, sf):
     every = lanes(spark, sf)
     return pooling.monte_carlo(queries(spark, sf), every, relevant(spark, sf), unjudged(spark, sf, every), [0.0, 0.25, 1.0], 20)

@@ -1,0 +1,219 @@
+"""Operators on small literal frames, against values worked out by hand."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline import cli
+from plumbline.functions import text as T
+from plumbline.functions import vectors as V
+from plumbline.operators import catalogue as C
+from plumbline.operators import chunking, cuts, enrichment, index, metrics, pooling
+from plumbline.operators import ranking as R
+from plumbline.sources import files
+from plumbline.streaming import ingest as stream
+
+
+def one(spark, column, **values):
+    names = list(values)
+    df = spark.createDataFrame([tuple(values.values())], names)
+    return df.select(column.alias("x")).first()["x"]
+
+
+def hits(spark, rows):
+    return spark.createDataFrame(rows, "query_id string, doc_id string, score double, rank long")
+
+
+def test_text(spark):
+    assert one(spark, T.tokens(F.col("t")), t="The Ship, THAT sank! é2") == ["ship", "sank", "2"]
+    assert one(spark, T.sentences(F.col("t")), t="One. Two!  Three") == ["One.", "Two!", "Three"]
+    assert one(spark, T.paragraphs(F.col("t")), t=" a\n \n b\n\n") == ["a", "b"]
+    assert one(spark, T.estimate_tokens(F.col("t")), t="a b  c\n") == 3
+    assert one(spark, T.runs(T.tokens(F.col("t")), 3), t="secret life bees hive") == ["secret life bees", "life bees hive"]
+    assert one(spark, T.runs(T.tokens(F.col("t")), 3), t="bees") == []
+    assert one(spark, T.stem(F.col("t")), t="gardening") == "garden"
+    assert one(spark, T.clean_subjects(F.col("t")), t=["Cats", "cats ", "641.5", "x" * 61, "nyt:top", "Dogs"]) == ["Cats", "Dogs"]
+    assert one(spark, T.snippet(F.col("t"), 12), t="alpha beta gamma") == "alpha ..."
+    assert one(spark, T.decade(F.col("t")), t="1987") == "1980s"
+    assert one(spark, T.record_text(F.lit(""), F.lit("1990"), F.lit(None).cast("string"), F.array(F.lit("a"), F.lit("b"))), t=1) == "Author: [unknown]\nPublished: 1990\nSubjects: a; b"
+
+
+def test_chunking(spark):
+    assert chunking.split("", 10, 2) == []
+    text = "\n\n".join(f"p{i} " + "w " * 6 for i in range(6))
+    parts = chunking.split(text, 20, 9)
+    assert len(parts) > 2 and parts[1].startswith(parts[0].split("\n\n")[-1])
+    long = " ".join(f"Sentence number {i} here." for i in range(50))
+    assert all(chunking.size(p) <= 20 for p in chunking.split(long, 20, 0))
+    df = spark.createDataFrame([(1, "T", text), (2, None, None)], "doc_id int, title string, text string")
+    rows = chunking.chunk(df, 20, 9).collect()
+    assert [r.chunk_id for r in rows] == [f"1:{i}" for i in range(len(parts))]
+    with pytest.raises(ValueError):
+        chunking.chunk(df, 10, 10)
+
+
+def test_bm25(spark):
+    docs = spark.createDataFrame([("a", "Yeast", "Yeast makes carbon dioxide in dough."), ("b", "Hastings", "The battle of 1066."), ("c", "", "")], "doc_id string, title string, text string")
+    asked = spark.createDataFrame([("1", "carbon dioxide dough"), ("2", "nothing shared"), ("3", "the of")], "query_id string, query string")
+    found = R.bm25(asked, docs, 5).collect()
+    assert [(r.query_id, r.doc_id, r["rank"]) for r in found] == [("1", "a", 1)]
+    twice = R.bm25(spark.createDataFrame([("1", "carbon"), ("2", "carbon carbon")], "query_id string, query string"), docs, 5)
+    score = {r.query_id: r.score for r in twice.collect()}
+    assert abs(score["2"] - 2 * score["1"]) < 2e-6
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([("d0", [1.0, 0.0, 0.0]), ("d1", [0.0, 1.0, 0.0]), ("d2", [0.6, 0.8, 0.0])], "doc_id string, vector array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<double>")
+    want = [("d0", 1.0, 1), ("d2", 0.6, 2), ("d1", 0.0, 3)]
+    for found in (R.cosine(asked, rows, 9), R.cosine_blocks(asked, rows, 9)):
+        assert [(r.doc_id, r.score, r["rank"]) for r in found.orderBy("rank").collect()] == want
+    assert one(spark, V.normalise(F.array(F.lit(0.0), F.lit(0.0))), t=1) == [0.0, 0.0]
+    code = one(spark, V.int8(F.array(F.lit(-0.5), F.lit(0.25))), t=1)
+    assert code.codes == [-127, 64]
+
+
+def test_fusion(spark):
+    lane = lambda ids: hits(spark, [("q", d, 1.0, i + 1) for i, d in enumerate(ids)])
+    order = lambda *lists: [r.doc_id for r in R.rrf([lane(x) for x in lists]).orderBy("rank").collect()]
+    assert order("ab", "cb")[0] == "b"
+    assert order("abc", "cba") == ["a", "c", "b"]
+    assert R.rrf([lane("a"), lane("a")]).first().score == round(2 / 61, 6)
+
+
+def test_rerank_keeps_slots(spark):
+    ranked = hits(spark, [("q", d, 9.0 - i, i + 1) for i, d in enumerate("abcde")])
+    scores = spark.createDataFrame([("q", "a", 0.1), ("q", "c", 0.9), ("q", "e", 5.0)], "query_id string, doc_id string, second double")
+    found = R.rerank(ranked, scores, 4).orderBy("rank").collect()
+    assert [r.doc_id for r in found] == ["c", "b", "a", "d", "e"]
+    assert {r.doc_id: r.score for r in found}["c"] == 7.0
+
+
+def test_exact_and_promote(spark):
+    cat = spark.createDataFrame([("1", "The Secret Life of Bees", "Sue Monk Kidd"), ("2", "The Secret Life of Mermaids", "A B"), ("3", "Joy of Cooking", "Irma Rombauer"), ("4", "Joy of Cooking Today", "Sue Monk Kidd")], "doc_id string, title string, author string")
+    asked = spark.createDataFrame([("t", "secret life of bees"), ("a", "books by sue monk kidd"), ("p", "about joy cooking today ok"), ("n", "monk"), ("s", "the of")], "query_id string, query string")
+    found = {(r.query_id, r.doc_id): r.reason for r in R.exact_matches(asked, cat).collect()}
+    assert found == {("t", "1"): "title", ("a", "1"): "author", ("a", "4"): "author", ("p", "4"): "phrase"}
+    ranked = hits(spark, [("a", "2", 0.9, 1), ("a", "4", 0.5, 2)])
+    rows = R.promote(ranked, R.exact_matches(asked.where("query_id = 'a'"), cat), 1).orderBy("rank").collect()
+    assert [(r.doc_id, r.score, r.reason) for r in rows] == [("1", 0.0, "author"), ("2", 0.9, None), ("4", 0.5, "author")]
+
+
+def test_collapse_filter_cut_page(spark):
+    rows = hits(spark, [("q", str(i), 1.0 - i / 300, i + 1) for i in range(250)]).withColumn("series", F.when(F.col("rank") <= 4, "s").otherwise(F.col("doc_id")))
+    first = R.collapse(rows, "series").orderBy("rank").collect()
+    assert (first[0].repeats, first[0]["rank"], first[1].doc_id, first[1]["rank"]) == (4, 1, "4", 2)
+    page = R.pool_filter_cut_page(rows, F.col("rank") % 2 == 0, page=2).collect()
+    assert sorted(r["rank"] for r in page) == list(range(11, 21)) and page[0].total == 20
+    late = R.pool_filter_cut_page(rows, F.col("rank") > 195)
+    assert late.count() == 5
+
+
+def test_facets(spark):
+    rows = spark.createDataFrame([("1", "eAudiobook", "1987", True, 1, None, "A", "en"), ("2", "Book", "x", False, 0, "event", "A", ""), ("3", "Book", None, None, 2, None, None, "en")], "doc_id string, format string, year string, fiction boolean, available int, record_type string, location string, language string")
+    found = {(r.facet_key, r.value): (r["count"], r.value_order) for r in C.facets(rows).collect()}
+    assert found[("format", "Book")] == (2, 1) and found[("availability", "Available online")] == (1, 2)
+    assert found[("record_type", "Events")] == (1, 2) and ("language", "") not in found and found[("fiction", "Non-fiction")] == (2, 1)
+    keep = lambda f: sorted(r.doc_id for r in rows.where(C.matching(rows.columns, f)).collect())
+    assert keep({"format": ["Book", "eAudiobook"], "language": ["en"]}) == ["1", "3"]
+    assert keep({"nope": ["x"], "format": []}) == ["1", "2", "3"]
+    assert one(spark, C.missing_terms(F.col("q"), F.col("t")), q="cycling handbook handbook", t="Cycling") == ["handbook"]
+
+
+def test_cuts(spark):
+    rows = hits(spark, [("q", str(i), s, i + 1) for i, s in enumerate([1.0, 0.95, 0.6, 0.25])] + [("o", "x", 0.1, 1), ("f", "x", 0.5, 1), ("f", "y", 0.5, 2)])
+    kept = lambda df: {q: sum(1 for r in df.collect() if r.query_id == q) for q in "qof"}
+    assert kept(cuts.largest_gap(rows)) == {"q": 3, "o": 1, "f": 1}  # equal gaps of 0.35: the later one
+    assert kept(cuts.relative(rows, 0.9)) == {"q": 2, "o": 1, "f": 2}
+    assert kept(cuts.floor(rows, 0.15)) == {"q": 4, "o": 0, "f": 2}
+    assert kept(cuts.share_of_spread(rows, 0.5)) == {"q": 2, "o": 1, "f": 2}
+    assert kept(cuts.fraction_of_top(rows, 0.98)) == {"q": 1, "o": 1, "f": 2}
+
+
+def test_metrics(spark):
+    asked = spark.createDataFrame([("q",), ("none",), ("empty",)], "query_id string")
+    rel = spark.createDataFrame([("q", "a"), ("q", "d"), ("empty", "z")], "query_id string, doc_id string")
+    rows = {r.query_id: r for r in metrics.per_query(asked, hits(spark, [("q", "x", 1.0, 1), ("q", "a", 0.5, 2), ("none", "a", 1.0, 1)]), rel).collect()}
+    assert rows["q"].recall_5 == 0.5 and rows["q"].mrr_10 == 0.5 and rows["none"].ndcg_10 == 0.0 and rows["empty"].mrr_10 == 0.0
+    perfect = metrics.per_query(asked, hits(spark, [("q", "a", 1.0, 1), ("q", "d", 0.5, 2)]), rel).where("query_id = 'q'").first()
+    assert abs(perfect.ndcg_10 - 1) < 1e-12
+    grid = spark.createDataFrame([(0.0, "a", 1.0), (0.0, "b", 0.0), (1.0, "a", 0.0), (1.0, "b", 1.0)], "w double, query_id string, value double")
+    assert {r.query_id: (r.w, r.held) for r in metrics.leave_one_out(grid).collect()} == {"a": (1.0, 0.0), "b": (0.0, 0.0)}
+
+
+def test_pools(spark):
+    lanes = hits(spark, [("q", "a", 1.0, 1), ("q", "b", 0.5, 2)]).withColumn("lane", F.lit("x")).unionByName(hits(spark, [("q", "b", 1.0, 1)]).withColumn("lane", F.lit("y")))
+    assert {r.lane: r.only_here for r in pooling.unique_to_lane(lanes).collect()} == {"x": 1, "y": 0}
+    graded = spark.createDataFrame([("q", "a", 2), ("q", "gone", 0)], "query_id string, doc_id string, grade int")
+    pooled = pooling.pool(lanes)
+    assert pooled.count() == 2
+    assert {(r.doc_id, r.restored) for r in pooling.keep_judged(pooled, graded).collect()} == {("a", False), ("b", False), ("gone", True)}
+    asked = spark.createDataFrame([("q",), ("w",)], "query_id string")
+    rel, extra = graded.where("grade > 1"), spark.createDataFrame([("q", "b")], "query_id string, doc_id string")
+    found = {(r.lane, r.rate): r.recall for r in pooling.monte_carlo(asked, lanes, rel, extra, [0.0, 1.0], 3).collect()}
+    assert found == {("x", 0.0): 0.5, ("y", 0.0): 0.0, ("x", 1.0): 0.5, ("y", 1.0): 0.25}
+    assert {r.lane: r.recall for r in pooling.recall_with(asked, lanes, rel, extra, keys=("lane",)).collect()} == {"x": 0.5, "y": 0.25}
+
+
+def test_enrichment(spark):
+    items = spark.createDataFrame([("1", "Bee Keeping Basics", "r"), ("2", "Other Thing Here", "r")], "item_id string, title string, record string")
+    made = enrichment.fake(items.where("item_id = '1'"), "v1", "m").withColumn("line", F.lit(0))
+    assert [r.item_id for r in enrichment.pending(items, made, "v1", "m").collect()] == ["2"]
+    assert enrichment.pending(items, made, "v2", "m").count() == 2
+    changed = items.withColumn("title", F.concat("title", F.lit("!")))
+    assert enrichment.pending(changed, made, "v1", "m").count() == 2
+    docs = spark.createDataFrame([("1", "body"), ("2", "body")], "doc_id string, text string")
+    texts = {r.doc_id: r.text for r in enrichment.enriched(docs, made, "v1", "m").collect()}
+    assert texts["2"] == "body" and texts["1"].startswith("body\n\nWhat is Bee Keeping Basics?\n\nAbout bee")
+
+
+def corpus_file(path, ids, body="Yeast makes carbon dioxide in dough."):
+    path.write_text(json.dumps({"documents": [{"doc_id": i, "title": f"Title {i}", "text": f"{body} {i}"} for i in ids]}))
+    return str(path)
+
+
+def test_sources(spark, tmp_path):
+    a, b = corpus_file(tmp_path / "a.json", ["1", "2"]), corpus_file(tmp_path / "b.json", ["2", "3"])
+    assert files.corpus(spark, a).count() == 2
+    with pytest.raises(ValueError, match="document 2 occurs twice"):
+        files.corpus(spark, [a, b])
+    assert {r.doc_id: r.text[-1] for r in files.catalogue(spark, [a, b], "doc_id string, text string").collect()} == {"1": "1", "2": "2", "3": "3"}
+    (tmp_path / "r.json").write_text(json.dumps({"q": ["x", "y", "x"]}))
+    assert [(r.doc_id, r["rank"]) for r in files.rankings(spark, str(tmp_path / "r.json"), "l").collect()] == [("x", 1), ("y", 2)]
+
+
+def test_ingest_search_evaluate(spark, tmp_path):
+    root = str(tmp_path / "index")
+    a = corpus_file(tmp_path / "a.json", ["1", "2"])
+    first = cli.ingest(spark, [a], root).first()
+    assert (first.documents, first.chunks_embedded, first.chunks_skipped) == (2, 2, 0)
+    b = corpus_file(tmp_path / "b.json", ["2", "3"])
+    again = cli.ingest(spark, [b], root).first()
+    assert (again.chunks_embedded, again.chunks_skipped) == (1, 1)
+    assert index.stats(index.load(spark, root)).first().chunk_count == 3
+    searcher = cli.Searcher(spark, root)
+    asked = spark.createDataFrame([("q", "carbon dioxide 3")], "query_id string, query string")
+    assert searcher.search(asked, "keyword", 1).first().document == "3"
+    assert searcher.compare(asked, 2).groupBy("mode").count().count() == 3
+    with pytest.raises(ValueError):
+        searcher.search(asked, "psychic")
+    with pytest.raises(index.IndexMismatch):
+        cli.Searcher(spark, root, 8).search(asked, "semantic")
+    (tmp_path / "q.json").write_text(json.dumps({"queries": [{"query": "carbon dioxide 3", "relevant_doc_ids": ["3"], "note": ""}]}))
+    scores = {r["mode"]: r.mrr_10 for r in cli.evaluate(spark, searcher, str(tmp_path / "q.json")).collect()}
+    assert scores["keyword"] == 1.0 and set(scores) == set(cli.MODES)
+    index.reset(spark, root)
+    with pytest.raises(FileNotFoundError):
+        searcher.chunks()
+
+
+def test_streaming_ingest(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "index")
+    rows = lambda ids: spark.createDataFrame([(i, f"T{i}", f"Some text {i}.", None) for i in ids], "doc_id string, title string, text string, url string")
+    rows("12").coalesce(1).write.parquet(str(source))
+    for ids, total in (("", 2), ("13", 3)):
+        if ids:
+            rows(ids).coalesce(1).write.mode("append").parquet(str(source))
+        stream.start(spark, str(source), root, str(tmp_path / "checkpoint")).awaitTermination()
+        assert index.load(spark, root).count() == total
