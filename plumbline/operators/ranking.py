@@ -149,8 +149,8 @@ def rerank(hits: DataFrame, scores: DataFrame, depth: int = RERANK_DEPTH) -> Dat
 def exact_matches(queries: DataFrame, catalogue: DataFrame, phrase: int = 3) -> DataFrame:
     """(query_id, doc_id, reason, reason_order): title before author before phrase, the first rule that fits.
 
-    ``catalogue``: (doc_id, title, author). Titles and authors meet queries by hash joins; phrases by the runs
-    of three tokens that both have, checked as the substring that the rule asks for only where words are cut.
+    ``catalogue``: (doc_id, title, author). Titles and authors meet queries by hash joins, phrases (three words
+    at least) by a hash join on a word inside, then by the substring that the rule asks for.
     """
     q = queries.select("query_id", T.tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0)
     q = q.select("query_id", "qt", F.array_join("qt", " ").alias("asked"), T.runs(F.col("qt"), phrase).alias("phrases"))
@@ -161,7 +161,10 @@ def exact_matches(queries: DataFrame, catalogue: DataFrame, phrase: int = 3) ->
     sizes = author_rows.select("n").distinct()
     author_runs = q.join(F.broadcast(sizes), F.size("qt") >= F.col("n")).select("query_id", F.explode(T.runs(F.col("qt"), F.col("n"))).alias("a"))
     authors = author_runs.join(author_rows, "a").select("query_id", "doc_id", F.lit(2).alias("reason_order")).distinct()
-    contained = q.where(F.size("phrases") > 0).join(c.where("t <> ''"), F.exists("phrases", lambda p: F.contains(F.col("t"), p))).select("query_id", "doc_id", F.lit(3).alias("reason_order"))
+    # the second word of a phrase stands whole in any title that contains the phrase
+    asked = q.select("query_id", F.explode("phrases").alias("p")).withColumn("word", F.get(F.split("p", " "), 1))
+    words = c.where("t <> ''").select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
+    contained = asked.join(words, "word").where(F.contains("t", F.col("p"))).select("query_id", "doc_id", F.lit(3).alias("reason_order")).distinct()
     first = titles.unionAll(authors).unionAll(contained).groupBy("query_id", "doc_id").agg(F.min("reason_order").alias("reason_order"))
     return first.withColumn("reason", F.element_at(T.literals(("title", "author", "phrase")), F.col("reason_order")))
 

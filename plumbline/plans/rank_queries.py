@@ -198,14 +198,15 @@ def r8(spark, sf):
     return R.exact_matches(*named(spark, sf)).select("query_id", "doc_id", "reason")
 
 
-@query("R9_promote", "", f"""WITH {CAT}, hits AS (SELECT query_id, doc_id, 1.0 / rank AS score, rank FROM (SELECT query_id, ct.doc_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256(concat(query_id, ct.doc_id)), ct.doc_id) AS rank FROM asked, ct) WHERE rank <= 5),
+@query("R9_promote", "", f"""WITH {CAT}, hits AS (SELECT query_id, CAST(query_id::BIGINT + (k * 7) % 10 - 4 AS VARCHAR) AS doc_id, 1.0 / k AS score, k AS rank FROM asked, range(1, 6) x(k)),
 lifted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reason_order, doc_id) AS lift FROM exact WHERE reason_order IS NOT NULL)
 SELECT query_id, doc_id, round(coalesce(score, 0), 6) AS score, reason, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lift <= 3 THEN lift ELSE 4 END, rank) AS rank FROM (
  SELECT coalesce(h.query_id, l.query_id) AS query_id, coalesce(h.doc_id, l.doc_id) AS doc_id, score, rank, lift, (['title', 'author', 'phrase'])[reason_order] AS reason FROM hits h FULL JOIN lifted l ON h.query_id = l.query_id AND h.doc_id = l.doc_id) WHERE rank IS NOT NULL OR lift <= 3""")
 def r9(spark, sf):
     asked, catalogue = named(spark, sf)
-    mixed = asked.select("query_id").crossJoin(catalogue.select("doc_id")).withColumn("h", F.sha2(F.concat("query_id", "doc_id").cast("binary"), 256))
-    hits = R.ranked(mixed, 5, order=("h", "doc_id")).select("query_id", "doc_id", (1.0 / F.col("rank")).alias("score"), "rank")
+    ranked = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+    near = (F.col("query_id").cast("long") + F.col("k") * 7 % 10 - 4).cast("string")
+    hits = ranked.select("query_id", near.alias("doc_id"), (1.0 / F.col("k")).alias("score"), F.col("k").cast("long").alias("rank"))
     return R.promote(hits, R.exact_matches(asked, catalogue)).withColumn("score", F.round("score", 6))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import base, rank_queries, text_queries  # noqa: F401  the modules register their queries
+from plumbline.plans import base, rank_queries, text_queries, tool_queries  # noqa: F401  the modules register their queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
