@@ -217,3 +217,42 @@ def test_streaming_ingest(spark, tmp_path):
             rows(ids).coalesce(1).write.mode("append").parquet(str(source))
         stream.start(spark, str(source), root, str(tmp_path / "checkpoint")).awaitTermination()
         assert index.load(spark, root).count() == total
+
+
+def test_providers(spark):
+    from plumbline.operators import providers
+
+    rows = spark.createDataFrame([("1", "some text"), ("2", "")], "chunk_id string, embed_text string")
+    by_python = {r.chunk_id: r.embedding for r in providers.embed(rows, providers.PROVIDERS["hash"]).collect()}
+    by_sql = {r.chunk_id: r.embedding for r in index.embed(rows).collect()}
+    assert all(abs(a - b) < 1e-6 for k in by_sql for a, b in zip(by_python[k], by_sql[k]))
+    with pytest.raises(ValueError):
+        providers.provider("none")
+    pairs = spark.createDataFrame([("q", "two words", "a", "two words"), ("q", "two words", "b", "words"), ("q", "two words", "c", None)], "query_id string, query string, doc_id string, prose string")
+    overlap = lambda: lambda query, texts: [len(set(query.split()) & set(t.split())) for t in texts]
+    assert {r.doc_id: r.second for r in providers.second_scores(pairs, overlap).collect()} == {"a": 2.0, "b": 1.0}
+
+
+def test_catalogue_search(spark):
+    from plumbline.plans import service
+
+    rec = spark.createDataFrame([(str(i), f"Title {i}", "body cycling", "Ann Author" if i == 9 else "", "s" if i in (2, 3) else None, "Book", "en" if i % 2 else "de") for i in range(1, 10)], "doc_id string, title string, text string, author string, series_id string, format string, language string")
+    asked = spark.createDataFrame([("q", "by ann author cycling handbook")], "query_id string, query string")
+    ranked = hits(spark, [("q", str(i), 1.0 - i / 10, i) for i in range(1, 9)])
+    page = service.catalogue_search(asked, ranked, rec, service.CatalogueRequest(per_page=3))
+    rows = page.cards.orderBy("rank").collect()
+    assert [(r.doc_id, r.reason) for r in rows] == [("9", "author"), ("1", None), ("2", None)]
+    assert rows[0].score == 0.0 and rows[2].repeats == 2 and rows[0].total == 8 and rows[1].missing_terms == "ann author handbook"
+    counts = {(f.facet_key, f.value): f["count"] for f in page.facets.collect()}
+    assert counts[("language", "en")] == 4 and counts[("language", "de")] == 4
+    only = service.catalogue_search(asked, ranked, rec, service.CatalogueRequest(blend=False, filters={"language": ["de"]})).cards
+    assert sorted(r.doc_id for r in only.collect()) == ["2", "4", "6", "8"]
+    with pytest.raises(ValueError):
+        service.CatalogueRequest(page=0)
+
+
+def test_every_sql_has_a_query():
+    from plumbline.plans import registry
+
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+    assert len(registry.queries()) >= 110
