@@ -30,6 +30,9 @@ from plumbline.llm.common import batches, kept, pairs
 #: A-Z to a-z, ASCII letters and digits and all bytes of other characters to themselves, the rest to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+#: Documents whose normalised texts are held at once.
+SLICE = 256
+
 SCHEMA = "doc_id {id}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
 
 
@@ -88,8 +91,9 @@ def scanner(blocks: list, size: int, id_type: pa.DataType):
         only = Automaton(blocks[0].value, size) if len(blocks) == 1 else None
 
         def rows() -> Iterator[tuple]:
-            for batch in stream:
-                docs = [(doc, *normalised(text)) for doc, text in pairs([batch])]
+            # a few documents at a time; with several automata a whole batch, for each is built anew
+            for part in (b.slice(at, SLICE) for b in stream for at in range(0, b.num_rows, SLICE)) if only else stream:
+                docs = [(doc, *normalised(text)) for doc, text in pairs([part])]
                 found: list[list] = [[] for _ in docs]
                 for block in blocks:
                     machine = only or Automaton(block.value, size)
