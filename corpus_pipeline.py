@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, langid, queries, secrets, simhash
-from plumbline.llm.common import written
+from plumbline.llm.common import discard, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each is a table of the shared folder, which goes once the next one stands."""
+    docs, path = queries.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last, path = path, scratch(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, weigh=lambda row: 64, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows in Arrow batches of about ``limit`` bytes as ``weigh`` counts them."""
     columns: list[list] = [[] for _ in schema]

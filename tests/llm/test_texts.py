@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from plumbline.llm.common import written
 from plumbline.llm import decontam, langid, licences, packing, queries, secrets, tokencount, toxicity
 
 HARD = [None, "", " ", "\n", "é", "a", "A" * 5000, "x y " * 60_000, "12 34", "𝔸𝔹 𠀀", "İstanbul ẞ", "a\x00b", "dup", "dup"]
@@ -320,7 +321,7 @@ def test_pipeline_stages(spark, tmp_path):
     held = spark.read.parquet(f"{tmp_path}/documents.parquet")
     ids = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        held = corpus_pipeline.written(stage(spark, held, str(tmp_path)), f"test-{name}")
+        held = written(stage(spark, held, str(tmp_path)), f"test-{name}")
         assert held.columns == docs.columns
         ids.append({r.doc_id for r in held.collect()})
     every = {r[0] for r in rows}
