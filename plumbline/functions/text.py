@@ -168,7 +168,7 @@ def enrichment_text(title: Column, questions: Column, synopsis: Column, topics:
     return F.concat_ws(
         "\n\n",
         full(title),
-        F.when(F.size(questions) > 0, F.array_join(questions, "\n")),
+        F.when(F.size(questions) > 0, F.array_join(questions, " ")),
         full(synopsis),
         listed("Topics: ", topics, ", "),
         listed("Related: ", entities, ", "),

@@ -10,6 +10,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,55 +24,41 @@ def size(text: str) -> int:
     return int(len(text.split()) * 1.3)
 
 
+def spans(weights: list[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring units of at most ``target`` in all, each range beginning with the end of the last.
+
+    Sums so far turn both questions into searches: how far a range reaches, and how
+    far back the next one begins. A range has one new unit at least, whatever its
+    weight; what is repeated weighs at most ``overlap``, or is one unit, and is never
+    a whole range.
+    """
+    total = np.concatenate(([0], np.cumsum(weights)))
+    found, start, end = [], 0, 0
+    while end < len(weights):
+        reach = int(np.searchsorted(total, total[start] + target, "right")) - 1
+        end = max(end + 1, reach)
+        found.append((start, end))
+        if overlap > 0:
+            back = int(np.searchsorted(total, total[end] - overlap, "left"))
+            start = max(start + 1, min(back, end - 1))
+        else:
+            start = end
+    return found
+
+
 def units(text: str, target: int) -> list[str]:
-    """Paragraphs; one over the target is packed anew from its sentences."""
+    """Paragraphs; one over the target gives way to ranges of its sentences."""
     found = []
     for paragraph in filter(None, map(str.strip, PARAGRAPH.split(text))):
-        if size(paragraph) <= target:
-            found.append(paragraph)
-            continue
-        held, load, packed = [], 0, []
-        for sentence in filter(None, map(str.strip, SENTENCE.split(paragraph))):
-            weight = size(sentence)
-            if held and load + weight > target:
-                packed.append(" ".join(held))
-                held, load = [], 0
-            held.append(sentence)
-            load += weight
-        if held:
-            packed.append(" ".join(held))
-        found += packed or [paragraph]
+        parts = [s for s in map(str.strip, SENTENCE.split(paragraph)) if s] if size(paragraph) > target else []
+        found += [" ".join(parts[a:b]) for a, b in spans(list(map(size, parts)), target, 0)] or [paragraph]
     return found
 
 
-def carried(group: list[str], overlap: int) -> list[str]:
-    """The end of a group that the next one repeats; never the whole group."""
-    if overlap <= 0:
-        return []
-    tail, load = [], 0
-    for unit in reversed(group):
-        weight = size(unit)
-        if tail and load + weight > overlap:
-            break
-        tail.insert(0, unit)
-        load += weight
-    return tail[1:] if len(tail) == len(group) else tail
-
-
 def split(text: str, target: int, overlap: int) -> list[str]:
     """The texts of a document's chunks."""
-    groups, held, load = [], [], 0
-    for unit in units(text, target):
-        weight = size(unit)
-        if held and load + weight > target:
-            groups.append(held)
-            held = carried(held, overlap)
-            load = sum(map(size, held))
-        held = [*held, unit]
-        load += weight
-    if held:
-        groups.append(held)
-    return ["\n\n".join(group) for group in groups]
+    own = units(text, target)
+    return ["\n\n".join(own[a:b]) for a, b in spans(list(map(size, own)), target, overlap)]
 
 
 def chunk(docs: DataFrame, target: int = 450, overlap: int = 60) -> DataFrame:

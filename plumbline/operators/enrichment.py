@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
+PARTS = ("questions", "synopsis", "topics", "entities", "period")
 KEY = ["item_id", "prompt_version", "enrichment_model", "source_hash"]
 
 
 def source_hash(items: DataFrame) -> DataFrame:
-    """Items (item_id, title, record) with the hash of what an enrichment is made from."""
-    return items.withColumn("source_hash", T.content_hash(F.concat_ws("\n", "title", "record")))
+    """Items (item_id, title, record) with the hash of the record, so that a new run touches only what changed."""
+    return items.withColumn("source_hash", T.content_hash(F.col("record")))
 
 
 def latest(store: DataFrame) -> DataFrame:
@@ -32,11 +33,21 @@ def collect(results: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def enriched(docs: DataFrame, store: DataFrame, prompt_version: str, model: str) -> DataFrame:
-    """Documents whose text is followed by their enrichment's, where there is one."""
+    """Documents (doc_id, title, text, ...) whose text is followed by their enrichment's, where there is one."""
     own = latest(store).where((F.col("prompt_version") == prompt_version) & (F.col("enrichment_model") == model))
-    extra = own.select(F.col("item_id").alias("doc_id"), T.enrichment_text(F.lit(""), *map(F.col, ("questions", "synopsis", "topics", "entities", "period"))).alias("extra"))
-    joined = docs.join(extra.dropDuplicates(["doc_id"]), "doc_id", "left")
-    return joined.withColumn("text", F.when(F.coalesce("extra", F.lit("")) != "", F.concat_ws("\n\n", "text", "extra")).otherwise(F.col("text"))).drop("extra")
+    made = own.select(F.col("item_id").alias("doc_id"), F.struct(*PARTS).alias("__made")).dropDuplicates(["doc_id"])
+    extra = T.enrichment_text(F.col("title"), *(F.col("__made")[part] for part in PARTS))
+    joined = docs.join(made, "doc_id", "left")
+    return joined.withColumn("text", F.when(F.col("__made").isNull(), F.col("text")).otherwise(F.concat_ws("\n\n", "text", extra))).drop("__made")
+
+
+def rerank_prose(store: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc_id, prose): what a reranker reads of each item's last enrichment; the label lines are always there."""
+    last = store.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("line")))).where("n = 1")
+    named = last.join(titles.select(F.col("doc_id").alias("item_id"), "title"), "item_id", "left")
+    full = lambda c: F.nullif(c, F.lit(""))
+    listed = lambda label, c: F.concat(F.lit(label), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", "))
+    return named.select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", full(F.col("title")), full(F.array_join("questions", " ")), full(F.col("synopsis")), listed("Topics: ", F.col("topics")), listed("Related: ", F.col("entities"))).alias("prose"))
 
 
 def fake(items: DataFrame, prompt_version: str, model: str) -> DataFrame:

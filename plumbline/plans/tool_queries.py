@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import vectors as V
-from plumbline.operators import cuts, metrics, pooling
+from plumbline.operators import cuts, enrichment, metrics, pooling
 from plumbline.operators import ranking as R
 from plumbline.plans import service
 from plumbline.plans.base import bm25, docs, grades, lanes, queries, query, records, relevant
 from plumbline.plans.rank_queries import measured
+from plumbline.plans.text_queries import HEAD, store
 from plumbline.session import table
 
 
@@ -21,9 +22,9 @@ def s4(spark, sf):
     return service.metadata(files).select(F.array_join("presets", ",").alias("presets"), "description")
 
 
-@query("S8_enriched_prose", "rec", "SELECT doc_id, concat(title, CASE WHEN fiction THEN concat(chr(10), language) ELSE '' END, chr(10), 'Topics: ', format) AS prose FROM rec")
+@query("S8_enriched_prose", "d", f"SELECT doc_id, concat(title, chr(10), 'What is ', title, '?', chr(10), 'About ', lower(title), chr(10), 'Topics: ', array_to_string(list_slice(h, 1, 2), ', '), chr(10), 'Related: ') AS prose FROM (SELECT *, {HEAD} AS h FROM d WHERE n_chars % 2 = 0)")
 def s8(spark, sf):
-    return records(spark, sf).select("doc_id", F.concat_ws("\n", F.nullif("title", F.lit("")), F.when(F.col("fiction"), F.col("language")), F.concat(F.lit("Topics: "), "format")).alias("prose"))
+    return enrichment.rerank_prose(store(spark, sf)[1], docs(spark, sf))
 
 
 @query("S16_stub_filter", "d", "SELECT doc_id FROM d WHERE length(text) >= 400 AND NOT contains(text, 'may refer to:')")

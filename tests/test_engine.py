@@ -161,11 +161,11 @@ def test_enrichment(spark):
     made = enrichment.fake(items.where("item_id = '1'"), "v1", "m").withColumn("line", F.lit(0))
     assert [r.item_id for r in enrichment.pending(items, made, "v1", "m").collect()] == ["2"]
     assert enrichment.pending(items, made, "v2", "m").count() == 2
-    changed = items.withColumn("title", F.concat("title", F.lit("!")))
+    changed = items.withColumn("record", F.concat("record", F.lit("!")))
     assert enrichment.pending(changed, made, "v1", "m").count() == 2
-    docs = spark.createDataFrame([("1", "body"), ("2", "body")], "doc_id string, text string")
+    docs = spark.createDataFrame([("1", "Bee", "body"), ("2", "x", "body")], "doc_id string, title string, text string")
     texts = {r.doc_id: r.text for r in enrichment.enriched(docs, made, "v1", "m").collect()}
-    assert texts["2"] == "body" and texts["1"].startswith("body\n\nWhat is Bee Keeping Basics?\n\nAbout bee")
+    assert texts["2"] == "body" and texts["1"].startswith("body\n\nBee\n\nWhat is Bee Keeping Basics?\n\nAbout bee")
 
 
 def corpus_file(path, ids, body="Yeast makes carbon dioxide in dough."):
