@@ -23,6 +23,13 @@ follow by alternating large-star and small-star steps, each written to the share
 folder, so the number of rounds grows with the logarithm of the longest chain.
 What is joined on a node is written first, so that Spark can split hot nodes.
 
+Similar texts. Texts that share ``similarity`` of their ``SIMILAR_WORDS``-word shingles
+mostly differ in more bits than a covering family can bear. ``groups`` can therefore
+add links of that kind: the shingles are dealt into classes by hash, each class of two
+or more has a fingerprint of its own, and texts with an equal one are candidates. A
+candidate is compared, by its whole text, with the least member of each such bucket,
+so rows stay linear in a bucket's size; a link counts if the similarity is reached.
+
 Defined results: null, empty and blank texts have fingerprint zero and are linked
 like any other; every row is a node of its own and repeated rows share a group; a
 null id is the least of a group only if the group has no other; an empty table
@@ -43,6 +50,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batches, pairs, written
 
 SEED = 42
+SIMILAR_WORDS = 5
+#: Numbers of classes that shingles are dealt into, and shingles that a class needs.
+CLASSES, LEAST = (8, 32), 2
 WIDTH = 64
 #: Shingles whose hashes are counted at once.
 BLOCK = 1 << 15
@@ -88,6 +98,83 @@ def fingerprint(text: str | None, size: int) -> int:
     return int.from_bytes(np.packbits(2 * sums > total, bitorder="little").tobytes(), "little")
 
 
+def class_keys(text: str | None, size: int = SIMILAR_WORDS) -> list[int]:
+    """One signed key for each class of shingles: of the number of classes, the class and its fingerprint."""
+    from xxhash import xxh64_intdigest
+
+    sums = {k: np.zeros((k, WIDTH), np.int64) for k in CLASSES}
+    totals = {k: np.zeros(k, np.int64) for k in CLASSES}
+    block: list[int] = []
+
+    def count() -> None:
+        hashes = np.array(block, "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        for k in CLASSES:
+            own = (hashes >> np.uint64(32)) % np.uint64(k)
+            order = np.argsort(own, kind="stable")
+            kinds, starts, n = np.unique(own[order], return_index=True, return_counts=True)
+            sums[k][kinds] += np.add.reduceat(bits[order], starts, axis=0, dtype=np.int64)
+            totals[k][kinds] += n
+        block.clear()
+
+    for shingle in shingles(text, size):
+        block.append(xxh64_intdigest(shingle, SEED))
+        if len(block) == BLOCK:
+            count()
+    if block:
+        count()
+    found = []
+    for k in CLASSES:
+        prints = np.packbits(2 * sums[k] > totals[k][:, None], axis=1, bitorder="little")
+        found += [xxh64_intdigest(b"%d:%d:" % (k, c) + prints[c].tobytes(), SEED) for c in np.flatnonzero(totals[k] >= LEAST)]
+    return [key - (1 << WIDTH) if key >> (WIDTH - 1) else key for key in found]
+
+
+def jaccard(left: str | None, right: str | None, size: int = SIMILAR_WORDS) -> float:
+    a, b = set(shingles(left, size)), set(shingles(right, size))
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def _keyed(size: int, id_type: pa.DataType):
+    schema = pa.schema([("doc_id", id_type), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((doc, fingerprint(text, size), class_keys(text)) for doc, text in pairs(stream))
+        yield from batches(((doc, fp - (1 << WIDTH) if fp >> (WIDTH - 1) else fp, keys) for doc, fp, keys in rows), schema, lambda row: 64 + 8 * len(row[2]))
+
+    return run
+
+
+def _similar(similarity: float):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in stream:
+                for i in range(batch.num_rows):
+                    a, b, left, right = (batch.column(c)[i].as_py() for c in range(4))
+                    if jaccard(left, right) >= similarity:
+                        yield max(a, b), min(a, b)
+
+        yield from batches(rows(), schema)
+
+    return run
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``distinct``: (fp, least_id, keys)."""
+    keyed = distinct.select("fp", F.explode("keys").alias("key"))
+    crowded = written(keyed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("hi")).where("rep < hi").select("key", "rep"), "crowded-classes")
+    candidates = written(keyed.join(crowded, "key").where("fp <> rep").select("fp", "rep").distinct(), "candidates")
+    wanted = candidates.select("fp").union(candidates.select("rep")).distinct()
+    wanted = written(distinct.select("fp", "least_id").join(wanted, "fp"), "wanted")
+    texts = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "least_id").select("fp", "text")
+    texts = written(texts, "wanted-texts")
+    left = candidates.join(texts.withColumnRenamed("text", "left"), "fp")
+    both = left.join(texts.select(F.col("fp").alias("rep"), F.col("text").alias("right")), "rep")
+    return both.select("fp", "rep", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct()
+
+
 def _printer(size: int, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), ("fp", pa.int64())])
 
@@ -106,6 +193,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(_printer(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long")
 
 
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[id_col].dataType
+    return docs.select(id_col, text_col).mapInArrow(_keyed(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long, keys array<long>")
+
+
 def _flips(fp, mask: int, count: int):
     """All points within ``count`` bits of ``fp`` outside the mask."""
     outside = [i for i in range(WIDTH) if not mask >> i & 1]
@@ -165,12 +259,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the least id that links lead to, the row's own included."""
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    distinct = written(distinct, "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius))
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: the least id that links lead to, the row's own included.
+
+    ``similarity``: also link texts that share so much of their five-word shingles.
+    """
+    if similarity is None:
+        prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+        edges = links(distinct.select("fp"), radius)
+    else:
+        prints = written(_with_keys(docs, id_col, text_col, shingle), "fingerprints")
+        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.max("keys").alias("keys")), "distinct-fingerprints")
+        edges = links(distinct.select("fp"), radius).unionAll(similar_links(docs, distinct, similarity, id_col, text_col)).distinct()
+        prints, distinct = prints.select("doc_id", "fp"), distinct.select("fp", "least_id")
+    roots = components(edges)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     named = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named-roots")
@@ -183,9 +286,9 @@ def hexadecimal(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, that of the least id."""
-    found = groups(docs, id_col, text_col, shingle, radius)
+    found = groups(docs, id_col, text_col, shingle, radius, similarity)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = written(kept, "kept-ids")
     # shuffled at every size: the kept ids grow with the documents, so they are never broadcast

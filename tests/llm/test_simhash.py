@@ -93,3 +93,27 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.groups(df).count() == 0
     assert simhash.representatives(df).count() == 0
+
+
+def test_similar_texts_join_groups(spark):
+    rng = random.Random(9)
+    words = ["w%d" % i for i in range(3000)]
+    rows, want = [], []
+    for n in (40, 90, 200, 600):
+        for _ in range(6):
+            base = rng.choices(words, k=n)
+            other = list(base)
+            for at in range(n // 60 + 1):
+                other[rng.randrange(n)] = f"changed{at}"
+            far = base[: n // 2] + rng.choices(words, k=n // 2)
+            first = len(rows)
+            rows += [(first, " ".join(base)), (first + 1, " ".join(other)), (first + 2, " ".join(far))]
+            near = simhash.jaccard(rows[first][1], rows[first + 1][1]) >= 0.8
+            want.append((first + 1, near))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.representatives(df, similarity=0.8).collect()}
+    assert all(d in kept for d in range(len(rows)) if d % 3 != 1)
+    caught = [d not in kept for d, near in want if near]
+    assert len(caught) >= 12 and sum(caught) >= 0.9 * len(caught)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.representatives(none, similarity=0.8).count() == 0
