@@ -25,10 +25,15 @@ What is joined on a node is written first, so that Spark can split hot nodes.
 
 Similar texts. Texts that share ``similarity`` of their ``SIMILAR_WORDS``-word shingles
 mostly differ in more bits than a covering family can bear. ``groups`` can therefore
-add links of that kind: the shingles are dealt into classes by hash, each class of two
-or more has a fingerprint of its own, and texts with an equal one are candidates. A
-candidate is compared, by its whole text, with the least member of each such bucket,
-so rows stay linear in a bucket's size; a link counts if the similarity is reached.
+add links of that kind by MinHash: of every text, long or short, the least value of its
+shingles under each of ``BANDS`` x ``ROWS`` hash functions is taken, and texts that agree
+in all rows of a band share a bucket. A pair of similarity J shares one with probability
+1 - (1 - J**ROWS)**BANDS, whatever its length: 0.99994 at 0.8. Nodes are distinct texts,
+so that texts of an equal fingerprint keep their own buckets. A member is compared, by
+its whole text, with the least and the greatest member of each of its buckets, in one of
+four orders that the bucket's key picks; so rows stay linear in a bucket's size, buckets
+of up to three have all their pairs compared, and in larger ones a pair may be linked
+through others only. A link counts if the similarity is reached.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked
 like any other; every row is a node of its own and repeated rows share a group; a
@@ -40,7 +45,8 @@ the least id of each group, equal rows once, with all columns as they came.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +57,13 @@ from plumbline.llm.common import batches, pairs, written
 
 SEED = 42
 SIMILAR_WORDS = 5
-#: Numbers of classes that shingles are dealt into, and shingles that a class needs.
-CLASSES, LEAST = (8, 32), 2
+#: Bands of MinHash values and values in each.
+BANDS, ROWS = 32, 6
 WIDTH = 64
 #: Shingles whose hashes are counted at once.
 BLOCK = 1 << 15
+#: Shingles whose values under all hash functions are made at once.
+MIN_BLOCK = 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -98,35 +106,27 @@ def fingerprint(text: str | None, size: int) -> int:
     return int.from_bytes(np.packbits(2 * sums > total, bitorder="little").tobytes(), "little")
 
 
-def class_keys(text: str | None, size: int = SIMILAR_WORDS) -> list[int]:
-    """One signed key for each class of shingles: of the number of classes, the class and its fingerprint."""
-    from xxhash import xxh64_intdigest
+@cache
+def _functions() -> tuple[np.ndarray, np.ndarray]:
+    """The odd factors and the summands of the MinHash functions."""
+    drawn = np.random.default_rng(SEED).integers(0, 1 << WIDTH, (2, BANDS * ROWS), np.uint64)
+    return drawn[0] | np.uint64(1), drawn[1]
 
-    sums = {k: np.zeros((k, WIDTH), np.int64) for k in CLASSES}
-    totals = {k: np.zeros(k, np.int64) for k in CLASSES}
-    block: list[int] = []
 
-    def count() -> None:
-        hashes = np.array(block, "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        for k in CLASSES:
-            own = (hashes >> np.uint64(32)) % np.uint64(k)
-            order = np.argsort(own, kind="stable")
-            kinds, starts, n = np.unique(own[order], return_index=True, return_counts=True)
-            sums[k][kinds] += np.add.reduceat(bits[order], starts, axis=0, dtype=np.int64)
-            totals[k][kinds] += n
-        block.clear()
+def band_keys(text: str | None, size: int = SIMILAR_WORDS) -> list[int]:
+    """One signed key for each band: of the band and the least values of the text's shingles in it; none without words."""
+    from xxhash import xxh64_intdigest
 
-    for shingle in shingles(text, size):
-        block.append(xxh64_intdigest(shingle, SEED))
-        if len(block) == BLOCK:
-            count()
-    if block:
-        count()
-    found = []
-    for k in CLASSES:
-        prints = np.packbits(2 * sums[k] > totals[k][:, None], axis=1, bitorder="little")
-        found += [xxh64_intdigest(b"%d:%d:" % (k, c) + prints[c].tobytes(), SEED) for c in np.flatnonzero(totals[k] >= LEAST)]
+    factors, summands = _functions()
+    least = np.full(BANDS * ROWS, (1 << WIDTH) - 1, np.uint64)
+    own = shingles(text, size)
+    any_found = False
+    while block := [xxh64_intdigest(s, SEED) for s in islice(own, MIN_BLOCK)]:
+        any_found = True
+        np.minimum(least, (np.array(block, np.uint64)[:, None] * factors + summands).min(0), out=least)
+    if not any_found:
+        return []
+    found = [xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.astype("<u8").reshape(BANDS, ROWS))]
     return [key - (1 << WIDTH) if key >> (WIDTH - 1) else key for key in found]
 
 
@@ -136,11 +136,17 @@ def jaccard(left: str | None, right: str | None, size: int = SIMILAR_WORDS) -> f
 
 
 def _keyed(size: int, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", id_type), ("fp", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((doc, fingerprint(text, size), class_keys(text)) for doc, text in pairs(stream))
-        yield from batches(((doc, fp - (1 << WIDTH) if fp >> (WIDTH - 1) else fp, keys) for doc, fp, keys in rows), schema, lambda row: 64 + 8 * len(row[2]))
+        def rows() -> Iterator[tuple]:
+            for batch in stream:
+                for i in range(batch.num_rows):
+                    doc, text, node = (batch.column(c)[i].as_py() for c in range(3))
+                    fp = fingerprint(text, size)
+                    yield doc, fp - (1 << WIDTH) if fp >> (WIDTH - 1) else fp, node, band_keys(text)
+
+        yield from batches(rows(), schema, lambda row: 64 + 8 * len(row[3]))
 
     return run
 
@@ -161,18 +167,25 @@ def _similar(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``distinct``: (fp, least_id, keys)."""
-    keyed = distinct.select("fp", F.explode("keys").alias("key"))
-    crowded = written(keyed.groupBy("key").agg(F.min("fp").alias("rep"), F.max("fp").alias("hi")).where("rep < hi").select("key", "rep"), "crowded-classes")
-    candidates = written(keyed.join(crowded, "key").where("fp <> rep").select("fp", "rep").distinct(), "candidates")
-    wanted = candidates.select("fp").union(candidates.select("rep")).distinct()
-    wanted = written(distinct.select("fp", "least_id").join(wanted, "fp"), "wanted")
-    texts = docs.select(F.col(id_col).alias("least_id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), "least_id").select("fp", "text")
-    texts = written(texts, "wanted-texts")
-    left = candidates.join(texts.withColumnRenamed("text", "left"), "fp")
-    both = left.join(texts.select(F.col("fp").alias("rep"), F.col("text").alias("right")), "rep")
-    return both.select("fp", "rep", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct()
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``nodes``: (node, fp, least_id, keys)."""
+    # the key's last two bits, put before the node's own, pick the order of its bucket
+    turn = F.shiftleft(F.col("key"), WIDTH - 2)
+    keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("at", F.col("node").bitwiseXOR(turn))
+    crowded = keyed.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi")
+    crowded = written(crowded.select("key", F.array(F.col("lo").bitwiseXOR(turn), F.col("hi").bitwiseXOR(turn)).alias("reps")), "crowded-bands")
+    met = keyed.select("node", "key").join(crowded, "key").select("node", F.explode("reps").alias("rep")).where("node <> rep")
+    candidates = written(met.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct(), "candidates")
+    wanted = candidates.select("node").union(candidates.select("rep")).distinct()
+    wanted = written(nodes.select("node", "fp", "least_id").join(wanted, "node"), "wanted")
+    own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).withColumn("own_node", F.xxhash64("text"))
+    # the id deals copies of a text out, the node tells rows of one id apart; null ids match as well
+    same = F.col("own_id").eqNullSafe(F.col("least_id")) & (F.col("own_node") == F.col("node"))
+    texts = own.join(wanted.hint("shuffle_hash"), same).select("least_id", "node", "fp", "text").dropDuplicates(["least_id", "node"])
+    texts = written(texts.select("node", "fp", "text"), "wanted-texts")
+    left = candidates.join(texts.select("node", F.col("fp").alias("a"), F.col("text").alias("left")), "node")
+    both = left.join(texts.select(F.col("node").alias("rep"), F.col("fp").alias("b"), F.col("text").alias("right")), "rep").where("a <> b")
+    return both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct()
 
 
 def _printer(size: int, id_type: pa.DataType):
@@ -194,10 +207,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, fp, node, keys): the fingerprint, the digest that names the text, and the keys of its bands."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
-    return docs.select(id_col, text_col).mapInArrow(_keyed(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long, keys array<long>")
+    own = docs.select(id_col, text_col, F.xxhash64(text_col).alias("node"))
+    return own.mapInArrow(_keyed(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long, node long, keys array<long>")
 
 
 def _flips(fp, mask: int, count: int):
@@ -270,9 +285,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
         edges = links(distinct.select("fp"), radius)
     else:
         prints = written(_with_keys(docs, id_col, text_col, shingle), "fingerprints")
-        distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.max("keys").alias("keys")), "distinct-fingerprints")
-        edges = links(distinct.select("fp"), radius).unionAll(similar_links(docs, distinct, similarity, id_col, text_col)).distinct()
-        prints, distinct = prints.select("doc_id", "fp"), distinct.select("fp", "least_id")
+        nodes = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id"), F.max("keys").alias("keys")), "distinct-texts")
+        prints = prints.select("doc_id", "fp")
+        distinct = written(nodes.groupBy("fp").agg(F.min("least_id").alias("least_id")), "distinct-fingerprints")
+        edges = links(distinct.select("fp"), radius).unionAll(similar_links(docs, nodes, similarity, id_col, text_col)).distinct()
     roots = components(edges)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")

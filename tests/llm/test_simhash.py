@@ -117,3 +117,43 @@ def test_similar_texts_join_groups(spark):
     assert len(caught) >= 12 and sum(caught) >= 0.9 * len(caught)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.representatives(none, similarity=0.8).count() == 0
+
+
+@pytest.mark.parametrize("n", [9, 200, 1000, 2000])
+def test_similar_pairs_share_a_band_at_every_length(n):
+    rng = random.Random(n)
+    words = ["w%d" % i for i in range(5000)]
+    found = seen = 0
+    while seen < 60:
+        base = rng.choices(words, k=n)
+        other = list(base)
+        for at in rng.sample(range(n), max(1, n // 47)) if n > 9 else [n - 1]:
+            other[at] = "changed%d" % at
+        left, right = " ".join(base), " ".join(other)
+        if n == 9:  # one word more: 5 of 6 shingles
+            right = left + " more"
+        if simhash.jaccard(left, right) < 0.8:
+            continue
+        seen += 1
+        found += bool(set(simhash.band_keys(left)) & set(simhash.band_keys(right)))
+    assert found >= 59
+
+
+def test_long_and_short_similar_texts_are_linked(spark):
+    rng = random.Random(21)
+    words = ["w%d" % i for i in range(5000)]
+    rows, want = [], set()
+    for n in (9, 10, 1500, 1500, 2500, 2500, 2500):
+        base = rng.choices(words, k=n)
+        more = base + rng.choices(words, k=max(1, n // 6))
+        assert simhash.jaccard(" ".join(base), " ".join(more)) >= 0.8
+        want.add(len(rows))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(more))]
+    # null ids and rows of one id are texts of their own
+    base = rng.choices(words, k=300)
+    rows += [(None, " ".join(base)), (None, " ".join(base + ["tail"])), (5000, "one"), (5000, " ".join(base + ["more"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.groups(df, similarity=0.8).collect()
+    roots = {r.doc_id: r.component_id for r in found if r.doc_id is not None and r.doc_id < 5000}
+    assert roots == {d: d - d % 2 for d in range(14)} and {d for d in roots.values()} == want
+    assert sorted({r.component_id for r in found if r.doc_id is None}) == [5000]
