@@ -1,7 +1,7 @@
 """Secret scans: candidates by one expression, false positives removed by a random forest; DataFrame functions only.
 
 A candidate is the value after a credential word and an assignment sign, or a run
-of token characters with a digit in it. The text is split at the candidates, so
+of token characters with a digit in it, each whole at any length. The text is split at the candidates, so
 that each has its offset and its neighbourhood without a second search. Features
 are length, transitions between character classes, class shares, distinct
 characters, dictionary coverage, marks of paths and addresses, and the words
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 RUN = "A-Za-z0-9_+/.~-"
 #: A key before a value: a credential word, an assignment sign, an opening quote.
 KEY = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-CANDIDATE = rf"(?:-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----)|(?:(?=[PpSsTtAaCc]){KEY}[^\s\"'<>(){{}}\[\],;]{{6,256}})|(?:(?<![{RUN}])(?=[A-Za-z_+/.~-]{{0,256}}[0-9])[{RUN}]{{8,512}}+={{0,2}})"
+#: Values are taken whole, however long: possessive runs, and a look for a digit that starts only where a run starts.
+CANDIDATE = rf"(?:-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----)|(?:(?=[PpSsTtAaCc]){KEY}[^\s\"'<>(){{}}\[\],;]{{6,}}+)|(?:(?<![{RUN}])(?=[A-Za-z_+/.~-]*+[0-9])[{RUN}]{{8,}}+={{0,2}})"
 #: Every candidate has one of these; texts without any are not searched further.
 NEEDED = r"[0-9=:]|-----BEGIN"
 #: Characters before and after a candidate that count as its neighbourhood.

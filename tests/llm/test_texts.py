@@ -1,5 +1,6 @@
 """Operators 1, 3, 4, 5, 6, 9, 10 and the pipeline against brute force, and the defined cases."""
 
+import random
 import re
 import zlib
 
@@ -266,6 +267,23 @@ def test_secrets(spark):
     assert secrets.scan(empty(spark), forest=forest).count() == 0 and secrets.redact(empty(spark), forest=forest).count() == 0
 
 
+def test_long_secrets_are_whole(spark):
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=n))
+    jwt = f"eyJ{draw(40)}.eyJ{draw(600)}.{draw(157)}"
+    assigned, late, many = draw(600), "abcdefgh" * 50 + "7" + draw(20), draw(300_000)
+    texts = [f"jwt {jwt} end", f"token={assigned} end", f"see {late} end", f"password={many} end", "a-" * 500_000 + " end"]
+    forest = [(1.0,)]
+    rows = {r.doc_id: (r.start, r.length, r.value) for r in secrets.scan(frame(spark, texts), forest=forest).collect()}
+    want = [(4, jwt), (6, assigned), (4, late), (9, many)]
+    ids = [r.doc_id for r in frame(spark, texts).collect()]
+    assert rows == {ids[i]: (at, len(v), v) for i, (at, v) in enumerate(want)}
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts), forest=forest).collect()}
+    assert [clean[ids[i]] for i in range(4)] == ["jwt [SECRET] end", "token=[SECRET] end", "see [SECRET] end", "password=[SECRET] end"]
+    own = {r.doc_id: r.secret for r in secrets.scan(frame(spark, texts)).collect()}
+    assert own[ids[0]] and own[ids[1]] and own[ids[3]]
+
+
 def test_forest_expression_votes_like_its_trees(spark):
     forest = [(0, 10.0, (1.0,), (6, 0.5, (0.0,), (1.0,))), (2, 0.3, (0.0,), (1.0,))]
     found = secrets.training_findings(spark, 300).withColumn("f", secrets.features(F.col("value"), F.col("key"), F.col("before"), F.col("after")))
