@@ -1,7 +1,9 @@
 """Secret scans: candidates by one expression, false positives removed by a random forest; DataFrame functions only.
 
 A candidate is the value after a credential word and an assignment sign, or a run
-of token characters with a digit in it, each whole at any length. The text is split at the candidates, so
+of token characters with a digit in it, each whole at any length, or a private key
+from its BEGIN to its END line (without an END line, over the base64 lines below it),
+which the forest rates by its BEGIN line. The text is split at the candidates, so
 that each has its offset and its neighbourhood without a second search. Features
 are length, transitions between character classes, class shares, distinct
 characters, dictionary coverage, marks of paths and addresses, and the words
@@ -31,8 +33,14 @@ from pyspark.sql import functions as F
 RUN = "A-Za-z0-9_+/.~-"
 #: A key before a value: a credential word, an assignment sign, an opening quote.
 KEY = r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+#: The header of a private key.
+HEADER = "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+#: A line end or blank in a key block, also as written inside a quoted string.
+GAP = r"(?:\s|\\[rn])"
+#: A key from its header over all up to the END line; without one, over the header fields and base64 lines that follow.
+PRIVATE_KEY = rf"{HEADER}(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{{0,30}}PRIVATE KEY-----|(?:{GAP}++(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*+)*+(?:{GAP}++[A-Za-z0-9+/]{{40,}}+={{0,2}})*+(?:{GAP}++[A-Za-z0-9+/]+={{0,2}}(?=[ \t]*+(?:[\r\n\"']|\\[rn]|\Z)))?)"
 #: Values are taken whole, however long: possessive runs, and a look for a digit that starts only where a run starts.
-CANDIDATE = rf"(?:-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----)|(?:(?=[PpSsTtAaCc]){KEY}[^\s\"'<>(){{}}\[\],;]{{6,}}+)|(?:(?<![{RUN}])(?=[A-Za-z_+/.~-]*+[0-9])[{RUN}]{{8,}}+={{0,2}})"
+CANDIDATE = rf"(?:{PRIVATE_KEY})|(?:(?=[PpSsTtAaCc]){KEY}(?:{PRIVATE_KEY}|(?:(?!{HEADER})[^\s\"'<>(){{}}\[\],;]){{6,}}+))|(?:(?<![{RUN}])(?=[A-Za-z_+/.~-]*+[0-9])(?:(?!{HEADER})[{RUN}]){{8,}}+={{0,2}})"
 #: Every candidate has one of these; texts without any are not searched further.
 NEEDED = r"[0-9=:]|-----BEGIN"
 #: Characters before and after a candidate that count as its neighbourhood.
@@ -112,7 +120,7 @@ def located(raws: Column, gaps: Column, starts: Column) -> Column:
         gap = F.get(gaps, i)
         before = F.concat(F.substring(gap, F.greatest(F.length(gap) - NEAR + 1, F.lit(1)), F.lit(NEAR)), key)
         after = F.substring(F.get(gaps, i + 1), F.lit(1), F.lit(NEAR))
-        kind = F.when(raw.startswith("-----BEGIN"), "private_key").when(value.rlike(PREFIX), "known_prefix").when(key != "", "assignment").otherwise("token")
+        kind = F.when(value.startswith("-----BEGIN "), "private_key").when(value.rlike(PREFIX), "known_prefix").when(key != "", "assignment").otherwise("token")
         return F.struct(value.alias("value"), key.alias("key"), before.alias("before"), after.alias("after"), kind.alias("kind"), (F.get(starts, i) + F.length(key)).alias("start"))
 
     return F.when(F.size(raws) > 0, F.transform(raws, one)).otherwise(F.array().cast("array<struct<value:string,key:string,before:string,after:string,kind:string,start:int>>"))
@@ -215,7 +223,7 @@ def _rated(docs: DataFrame, text_col: str, forest: list[tuple] | None, least: fl
     # columns of their own, each used more than once, so that the optimiser keeps them and the text is searched once
     parts = docs.withColumn(raws, raw_candidates(text)).withColumn(gaps, between(text, F.col(raws))).withColumn(starts, beginnings(F.col(raws), F.col(gaps)))
     rated = parts.withColumn(found, located(F.col(raws), F.col(gaps), F.col(starts)))
-    rated = rated.withColumn(found, F.transform(found, lambda c: F.struct(c.alias("c"), features(c["value"], c["key"], c["before"], c["after"]).alias("f"))))
+    rated = rated.withColumn(found, F.transform(found, lambda c: F.struct(c.alias("c"), features(F.when(c["kind"] == "private_key", F.regexp_extract(c["value"], "^" + HEADER, 0)).otherwise(c["value"]), c["key"], c["before"], c["after"]).alias("f"))))
     rated = rated.withColumn(found, F.transform(found, lambda x: F.struct(x["c"].alias("c"), votes(forest, x["f"]).alias("score"))))
     kept = rated.withColumn(found, F.transform(found, lambda x: F.struct(x["c"]["start"].cast("long").alias("start"), F.length(x["c"]["value"]).cast("long").alias("length"), x["c"]["kind"].alias("kind"), x["c"]["value"].alias("value"), F.length(x["c"]["key"]).alias("key_length"), x["score"].alias("score"), (x["score"] >= least).alias("secret"))))
     return kept, raws, gaps, found
