@@ -8,6 +8,11 @@ fixed size that is broadcast. Each line is digested alike and looked up among th
 digests of known one-line notices, so a document also tells what it refers to.
 Nothing is shuffled; a hot source or a group of copies is spread as the scan is.
 
+Known whole texts: MIT, BSD-2-Clause, BSD-3-Clause, ISC, 0BSD, Zlib and the files of
+``licence_texts`` (Apache-2.0, Artistic, CC0, GFDL, GPL, LGPL and MPL). AGPL, BSL-1.0,
+Unlicense and the Creative Commons licences other than CC0 are not among them, as no
+copy of their texts was at hand; ``scan`` takes a caller's own table of digests.
+
 Defined results: null text counts as empty; the digest of an empty canonical form
 matches no licence; repeated rows are looked up once each; a null id is kept; an
 empty table yields no rows; other columns are ignored whatever their names.
@@ -15,6 +20,8 @@ empty table yields no rows; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +159,10 @@ the following restrictions:
 )
 #: Titles that may stand above a whole text.
 TITLES = {"MIT": ("MIT License", "The MIT License (MIT)", "The MIT License"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD"), "Zlib": ("zlib License", "The zlib License")}
+#: Longer licences as files, named by their ids.
+FILES = sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+TEXTS += tuple((path.stem, path.read_text("utf-8")) for path in FILES)
+TITLES |= {path.stem: () for path in FILES}
 
 #: One-line notices; fixed values.
 NOTICES = (

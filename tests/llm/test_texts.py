@@ -238,6 +238,14 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_long_licences_are_known(spark):
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
+    texts = dict(licences.TEXTS)
+    rows = [(n, "Copyright (c) 2020 Some One\n\n" + texts[n].upper().replace("\n", "\r\n")) for n in names] + [("none", texts["GPL-3.0"] + " more")]
+    found = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert found == {n: n for n in names} | {"none": None}
+
+
 # secrets
 
 
