@@ -256,3 +256,23 @@ def test_every_sql_has_a_query():
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert len(registry.queries()) >= 110
+
+
+def test_nearest_labels_of_every_record(spark):
+    from plumbline.plans import rank_queries
+    from plumbline.plans.base import vector_queries, vectors
+
+    sf = "/root/testdata/sf0.001"
+    every, asked = vectors(spark, sf).collect(), vector_queries(spark, sf).collect()
+    heads = {}
+    for r in sorted(every, key=lambda r: len(r.doc_id) * 1000000 + int(r.doc_id)):
+        heads.setdefault(str(r.label), r.vector)
+    want = {}
+    for q in asked:
+        sims = {label: round(sum(float(a) * float(b) for a, b in zip(q.vector, v)), 6) for label, v in heads.items()}
+        for r in every:
+            own = [(-sims[s], pos, s) for pos, s in enumerate(str((r.label + k * 3) % 10) for k in range(3)) if s in sims]
+            want[q.query_id, r.doc_id] = ",".join(s for _, _, s in sorted(own)[:2])
+    found = rank_queries.v11(spark, sf).collect()
+    assert len(found) == len(want) == len(every) * len(asked)
+    assert {(r.query_id, r.doc_id): r.closest for r in found} == want
