@@ -86,15 +86,35 @@ def test_level_is_the_least_sum_of_squares():
         assert total(packer.level(length)) == min(map(total, able))
 
 
+def test_few_ids_are_left_to_the_drain():
+    rng = np.random.default_rng(8)
+    for documents, most in ((250, 0.08), (8_000, 0.06)):
+        for sizes in (rng.integers(1, 1024, documents), np.minimum(rng.lognormal(5, 1, documents).astype(int) + 1, 1023)):
+            packer = packing.Packer(1024, 512)
+            windows = [w for doc, n in enumerate(sizes) for w in packer.add((doc, 0, np.zeros(n, "<u4"), n))]
+            assert all(sum(len(p[2]) for p in w) == 1024 for w in windows)
+            windows += packer.drain()
+            assert packer.placed == sizes.sum() == sum(len(p[2]) for w in windows for p in w)
+            assert packer.drained <= most * packer.placed + 8 * 1024
+            assert sum(len(w) for w in windows) <= documents + 2 * len(windows)
+
+
 def test_packed_query(spark):
-    df = frame(spark, HARD).repartition(3)
+    from tokenizers import Tokenizer
+
+    # the contract's call, independent of the operator's encoder
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    marked = ["hello <|endoftext|> x", "<|endoftext|><|endoftext|>", "é中<|endoftext|> ", "word " * 150_000 + "<|endoftext|> end"]
+    texts = [*HARD, *marked]
+    assert 50256 in plain.encode(marked[0], add_special_tokens=False).ids
+    df = frame(spark, texts).repartition(3)
     rows = queries.packed(df).collect()
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault((r.doc_id, r.doc_tokens), []).append((r.start, r.length, r.ids_crc32))
         by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for i, text in enumerate(HARD):
-        ids = np.append(ENCODER._reference(text or ""), 0).astype("<u4")
+    for i, text in enumerate(texts):
+        ids = np.append(plain.encode(text or "", add_special_tokens=False).ids, 0).astype("<u4")
         pieces = sorted(by_doc[(i if i != 3 else None, len(ids))])
         at = 0
         for start, length, crc in pieces:
