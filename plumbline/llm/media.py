@@ -2,14 +2,18 @@
 
 ``store`` turns every text into bytes padded with zeros to a positive multiple of
 64, encodes these as an 8-bit grey image of 64 samples a row (PNG, lossless) and
-appends the image to the archive of its task, a ZIP file in the shared folder
-that takes its name when it is whole. Equal payloads have equal bytes.
+appends the image to an archive of its task, a ZIP file in the shared folder whose
+name no other attempt of the task has. The ``_manifest`` table, committed by Spark,
+lists the archives of the attempts that counted, with marks in their directories:
+byte ranges whose entries hold about ``MARK`` bytes of images. What a lost or
+speculative attempt leaves behind is in no manifest and is never read. Equal
+payloads have equal bytes.
 
 ``MediaArchives`` is a Spark data source over such a folder. It plans partitions
-as byte ranges of the archives: a member belongs to the range in which its header
-begins, which the archive's directory tells. A partition seeks to each member on
-its own, checks its checksum, tries it again from its offset if reading fails, and
-streams members through Arrow in batches of bounded size.
+from the manifest, each a byte range of one archive's directory. A partition reads
+only its part of the directory, seeks to each member by its offset, checks its
+checksum, tries it again from that offset if reading fails, whatever became of
+others, and streams members through Arrow in batches of bounded size.
 
 Defined results: null text counts as empty and is stored as 64 zeros; a null id
 comes back null; repeated rows are members of their own; an empty table makes an
@@ -21,12 +25,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -40,7 +46,12 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 20
 #: Bytes after which a task begins another archive.
 ROLL = 256 << 20
+#: Bytes of images between two marks of a directory.
+MARK = 4 << 20
 LOCAL_HEADER = struct.Struct("<4sHHHHHLLLHH")
+ENTRY = struct.Struct("<4sHHHHHHLLLHHHHHLL")
+
+MANIFEST = "archive string, members long, bytes long, dir_start long, dir_end long"
 
 
 def payload(text: str | None) -> tuple[bytes, int]:
@@ -95,49 +106,65 @@ def features(samples: bytes) -> str:
     return f"n={len(own)};mean={own.mean():.6f};std={own.std():.6f};step={steps.mean():.6f};odd={int((own & 1).sum())};entropy={-(share * np.log2(share)).sum():.6f}"
 
 
-def _writer(folder: str, roll: int):
-    schema = pa.schema([("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64())])
+def _marks(archive: zipfile.ZipFile, mark: int) -> Iterator[tuple[int, int, int, int]]:
+    """(members, bytes of images, start, end) of neighbouring byte ranges of the directory of a closed archive."""
+    members = size = 0
+    start = at = archive.start_dir
+    for member in archive.infolist():
+        # entries have no extra fields: archives stay below the sizes that need them
+        at += ENTRY.size + len(member.filename) + len(member.comment)
+        members, size = members + 1, size + member.compress_size
+        if size >= mark:
+            yield members, size, start, at
+            start, members, size = at, 0, 0
+    if members:
+        yield members, size, start, at
+
+
+def _writer(folder: str, roll: int, mark: int):
+    schema = pa.schema([("archive", pa.string()), ("members", pa.int64()), ("bytes", pa.int64()), ("dir_start", pa.int64()), ("dir_end", pa.int64())])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        attempt = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         rows = pairs(stream)
         pending = next(rows, None)
         number, done = 0, []
         while pending is not None:
-            name = f"part-{part:06d}-{number:04d}.zip"
-            with storage.committed(folder, name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-                members = size = 0
-                while pending is not None and (not members or size < roll):
-                    doc, text = pending
-                    member = zipfile.ZipInfo(f"{members:08d}.png", (1980, 1, 1, 0, 0, 0))
-                    member.comment = b"" if doc is None else b"=" + str(doc).encode()
-                    image = encode(*payload(text))
-                    archive.writestr(member, image)
-                    members, size = members + 1, size + len(image)
-                    pending = next(rows, None)
-            done.append((name, members, size))
+            name = f"{attempt}-{number:04d}.zip"
+            with storage.committed(folder, name) as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    members = size = 0
+                    while pending is not None and (not members or size < roll):
+                        doc, text = pending
+                        member = zipfile.ZipInfo(f"{members:08d}.png", (1980, 1, 1, 0, 0, 0))
+                        member.comment = b"" if doc is None else b"=" + str(doc).encode()
+                        image = encode(*payload(text))
+                        archive.writestr(member, image)
+                        members, size = members + 1, size + len(image)
+                        pending = next(rows, None)
+            done += [(name, *found) for found in _marks(archive, mark)]
             number += 1
         yield from batches(iter(done), schema)
 
     return run
 
 
-def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, roll: int = ROLL) -> str:
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, roll: int = ROLL, mark: int = MARK) -> str:
     """Write every payload; the folder of the archives, in which ``_manifest`` lists them."""
     folder = folder or scratch(docs.sparkSession, "media")
-    docs.select(id_col, text_col).mapInArrow(_writer(folder, roll), "archive string, members long, bytes long").write.parquet(f"{folder}/_manifest")
+    docs.select(id_col, text_col).mapInArrow(_writer(folder, roll, mark), MANIFEST).write.parquet(f"{folder}/_manifest")
     return folder
 
 
 class Range(InputPartition):
-    """Members of an archive whose headers begin in [start, end)."""
+    """Members of an archive whose directory entries lie in the bytes [start, end) of the file."""
 
     def __init__(self, archive: str, start: int, end: int):
         self.archive, self.start, self.end = archive, start, end
 
 
 class MediaArchives(DataSource):
-    """Option ``path``: the folder; ``range_bytes``: bytes of an archive in one partition; ``attempts`` per member."""
+    """Option ``path``: the folder; ``range_bytes``: bytes of images in one partition; ``attempts`` per member."""
 
     @classmethod
     def name(cls) -> str:
@@ -157,7 +184,22 @@ class MediaReader(DataSourceReader):
         self.attempts = int(options.get("attempts", 3))
 
     def partitions(self) -> list[Range]:
-        found = [Range(name, at, min(at + self.range_bytes, size)) for name, size in storage.listing(self.folder, ".zip") for at in range(0, size, self.range_bytes)]
+        """Neighbouring marks of an archive, as the manifest lists them, up to ``range_bytes`` of images."""
+        fs, base = storage.located(self.folder)
+        marks = []
+        for name, _ in storage.listing(f"{self.folder}/_manifest", ".parquet"):
+            with fs.open_input_file(f"{base}/_manifest/{name}") as source:
+                table = pq.read_table(source, columns=["archive", "dir_start", "dir_end", "bytes"])
+            marks += zip(*(c.to_pylist() for c in table.columns), strict=True)
+        found: list[Range] = []
+        load = 0
+        for archive, start, end, size in sorted(marks):
+            if found and found[-1].archive == archive and load + size <= self.range_bytes:
+                found[-1].end = end
+                load += size
+            else:
+                found.append(Range(archive, start, end))
+                load = size
         return found or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -165,35 +207,55 @@ class MediaReader(DataSourceReader):
             return
         fs, base = storage.located(self.folder)
         path = f"{base}/{partition.archive}"
-
-        def open_archive():
-            return fs.open_input_file(path)
-
-        def directory() -> list[zipfile.ZipInfo]:
-            with open_archive() as source, zipfile.ZipFile(source) as archive:
-                return [m for m in archive.infolist() if partition.start <= m.header_offset < partition.end]
-
         held = [None]
 
-        def fetch(member: zipfile.ZipInfo) -> bytes:
-            """One member by its offset, whatever became of others; a fresh handle after an error."""
-            try:
-                if held[0] is None:
-                    held[0] = open_archive()
-                held[0].seek(member.header_offset)
-                head = LOCAL_HEADER.unpack(held[0].read(LOCAL_HEADER.size))
-                held[0].seek(head[9] + head[10], 1)
-                body = held[0].read(member.compress_size)
-                if head[0] != b"PK\x03\x04" or zlib.crc32(body) != member.CRC:
-                    raise ValueError(f"damaged member at {member.header_offset} of {path}")
-                return body
-            except (OSError, ValueError, struct.error) as error:
-                held[0] = None
-                raise ValueError(str(error)) from error
+        def taken(offset: int, size: int) -> bytes:
+            if held[0] is None:
+                held[0] = fs.open_input_file(path)
+            held[0].seek(offset)
+            found = held[0].read(size)
+            if len(found) != size:
+                raise ValueError(f"{path} ends within the {size} bytes at {offset}")
+            return found
+
+        def attempt(action, what: str):
+            """A fresh handle after an error."""
+
+            def once():
+                try:
+                    return action()
+                except storage.INPUT_ERRORS as error:
+                    held[0] = None
+                    raise ValueError(f"{what} of {path}: {error}") from error
+
+            return storage.retried(once, self.attempts)
+
+        def directory() -> list[tuple[str | None, int, int, int]]:
+            """(id, offset, size, checksum) of each entry."""
+            raw, at, entries = taken(partition.start, partition.end - partition.start), 0, []
+            while at < len(raw):
+                entry = ENTRY.unpack_from(raw, at)
+                if entry[0] != b"PK\x01\x02":
+                    raise ValueError("no directory entry where the manifest has one")
+                at += ENTRY.size + entry[10] + entry[11]
+                comment = raw[at : at + entry[12]]
+                at += entry[12]
+                entries.append((comment[1:].decode() if comment else None, entry[16], entry[8], entry[7]))
+            return entries
+
+        def member(offset: int, size: int, checksum: int) -> bytes:
+            head = LOCAL_HEADER.unpack(taken(offset, LOCAL_HEADER.size))
+            body = taken(offset + LOCAL_HEADER.size + head[9] + head[10], size)
+            if head[0] != b"PK\x03\x04" or zlib.crc32(body) != checksum:
+                raise ValueError("damaged member")
+            return body
+
+        def rows() -> Iterator[tuple]:
+            for doc, offset, size, checksum in attempt(directory, f"directory at {partition.start}"):
+                yield doc, partition.archive, offset, attempt(lambda: member(offset, size, checksum), f"member at {offset}")  # noqa: B023
 
         schema = pa.schema([("member_id", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("media", pa.binary())])
-        rows = ((m.comment[1:].decode() if m.comment else None, partition.archive, m.header_offset, storage.retried(lambda m=m: fetch(m), self.attempts)) for m in storage.retried(directory, self.attempts))
-        yield from batches(rows, schema, lambda row: 128 + len(row[3]))
+        yield from batches(rows(), schema, lambda row: 128 + len(row[3]))
 
 
 def load(spark, folder: str, range_bytes: int = 16 << 20, attempts: int = 3) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
+import zipfile
+import zlib
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -22,8 +25,9 @@ def located(uri: str) -> tuple[pafs.FileSystem, str]:
 def committed(folder: str, name: str):
     """An output stream under a temporary name that takes its own name at the end.
 
-    A task that is lost leaves a file with a leading dot, which nobody reads; one
-    that runs again replaces the same name by the same bytes.
+    A task that is lost leaves a file with a leading dot, which nobody reads. One
+    that runs again makes the same bytes, so a file that already stands under the
+    name with the same size is left alone: no reader ever finds the name gone.
     """
     fs, base = located(folder)
     fs.create_dir(base, recursive=True)
@@ -31,8 +35,13 @@ def committed(folder: str, name: str):
     with fs.open_output_stream(temporary) as out:
         yield out
     final = f"{base}/{name}"
-    if not isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(final).type != pafs.FileType.NotFound:
-        fs.delete_file(final)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        before = fs.get_file_info(final)
+        if before.type != pafs.FileType.NotFound:
+            if before.size == fs.get_file_info(temporary).size:
+                fs.delete_file(temporary)
+                return
+            fs.delete_file(final)
     fs.move(temporary, final)
 
 
@@ -43,12 +52,16 @@ def listing(folder: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(suffix) and not f.base_name.startswith("."))
 
 
+#: What reading a file that is torn, or not quite there yet, may raise.
+INPUT_ERRORS = (OSError, ValueError, EOFError, struct.error, zlib.error, zipfile.BadZipFile)
+
+
 def retried(action: Callable, attempts: int):
     """The action's result; it is tried again after an input error, up to ``attempts`` times in all."""
     for attempt in range(attempts):
         try:
             return action()
-        except (OSError, ValueError):
+        except INPUT_ERRORS:
             if attempt == attempts - 1:
                 raise
     raise AssertionError

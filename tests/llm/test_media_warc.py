@@ -1,11 +1,12 @@
 """Round trips through archives and files, and the defined cases."""
 
 import hashlib
+import zipfile
 import zlib
 
 import pytest
 
-from plumbline.llm import media, storage, warc
+from plumbline.llm import common, media, storage, warc
 
 TEXTS = [None, "", "a", "x" * 64, "x" * 65, "Äöü\x00", "tail\x00\x00", "long " * 300_000, "x" * 64]
 
@@ -46,7 +47,134 @@ def test_archives(spark):
         assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
 
 
-def test_retry_by_offset():
+class Flaky:
+    """A file system whose reads at given offsets fail so many times; it notes where reads began."""
+
+    def __init__(self, fs, failing):
+        self.fs, self.failing, self.seen = fs, failing, []
+
+    def open_input_file(self, path):
+        source, outer = self.fs.open_input_file(path), self
+
+        class File:
+            def seek(self, at):
+                source.seek(at)
+
+            def read(self, size):
+                at = source.tell()
+                outer.seen.append(at)
+                if outer.failing.get(at, 0):
+                    outer.failing[at] -= 1
+                    raise OSError("connection lost")
+                return source.read(size)
+
+        return File()
+
+
+def test_members_are_retried_by_offset(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"text number {i} " * 20) for i in range(12)], "doc_id long, text string").coalesce(1)
+    folder = media.store(df)
+    want = {r.member_id: (r.offset, r.media) for r in media.load(spark, folder).collect()}
+    reader = media.MediaReader({"path": folder})
+    (part,) = reader.partitions()
+    located = storage.located
+
+    def read(failing):
+        flaky = []
+
+        def through(uri):
+            fs, base = located(uri)
+            flaky.append(Flaky(fs, failing))
+            return flaky[0], base
+
+        monkeypatch.setattr(storage, "located", through)
+        try:
+            rows = [r for batch in reader.read(part) for r in batch.to_pylist()]
+        finally:
+            monkeypatch.setattr(storage, "located", located)
+        return rows, flaky[0].seen
+
+    bad = want["5"][0]
+    rows, seen = read({bad: 2, part.start: 1})
+    assert {r["member_id"]: (r["offset"], r["media"]) for r in rows} == want
+    # the bad member alone was read again, from its own offset
+    assert seen.count(bad) == 3 and seen.count(part.start) == 2 and seen.count(want["4"][0]) == seen.count(want["6"][0]) == 1
+    with pytest.raises(ValueError, match=f"member at {bad}"):
+        read({bad: 3})
+
+
+def test_only_archives_of_the_manifest_are_read(spark):
+    df = spark.createDataFrame([(i, f"row {i}") for i in range(6)], "doc_id long, text string").repartition(2)
+    folder = media.store(df)
+    fs, base = storage.located(folder)
+    name = storage.listing(folder, ".zip")[0][0]
+    # what a lost or speculative attempt leaves behind: a whole archive and a torn one
+    whole = fs.open_input_file(f"{base}/{name}").read()
+    for left, data in (("part-000000-other-0000.zip", whole), ("part-000009-torn-0000.zip", whole[:40])):
+        with fs.open_output_stream(f"{base}/{left}") as out:
+            out.write(data)
+    assert sorted(int(r.member_id) for r in media.load(spark, folder).collect()) == list(range(6))
+    # a damaged archive of the manifest is an error, never a missing row
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(whole[: len(whole) // 2])
+    with pytest.raises(Exception, match="of .*zip"):
+        media.load(spark, folder).collect()
+
+
+def test_directories_are_cut_into_ranges(spark):
+    df = spark.createDataFrame([(i, "x" * 2000 + str(i)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    folder = media.store(df, mark=1000)
+    parts = media.MediaReader({"path": folder, "range_bytes": "5000"}).partitions()
+    assert len(parts) > 3 and all(a.end == b.start for a, b in zip(parts, parts[1:]))
+    found = media.load(spark, folder, range_bytes=5000)
+    assert found.rdd.getNumPartitions() == len(parts) and sorted(int(r.member_id) for r in found.collect()) == list(range(300))
+
+
+def test_shared_folder_is_never_local_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Inner:
+                    @staticmethod
+                    def getCheckpointDir():
+                        class Nothing:
+                            @staticmethod
+                            def isDefined():
+                                return False
+
+                            @staticmethod
+                            def get():
+                                raise AssertionError
+
+                        return Nothing
+
+                return Inner
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(Session)
+
+
+def test_tables_are_dropped(spark):
+    table = common.written(spark.range(3), "numbers")
+    folder, path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, table._scratch
+    fs = folder(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert table.count() == 3 and fs.exists(folder(path))
+    common.dropped(table)
+    assert not fs.exists(folder(path))
+
+
+def test_retries():
     calls = []
 
     def flaky():
@@ -59,6 +187,15 @@ def test_retry_by_offset():
     with pytest.raises(OSError):
         calls.clear()
         storage.retried(flaky, 2)
+    torn = iter([zipfile.BadZipFile("no directory"), zlib.error("cut off"), None])
+
+    def damaged():
+        error = next(torn)
+        if error:
+            raise error
+        return 8
+
+    assert storage.retried(damaged, 3) == 8
 
 
 def test_empty_archives(spark):
