@@ -73,6 +73,12 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that clashes with no column."""
+    taken = {c.lower() for c in columns}
+    return [next(n for n in (f"__{stem}{i}" for i in range(len(taken) + 1)) if n not in taken) for stem in stems]
+
+
 def batches(rows: Iterator[tuple], schema: pa.Schema, weigh=lambda row: 64, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Rows in Arrow batches of about ``limit`` bytes as ``weigh`` counts them."""
     columns: list[list] = [[] for _ in schema]

@@ -30,16 +30,19 @@ shingles under each of ``BANDS`` x ``ROWS`` hash functions is taken, and texts t
 in all rows of a band share a bucket. A pair of similarity J shares one with probability
 1 - (1 - J**ROWS)**BANDS, whatever its length: 0.99994 at 0.8. Nodes are distinct texts,
 so that texts of an equal fingerprint keep their own buckets. A member is compared, by
-its whole text, with the least and the greatest member of each of its buckets, in one of
-four orders that the bucket's key picks; so rows stay linear in a bucket's size, buckets
-of up to three have all their pairs compared, and in larger ones a pair may be linked
-through others only. A link counts if the similarity is reached.
+its whole text, with three members of each of its buckets: the least and the greatest, in
+one of four orders that the bucket's key picks, and the hub, the one that meets most texts
+over all its buckets. So rows stay linear in a bucket's size, buckets of up to three have
+all their pairs compared, and in larger ones a pair may be linked through others only. A
+link counts if the similarity is reached.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked
 like any other; every row is a node of its own and repeated rows share a group; a
 null id is the least of a group only if the group has no other; an empty table
-yields no rows; other columns are ignored. ``representatives`` keeps the rows of
-the least id of each group, equal rows once, with all columns as they came.
+yields no rows; other columns are ignored. ``representatives`` keeps one row of each
+group, that of the least id (null last) and of its rows that of the least text digest,
+whatever ids repeat or are null, with all columns as they came; of rows that are equal
+in id and text any one stays.
 """
 
 from __future__ import annotations
@@ -53,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, pairs, written
+from plumbline.llm.common import batches, dropped, free, pairs, written
 
 SEED = 42
 SIMILAR_WORDS = 5
@@ -135,7 +138,7 @@ def jaccard(left: str | None, right: str | None, size: int = SIMILAR_WORDS) -> f
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def _keyed(size: int, id_type: pa.DataType):
+def _keyed(size: int, id_type: pa.DataType, similar: bool):
     schema = pa.schema([("doc_id", id_type), ("fp", pa.int64()), ("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +147,7 @@ def _keyed(size: int, id_type: pa.DataType):
                 for i in range(batch.num_rows):
                     doc, text, node = (batch.column(c)[i].as_py() for c in range(3))
                     fp = fingerprint(text, size)
-                    yield doc, fp - (1 << WIDTH) if fp >> (WIDTH - 1) else fp, node, band_keys(text)
+                    yield doc, fp - (1 << WIDTH) if fp >> (WIDTH - 1) else fp, node, band_keys(text) if similar else []
 
         yield from batches(rows(), schema, lambda row: 64 + 8 * len(row[3]))
 
@@ -168,14 +171,20 @@ def _similar(similarity: float):
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``nodes``: (node, fp, least_id, keys)."""
-    # the key's last two bits, put before the node's own, pick the order of its bucket
+    """A table of edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``nodes``: (node, fp, least_id, keys)."""
+    # the key's last two bits, put over the node's first ones, pick the order of its bucket
     turn = F.shiftleft(F.col("key"), WIDTH - 2)
     keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("at", F.col("node").bitwiseXOR(turn))
-    crowded = keyed.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi")
-    crowded = written(crowded.select("key", F.array(F.col("lo").bitwiseXOR(turn), F.col("hi").bitwiseXOR(turn)).alias("reps")), "crowded-bands")
-    met = keyed.select("node", "key").join(crowded, "key").select("node", F.explode("reps").alias("rep")).where("node <> rep")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi")
+    crowded = written(crowded.select("key", "n", F.array(F.col("lo").bitwiseXOR(turn), F.col("hi").bitwiseXOR(turn)).alias("reps")), "crowded-bands")
+    members = written(keyed.select("node", "key").join(crowded, "key"), "band-members")
+    # the member that meets most others: what a family of near copies was made from meets nearly all of it
+    meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
+    hubs = members.select("node", "key").join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub"))
+    hubs = written(hubs.select("key", F.col("hub.node").alias("hub")), "band-hubs")
+    met = members.join(hubs, "key").select("node", F.explode(F.array_append("reps", F.col("hub"))).alias("rep")).where("node <> rep")
     candidates = written(met.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct(), "candidates")
+    dropped(crowded, members, hubs)
     wanted = candidates.select("node").union(candidates.select("rep")).distinct()
     wanted = written(nodes.select("node", "fp", "least_id").join(wanted, "node"), "wanted")
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).withColumn("own_node", F.xxhash64("text"))
@@ -183,9 +192,12 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     same = F.col("own_id").eqNullSafe(F.col("least_id")) & (F.col("own_node") == F.col("node"))
     texts = own.join(wanted.hint("shuffle_hash"), same).select("least_id", "node", "fp", "text").dropDuplicates(["least_id", "node"])
     texts = written(texts.select("node", "fp", "text"), "wanted-texts")
+    dropped(wanted)
     left = candidates.join(texts.select("node", F.col("fp").alias("a"), F.col("text").alias("left")), "node")
     both = left.join(texts.select(F.col("node").alias("rep"), F.col("fp").alias("b"), F.col("text").alias("right")), "rep").where("a <> b")
-    return both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct()
+    found = written(both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
+    dropped(candidates, texts)
+    return found
 
 
 def _printer(size: int, id_type: pa.DataType):
@@ -206,13 +218,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(_printer(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long")
 
 
-def _with_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp, node, keys): the fingerprint, the digest that names the text, and the keys of its bands."""
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, shingle: int, similar: bool) -> DataFrame:
+    """(doc_id, fp, node, keys): the fingerprint, the digest that names the text, and the keys of its bands if asked for."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = docs.schema[id_col].dataType
     own = docs.select(id_col, text_col, F.xxhash64(text_col).alias("node"))
-    return own.mapInArrow(_keyed(shingle, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, fp long, node long, keys array<long>")
+    return own.mapInArrow(_keyed(shingle, to_arrow_type(kind), similar), f"doc_id {kind.simpleString()}, fp long, node long, keys array<long>")
 
 
 def _flips(fp, mask: int, count: int):
@@ -252,7 +264,10 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each node's component, for every node of the edges (a, b) with a > b."""
+    """(node, root): the least node of each node's component, for every node of the edges (a, b) with a > b.
+
+    Every table of a round goes once the next round's stands.
+    """
     edges = written(edges, "links")
     for _ in range(rounds):
         # large star: every greater neighbour of a node goes to the least of its neighbourhood
@@ -261,10 +276,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = written(least, "least-of-all")
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = written(large, "large-star")
+        dropped(edges, least)
         # small star: a node and its lesser neighbours go to the least of these
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least-below")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        dropped(large, least)
         # stars only: no node is both a member and a centre, and no member has two centres
         state = small.agg(F.count("*").alias("n"), F.countDistinct("a").alias("members")).first()
         inner = small.select("b").distinct().join(small.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
@@ -274,27 +291,35 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the least id that links lead to, the row's own included.
-
-    ``similarity``: also link texts that share so much of their five-word shingles.
-    """
-    if similarity is None:
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, similarity: float | None, by_text: bool) -> DataFrame:
+    """(doc_id, fp, component_id), with ``by_text`` also the ``node`` that names the text, of every row."""
+    if not by_text and similarity is None:
         prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    else:
+        prints = written(_with_keys(docs, id_col, text_col, shingle, similarity is not None), "fingerprints")
+    if similarity is None:
         distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-        edges = links(distinct.select("fp"), radius)
+        roots = components(links(distinct.select("fp"), radius))
     else:
-        prints = written(_with_keys(docs, id_col, text_col, shingle), "fingerprints")
         nodes = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id"), F.max("keys").alias("keys")), "distinct-texts")
-        prints = prints.select("doc_id", "fp")
         distinct = written(nodes.groupBy("fp").agg(F.min("least_id").alias("least_id")), "distinct-fingerprints")
-        edges = links(distinct.select("fp"), radius).unionAll(similar_links(docs, nodes, similarity, id_col, text_col)).distinct()
-    roots = components(edges)
+        similar = similar_links(docs, nodes, similarity, id_col, text_col)
+        roots = components(links(distinct.select("fp"), radius).unionAll(similar).distinct())
+        dropped(nodes, similar)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     named = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named-roots")
-    named = written(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "named-fingerprints")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    members = written(rooted.select("fp", "root").join(named, "root").select("fp", "component_id", "root"), "named-fingerprints")
+    dropped(distinct, rooted, named)
+    return prints.join(members, "fp").select("doc_id", "fp", "component_id", *(["node", "root"] if by_text else []))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: the least id that links lead to, the row's own included.
+
+    ``similarity``: also link texts that share so much of their five-word shingles.
+    """
+    return _grouped(docs, id_col, text_col, shingle, radius, similarity, False)
 
 
 def hexadecimal(fp):
@@ -303,11 +328,12 @@ def hexadecimal(fp):
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, that of the least id."""
-    found = groups(docs, id_col, text_col, shingle, radius, similarity)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = written(kept, "kept-ids")
-    # shuffled at every size: the kept ids grow with the documents, so they are never broadcast
-    own = docs.join(kept.hint("shuffle_hash"), docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col, text_col])
-    nameless = kept.where("kept_id is null").limit(1)
-    return own.unionByName(docs.where(F.col(id_col).isNull()).join(F.broadcast(nameless), F.lit(True), "left_semi").dropDuplicates([text_col]))
+    """The rows of ``docs`` that stay: one of each group."""
+    found = _grouped(docs, id_col, text_col, shingle, radius, similarity, True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "node"))
+    kept_id, kept_node = free(docs.columns, "kept_id", "kept_node")
+    kept = written(found.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias(kept_id), F.col("first.node").alias(kept_node)), "kept-rows")
+    # shuffled at every size: the kept rows grow with the documents, so they are never broadcast;
+    # the text's digest is part of the key, so that rows without an id, or of one id, spread
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(kept_id)) & (F.xxhash64(text_col) == F.col(kept_node))
+    return docs.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, text_col])

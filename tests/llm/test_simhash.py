@@ -157,3 +157,78 @@ def test_long_and_short_similar_texts_are_linked(spark):
     roots = {r.doc_id: r.component_id for r in found if r.doc_id is not None and r.doc_id < 5000}
     assert roots == {d: d - d % 2 for d in range(14)} and {d for d in roots.values()} == want
     assert sorted({r.component_id for r in found if r.doc_id is None}) == [5000]
+
+
+def same_rows(spark, rows, similarity):
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, node int")
+    found = simhash.representatives(df, similarity=similarity)
+    assert found.columns == df.columns
+    return sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.kept_id or "") for r in found.collect())
+
+
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_one_row_of_each_group_whatever_the_ids(spark, similarity):
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(900)]
+    a, b, c = (" ".join(rng.choices(words, k=50)) for _ in range(3))
+    # exact copies under ids that repeat or are null
+    assert [r[:3] for r in same_rows(spark, [(0, a, None, 1), (1, a, None, 1), (1, b, None, 1)], similarity)] == [(False, 0, a), (False, 1, b)]
+    assert [r[:3] for r in same_rows(spark, [(None, a, None, 1), (0, a, None, 1), (None, b, None, 1)], similarity)] == [(False, 0, a), (True, 0, b)]
+    assert [r[:3] for r in same_rows(spark, [(None, a, "x", 1), (None, a, "y", 1), (None, b, None, 1), (7, c, None, 1), (7, c, None, 2), (7, a.upper(), None, 1)], similarity)] == [(False, 7, a.upper()), (False, 7, c), (True, 0, b)]
+    # every text stands for itself where one id holds many
+    assert len(same_rows(spark, [(5, " ".join(rng.choices(words, k=40)), None, i) for i in range(60)], similarity)) == 60
+    # null, empty and blank texts are one group
+    assert len(same_rows(spark, [(None, None, None, 1), (3, "", None, 1), (2, " ", None, 1)], similarity)) == 1
+
+
+def brute_components(texts, similarity):
+    """Groups by fingerprints of at most two bits and by similarity, over all pairs."""
+    prints = [simhash.fingerprint(t, 3) for t in texts]
+    sets = [set(simhash.shingles(t, simhash.SIMILAR_WORDS)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if bin(prints[i] ^ prints[j]).count("1") <= 2 or both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_recall_in_large_families(spark):
+    """Families of many near copies, so that buckets hold far more texts than are compared in each."""
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(4000)]
+    texts = []
+    for family in range(6):
+        base = rng.choices(words, k=150)
+        texts.append(" ".join(base))
+        for _ in range(40):
+            own = list(base)
+            for at in rng.sample(range(150), rng.randint(1, 3)):
+                own[at] = "new%d" % rng.randrange(10**6)
+            texts.append(" ".join(own))
+    texts += [" ".join(rng.choices(words, k=rng.randint(20, 200))) for _ in range(100)]
+    want = brute_components(texts, 0.8)
+    found = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=0.8).collect()}
+    assert all(want[i] == want[found[i]] for i in found)
+    linked = [i for i in found if want[i] != i]
+    assert sum(found[i] != i for i in linked) >= 0.99 * len(linked) and len(linked) > 200
+
+
+def test_recall_on_the_documents(spark):
+    """Every link of the documents, by two bits or by 0.8 of five-word shingles, over all pairs that share a shingle."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.orderBy("doc_id").collect()
+    want = brute_components([r.text for r in rows], 0.8)
+    found = {r.doc_id: r.component_id for r in simhash.groups(docs, similarity=0.8).collect()}
+    least = {}
+    for r, g in zip(rows, want):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    assert found == {r.doc_id: least[g] for r, g in zip(rows, want)}
