@@ -143,6 +143,72 @@ def test_kneser_ney_sums_to_one_and_separates():
     assert model.predict("the hat")[0] == "en" and model.predict("schöne katze")[0] == "de"
 
 
+def brute_kneser_ney(texts):
+    """p(symbol after three others) by the definition: plain dictionaries of tuples, orders by recursion."""
+    grams = []
+    for text in texts:
+        own = [0, 0, 0, *langid.symbols(text).tolist(), 0]
+        grams += [tuple(own[i - 3 : i + 1]) for i in range(3, len(own))]
+    counts = {4: {}}
+    for g in grams:
+        counts[4][g] = counts[4].get(g, 0) + 1
+    for n in (3, 2, 1):  # of every shorter gram, the kinds of symbols that stand before it
+        counts[n] = {}
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+    def discount(n):
+        ones, twos = (sum(1 for c in counts[n].values() if c == k) for k in (1, 2))
+        return min(max(ones / (ones + 2 * twos), 0.1), 0.9) if ones and twos else 0.5
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 64
+        follow = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not follow:
+            return p(gram[1:])
+        d, total = discount(n), sum(follow.values())
+        return max(follow.get(gram, 0) - d, 0) / total + d * len(follow) / total * p(gram[1:])
+
+    return p
+
+
+def test_probabilities_equal_the_definition():
+    rng = random.Random(5)
+    texts = {"en": ["the cat sat on the mat with the hat", "that cat ate"], "de": ["der hund und die katze", "im schönen haus"], "xx": ["zzz"]}
+    model = langid.build({k: tuple(np.unique(np.concatenate([langid.codes(t) for t in v]), return_counts=True)) for k, v in texts.items()})
+    plain = {lang: brute_kneser_ney(v) for lang, v in texts.items()}
+    seen = [int(c) for v in texts.values() for t in v for c in langid.codes(t)]
+    for code in [*rng.sample(seen, 40), *(rng.randrange(1 << 24) for _ in range(40)), *(c ^ rng.randrange(64) for c in rng.sample(seen, 30))]:
+        bits = model.entropies(np.array([code], np.uint32))
+        gram = tuple(code >> shift & 63 for shift in (18, 12, 6, 0))
+        for at, lang in enumerate(model.langs):
+            assert abs(2.0 ** -bits[at] - plain[lang](gram)) < 1e-5 * max(plain[lang](gram), 1e-3)
+    whole = langid.codes("the house of katze " * 9_000)
+    by_one = sum(model.entropies(whole[i : i + 1]) for i in range(200)) / 200
+    assert np.allclose(model.entropies(whole[:200]), by_one, atol=1e-5)
+    assert np.allclose(model.entropies(whole), sum(model.entropies(part) * len(part) for part in np.array_split(whole, 3)) / len(whole), atol=1e-6)
+
+
+def test_language_ties_and_repeated_ids(spark):
+    same = ["one and the same text", "another text"]
+    rows = [(7, t, lang) for t in same for lang in ("b", "a")] * 40 + [(None, same[0], "a")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.build({k: tuple(np.unique(np.concatenate([langid.codes(t) for t in same]), return_counts=True)) for k in ("b", "a")})
+    # equal models: the language first in sorting order, at even odds
+    assert model.langs == ["a", "b"] and model.predict("one text")[:2] == ("a", 0.5)
+    # rows of one id, or without one, never make the sample larger than asked for
+    taken = []
+    original = langid.calibrate
+    try:
+        langid.calibrate = lambda model, rows, **k: taken.append(len(rows)) or original(model, rows, **k)
+        langid.train(df, calibration_rows=25)
+    finally:
+        langid.calibrate = original
+    assert taken == [25]
+
+
 def test_language_cases(spark):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog ran home", "en"), ("der hund und die katze laufen", "de")] * 30 + [("no label", None)])], "doc_id long, text string, lang string")
     model = langid.train(train)
