@@ -14,8 +14,9 @@ piece of its own may stand alone at the lowest score less ``UNKNOWN_PENALTY``;
 with byte pieces it counts one piece for each byte, otherwise a run of such
 characters counts one piece.
 
-Words repeat, so each worker keeps the counts of the words it has met, and empties
-that memory when it holds ``cache_words`` of them; counts don't depend on it.
+Words repeat, so each worker keeps the counts of the words it has met; when it holds
+``cache_words`` of them it forgets the half that it met first, so that frequent words
+are soon back without all others going. Counts don't depend on it.
 
 Defined results: null and empty texts count 0 with score 0; repeated rows are
 counted once each; an empty table yields no rows; other columns are ignored
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,11 +104,15 @@ class Counter:
             settle(done)
         return count[n], lost[n], best[n]
 
+    def _halve(self, memory: dict) -> None:
+        if len(memory) >= self.cache_words:
+            for word in list(islice(memory, (len(memory) + 1) // 2)):
+                del memory[word]
+
     def _bare(self, part: str) -> tuple[int, int, float]:
         found = self.bare.get(part)
         if found is None:
-            if len(self.bare) >= self.cache_words:
-                self.bare.clear()
+            self._halve(self.bare)
             found = self.bare[part] = self.viterbi(part)
         return found
 
@@ -119,8 +125,7 @@ class Counter:
         return self._keep(word)
 
     def _keep(self, word: str) -> tuple[int, int, float]:
-        if len(self.marked) >= self.cache_words:
-            self.marked.clear()
+        self._halve(self.marked)
         found = self.marked[word] = self.viterbi(MARK + word)
         return found
 
