@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
-Fitting takes a bounded sample of labelled documents: at most about
-``sample_rows`` of each class, chosen by the hash of their id, so that it may be
-broadcast. Over the sample, words and their prefixes of three to six letters are
+Fitting takes a bounded sample of labelled documents: at most ``sample_rows`` ids
+of each class, those of the least hashes, so that the ids may be broadcast, and one
+text of each id, the least if it has several. Over the sample, words and their prefixes of three to six letters are
 counted by class; those that a likelihood-ratio test finds bound to toxic
 documents, at ``least_lift`` times the rate of clean ones, are the features, at
 most ``max_features`` of them. A word of a toxic document is
@@ -35,13 +35,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, pairs, written
+from plumbline.llm.common import batches, dropped, pairs, written
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6)
@@ -292,7 +293,7 @@ def _evidence(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, chain_rows: int = 1_500, max_features: int = 4_096, purity: float = 0.9, least_ratio: float = 30.0, least_lift: float = 3.0) -> Model:
-    """Fit on at most about ``sample_rows`` labelled documents of each class, the chain on ``chain_rows`` of each."""
+    """Fit on at most ``sample_rows`` labelled documents of each class, the chain on about ``chain_rows`` of each."""
     context = docs.sparkSession.sparkContext
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).cast("long").alias("toxic"))
     share = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -302,11 +303,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not clean or not toxic:
         return model
     spread = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) / 1_000_000
-    least = F.when(F.col("toxic") == 1, min(1.0, sample_rows / toxic)).otherwise(min(1.0, sample_rows / clean))
     for_chain = F.when(F.col("toxic") == 1, min(0.5, chain_rows / toxic)).otherwise(min(0.5, chain_rows / clean))
-    chosen = known.where(spread < least).select(id_col, "toxic", (spread < for_chain).alias("chain"))
-    # bounded by sample_rows of each class
-    sample = written(docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col).select("toxic", "text", "chain"), "toxic-sample")
+    spreads = known.select(id_col, "toxic", spread.alias("spread"))
+    # bounded by sample_rows of each class, whatever hashes are equal
+    chosen = reduce(DataFrame.unionAll, [spreads.where(F.col("toxic") == side).orderBy("spread", id_col).limit(sample_rows) for side in (0, 1)])
+    chosen = chosen.select(id_col, "toxic", (F.col("spread") < for_chain).alias("chain"))
+    found = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
+    # one text of each id: many rows may have one
+    sample = written(found.groupBy(id_col).agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"), F.first("chain").alias("chain")).select("toxic", "text", "chain"), "toxic-sample")
 
     words = sample.select("toxic", "text").mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     every = F.array(F.concat(F.lit("="), "word"), *(F.when(F.length("word") > n, F.substring("word", 1, n)) for n in PREFIXES))
@@ -336,6 +340,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len({row[0] for row in rows}) == 2:
         ones = sum(row[0] for row in rows)
         model.calibration = fit_score(rows, ((1 - base) / (len(rows) - ones), base / ones))
+    dropped(sample)
     return model
 
 
