@@ -249,6 +249,70 @@ def dense(emission, trans):
     return toxic / mass, mass
 
 
+def test_expectations_equal_all_label_sequences():
+    rng = np.random.default_rng(11)
+    lengths = [1, 2, 5, 8]
+    emission = rng.normal(0, 1.5, (len(lengths), toxicity.SEGMENT))
+    trans, weights = np.exp(rng.normal(0, 1, (2, 2))), np.array([1.0, 2.0, 1.0, 16.0])
+    valid = np.arange(toxicity.SEGMENT)[None, :] < np.array(lengths)[:, None]
+    marginals, joint = toxicity._expectations(emission, trans, valid, weights)
+    want = np.zeros((2, 2))
+    for i, n in enumerate(lengths):
+        p, mass = dense(emission[i, :n], trans)
+        assert np.allclose(marginals[i, :n], p) and not marginals[i, n:].any()
+        for code in range(1 << n):
+            y = [code >> k & 1 for k in range(n)]
+            share = np.exp(sum(e for e, s in zip(emission[i], y) if s)) * np.prod([trans[a, b] for a, b in zip(y, y[1:])]) / mass
+            for a, b in zip(y, y[1:]):
+                want[a, b] += weights[i] * share
+    assert np.allclose(joint, want)
+
+
+def test_score_is_the_logistic_of_evidence_by_enumeration():
+    model = toxicity.Model({"=bad": 0, "=odd": 1}, {0}, np.array([5.0, 2.5]), -4.0, np.array([[0.2, -0.5], [-0.1, 0.9]]), (-1.0, 0.7, 0.4))
+    model.prepare()
+    for text in ("", "a", "bad", "a b bad c odd odd d", "bad bad a a a a odd"):
+        n, places, features = model.tokens(text)
+        emission = np.array([model.bias + sum(model.weights[list(dict(zip(places, features)).get(i, ()))]) for i in range(n)])
+        p = dense(emission, np.exp(model.transitions))[0][places] if n else np.empty(0)
+        any_toxic = min(max(1 - np.prod(1 - p), 1e-6), 1 - 1e-9)
+        z = -1.0 + 0.7 * np.log(any_toxic / (1 - any_toxic)) + 0.4 * np.log1p(p.sum())
+        assert abs(model.score(model.marginals(n, places, features)) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_calibration_is_the_weighted_logistic_regression():
+    rng = np.random.default_rng(12)
+    rows = [(int(x + rng.normal() > 1), x, abs(x)) for x in rng.normal(0, 2, 400)]
+    a, b, c = toxicity.fit_score(rows, (0.9 / 250, 0.1 / 150))
+    y, x = np.array([r[0] for r in rows]), np.array([[1, r[1], r[2]] for r in rows])
+    w = np.where(y > 0, 0.1 / 150, 0.9 / 250)
+
+    def loss(theta):
+        z = x @ theta
+        ridge = np.array([1e-6, 1e-2, 1e-2]) * w.sum() * 1e-2
+        return float((w * (np.logaddexp(0, z) - y * z)).sum() + (ridge * theta**2).sum() / 2)
+
+    own = loss(np.array([a, b, c]))
+    # coefficients are never below zero; along every other direction the loss does not fall
+    for step in np.eye(3) * 0.02:
+        for moved in (np.array([a, b, c]) + step, np.array([a, b, c]) - step):
+            assert moved[1:].min() < 0 or loss(moved) >= own - 1e-9
+
+
+def test_many_rows_of_one_id_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(300)] + [(None, "vile")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    original = toxicity.written
+    try:
+        toxicity.written = lambda df, name: seen.append(df.count()) or original(df, name)
+        toxicity.train(docs, labels)
+        toxicity.train(docs, labels, sample_rows=1)
+    finally:
+        toxicity.written = original
+    assert seen == [3, 2]
+
+
 def test_toxicity_learns_and_cases(spark):
     rng = np.random.default_rng(3)
     plain = ["w%s" % "abcdefghij"[i] for i in range(10)]
@@ -297,7 +361,7 @@ def test_contamination_against_brute_force(spark):
                     ids.add(str(item))
         want[d if d != 3 else None] = (len(own), len(hit), sorted(ids))
     table = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (1 << 20, 40):
+    for limit in (1 << 20, 40, 200):
         found = decontam.contamination(frame(spark, texts), table, max_bytes=limit).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in found} == want
     text = texts[-2]
@@ -309,6 +373,20 @@ def test_contamination_against_brute_force(spark):
     assert decontam.contamination(empty(spark), table).count() == 0
 
 
+def test_codes_of_words_begin_and_end_at_words():
+    rng = random.Random(2)
+    vocabulary = ["w%d" % i for i in range(300)]  # two letters a word
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=3))) for i in range(2000)]
+    machine = decontam.Automaton(items, 10)
+    assert machine.width == 2
+    wanted = {}
+    for item_id, text in items:
+        wanted.setdefault(tuple(decontam.words(text)), set()).add(item_id)
+    own = decontam.words(" ".join(rng.choices([*vocabulary, "other"], k=20_000)))
+    want = sorted((i, sorted(wanted[tuple(own[i : i + 3])])) for i in range(len(own) - 2) if tuple(own[i : i + 3]) in wanted)
+    assert want and sorted((at, sorted(ids)) for at, n, ids in machine.scan(own)) == want
+
+
 # licences
 
 
