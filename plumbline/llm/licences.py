@@ -4,8 +4,8 @@
 characters than letters and digits into one space and replaces equivalent
 spellings. A whole text is a licence if the digest of its canonical form equals
 that of a known licence: one hash join against the known digests, a table of
-fixed size that is broadcast. Each line is digested alike and looked up among the
-digests of known one-line notices, so a document also tells what it refers to.
+fixed size that is broadcast. Each line that has a notice's longest word is digested alike and
+looked up among the digests of known one-line notices, so a document also tells what it refers to.
 Nothing is shuffled; a hot source or a group of copies is spread as the scan is.
 
 Known whole texts: MIT, BSD-2-Clause, BSD-3-Clause, ISC, 0BSD, Zlib and the files of
@@ -20,6 +20,7 @@ empty table yields no rows; other columns are ignored whatever their names.
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -202,6 +203,18 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
+def marks(notices) -> str:
+    """A pattern that every line with the canonical form of a notice matches: each notice's longest word, in any spelling."""
+    respelled = dict(SPELLINGS)
+    loose = {word for _, new in SPELLINGS if " " in new for word in new.split()}
+    found: set[str] = set()
+    for _, line in notices:
+        words = {word for word in (respelled.get(w, w) for w in re.findall(r"[^\W_]+", line.lower())) if " " not in word} - loose
+        longest = max(words, key=lambda word: (len(word), word), default="")
+        found |= {longest, *(old.split()[0] for old, new in SPELLINGS if new == longest)}
+    return f"(?iu)(?:{'|'.join(map(re.escape, sorted(found)))})"
+
+
 def known(spark: SparkSession, rows) -> DataFrame:
     """(license_id, digest) of texts, one row for each digest."""
     table = spark.createDataFrame(list(rows), "license_id string, text string")
@@ -224,7 +237,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     text = F.coalesce(F.col(text_col), F.lit(""))
     # a constant map: the optimiser folds the digests of the fixed notices
     ids = F.create_map(*(x for name, line in notices for x in (digest(F.lit(line)), F.lit(name))))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda line: F.try_element_at(ids, digest(line))), lambda name: name.isNotNull())
+    able = F.filter(F.split(text, "\n"), lambda line: line.rlike(marks(notices)))
+    lines = F.filter(F.transform(able, lambda line: F.try_element_at(ids, digest(line))), lambda name: name.isNotNull())
     own = docs.select(F.col(id_col).alias("doc_id"), digest(text).alias("digest"), lines.alias("found"))
     return own.join(table, "digest", "left").select("doc_id", "digest", "license_id", F.size("found").cast("long").alias("notice_lines"), F.sort_array(F.array_distinct("found")).alias("notice_ids"))
 

@@ -402,6 +402,22 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_marks_let_every_notice_through(spark):
+    pattern = licences.marks(licences.NOTICES)
+    spelled = []
+    for name, line in licences.NOTICES:
+        for old, new in licences.SPELLINGS:
+            for text in (line, re.sub(rf"(?i)\\b{re.escape(new)}\\b", old, line)):
+                spelled += [(name, text), (name, text.upper()), (name, " -- " + text.replace(" ", "  ") + "!!")]
+    spelled = sorted(set(spelled))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(spelled)], "doc_id long, text string")
+    assert df.where(~F.col("text").rlike(pattern)).count() == 0
+    for name, line in licences.NOTICES:  # each notice by its own word alone
+        assert re.search(licences.marks([(name, line)]), line) and licences.marks([(name, line)]) != "(?iu)(?:)"
+    same = licences.scan(df).collect()
+    assert {spelled[r.doc_id][0] for r in same} == {n for n, _ in licences.NOTICES} and all(spelled[r.doc_id][0] in r.notice_ids for r in same)
+
+
 def test_long_licences_are_known(spark):
     names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"]
     texts = dict(licences.TEXTS)
