@@ -9,8 +9,9 @@ are length, transitions between character classes, class shares, distinct
 characters, dictionary coverage, marks of paths and addresses, and the words
 beside it. The forest is trained on labelled findings with the library's own
 random forest and then written as one SQL expression: each tree is a nested CASE,
-and the score is the share of trees that vote for a secret. Everything happens
-inside the row; nothing is shuffled, so no source or copy is hot.
+and the score is the share of trees that vote for a secret (the library itself
+averages the class shares of the leaves instead). Everything happens inside the
+row; nothing is shuffled, so no source or copy is hot.
 
 Training takes at most ``training_rows`` labelled findings. Findings of a
 reviewer may be given; the default is a set made by rules from a hash, with the
@@ -29,6 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import free
+
 #: Characters of tokens.
 RUN = "A-Za-z0-9_+/.~-"
 #: A key before a value: a credential word, an assignment sign, an opening quote.
@@ -187,15 +190,23 @@ def parse_tree(lines: list[str]) -> tuple:
     return int(feature), float(threshold), left, parse_tree(lines)
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None, trees: int = 24, depth: int = 7, seed: int = 7, training_rows: int = 6_000) -> list[tuple]:
-    """The trees of a random forest on labelled findings (value, key, before, after, label)."""
+def fit(spark: SparkSession, findings: DataFrame | None = None, trees: int = 24, depth: int = 7, seed: int = 7, training_rows: int = 6_000):
+    """The library's random forest on labelled findings (value, key, before, after, label)."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     found = training_findings(spark, training_rows) if findings is None else findings.limit(training_rows)
     rows = found.select("label", features(F.col("value"), F.col("key"), F.col("before"), F.col("after")).alias("f")).select(F.col("label").cast("double"), "f.*")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.coalesce(1)).select("label", "features")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(assembled)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=3).fit(assembled)
+
+
+def train(spark: SparkSession, findings: DataFrame | None = None, **parameters) -> list[tuple]:
+    """The trees of the forest that ``fit`` makes."""
+    return trees_of(fit(spark, findings, **parameters))
+
+
+def trees_of(model) -> list[tuple]:
     printed = re.split(r"\n\s*Tree \d+ \(weight [\d.]+\):\n", model.toDebugString)[1:]
     return [parse_tree(tree.rstrip().split("\n")) for tree in printed]
 
@@ -217,8 +228,7 @@ def votes(forest: list[tuple], own: Column) -> Column:
 def _rated(docs: DataFrame, text_col: str, forest: list[tuple] | None, least: float) -> tuple[DataFrame, str, str, str]:
     """``docs`` with the raw candidates, the gaps and the rated findings in more columns, under names that are free."""
     forest = train(docs.sparkSession) if forest is None else forest
-    taken = {c.lower() for c in docs.columns}
-    raws, gaps, starts, found = (next(n for n in (f"__{stem}{i}" for i in range(len(taken) + 1)) if n not in taken) for stem in ("raws", "gaps", "starts", "found"))
+    raws, gaps, starts, found = free(docs.columns, "raws", "gaps", "starts", "found")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # columns of their own, each used more than once, so that the optimiser keeps them and the text is searched once
     parts = docs.withColumn(raws, raw_candidates(text)).withColumn(gaps, between(text, F.col(raws))).withColumn(starts, beginnings(F.col(raws), F.col(gaps)))

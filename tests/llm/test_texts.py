@@ -499,6 +499,119 @@ def test_private_keys_are_masked_with_their_bodies(spark):
     assert [len(r[0]) for r in hard.orderBy("doc_id").select(secrets.raw_candidates(F.col("text"))).collect()] == [2000, 1]
 
 
+def scanned(text):
+    """Candidates (start, value) by a plain scanner, without the operator's expressions."""
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    run = letters | set("0123456789_+/.~-")
+    names = ["password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "authkey", "auth_key", "auth-key", "credential"]
+    blank = set(" \t\n\x0b\x0c\r")
+
+    def header(at):
+        if not text.startswith("-----BEGIN ", at):
+            return None
+        end = text.find("PRIVATE KEY-----", at + 11)
+        middle = text[at + 11 : end]
+        return end + 16 if end >= 0 and len(middle) <= 30 and all(c == " " or "A" <= c <= "Z" for c in middle) else None
+
+    def private(at):
+        """A whole block with its END line; the test's texts have one."""
+        begun = header(at)
+        if begun is None:
+            return None
+        end = text.find("-----END ", begun)
+        close = text.find("PRIVATE KEY-----", end)
+        return close + 16 if end >= 0 and close >= 0 else None
+
+    def assigned(at):
+        for name in names:
+            if text[at : at + len(name)].lower() == name:
+                for plural in (1, 0):
+                    p = at + len(name)
+                    if plural:
+                        if text[p : p + 1].lower() != "s":
+                            continue
+                        p += 1
+                    if text[p : p + 1] in ('"', "'") and text[p : p + 1]:
+                        p += 1
+                    q = p
+                    while q < len(text) and text[q] in blank and q - p < 3:
+                        q += 1
+                    if text[q : q + 1] not in (":", "=") or not text[q : q + 1]:
+                        continue
+                    p = q + 1
+                    q = p
+                    while q < len(text) and text[q] in blank and q - p < 3:
+                        q += 1
+                    if text[q : q + 1] in ('"', "'") and text[q : q + 1]:
+                        q += 1
+                    key = private(q)
+                    if key is not None:
+                        return q, key
+                    end = q
+                    while end < len(text) and text[end] not in blank and text[end] not in "\"'<>(){}[],;" and header(end) is None:
+                        end += 1
+                    if end - q >= 6:
+                        return q, end
+        return None
+
+    found, at = [], 0
+    while at < len(text):
+        end = private(at)
+        if end is not None:
+            found.append((at, text[at:end]))
+            at = end
+            continue
+        value = assigned(at)
+        if value is not None:
+            found.append((value[0], text[value[0] : value[1]]))
+            at = value[1]
+            continue
+        if text[at] in run and not (at and text[at - 1] in run):
+            end = at
+            while end < len(text) and text[end] in run and header(end) is None:
+                end += 1
+            whole = at
+            while whole < len(text) and text[whole] in run:
+                whole += 1
+            if end - at >= 8 and any("0" <= c <= "9" for c in text[at:whole]):
+                more = end
+                while more < len(text) and text[more] == "=" and more - end < 2:
+                    more += 1
+                found.append((at, text[at:more]))
+                at = more
+                continue
+        at += 1
+    return found
+
+
+def test_candidates_against_a_plain_scanner(spark):
+    rng = random.Random(17)
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    block = "-----BEGIN EC PRIVATE KEY-----\n" + draw("abcXYZ019+/", 64) + "\n" + draw("abcXYZ019+/", 20) + "==\n-----END EC PRIVATE KEY-----"
+    parts = ["password", "Token", "api_key", "secrets", "credential", " ", "\n", ":", "=", "= '", "\"", "word", "é", "2024-01-05", "a.b.c/9", "==", "x1", ",", "(", "abcdefgh1", block, "-----BEGIN RSA", "the"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.7 else draw("abcXYZ0189_+/.~- ", rng.randint(1, 40)) for _ in range(rng.randint(1, 25))) for _ in range(600)]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest=[(1.0,)]).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, []).append((r.start, r.value))
+    for i, text in enumerate(texts):
+        assert sorted(found.get(i, [])) == scanned(text), text
+
+
+def test_forest_votes_like_the_library(spark):
+    from pyspark.ml.linalg import Vectors
+
+    model = secrets.fit(spark, trees=8, training_rows=1_500)
+    forest = secrets.trees_of(model)
+    assert len(forest) == len(model.trees) == 8
+    rows = secrets.training_findings(spark, 2_000).where(F.rand(3) < 0.15).withColumn("f", secrets.features(F.col("value"), F.col("key"), F.col("before"), F.col("after")))
+    rows = rows.select("label", "f", F.transform(F.array("f"), lambda f: secrets.votes(forest, f))[0].alias("v")).collect()
+    for r in rows:
+        vector = Vectors.dense(list(r.f))
+        assert r.v == sum(tree.predict(vector) for tree in model.trees) / 8
+    assert sum((r.v >= 0.5) == (r.label == 1) for r in rows) >= 0.97 * len(rows)
+
+
 def test_forest_expression_votes_like_its_trees(spark):
     forest = [(0, 10.0, (1.0,), (6, 0.5, (0.0,), (1.0,))), (2, 0.3, (0.0,), (1.0,))]
     found = secrets.training_findings(spark, 300).withColumn("f", secrets.features(F.col("value"), F.col("key"), F.col("before"), F.col("after")))
