@@ -1,9 +1,11 @@
 """A deterministic sharded WARC writer and its reader.
 
-Shards are ranges of record ids of about ``shard_bytes``. Their bounds come from
-sums of bytes over equal-width bins of the id range, refined where a bin holds
-more than a shard, so they depend on the records alone. Each shard is one task,
-sorted by id; it appends compressed records to a file and begins another when the
+Shards are ranges of record ids of about ``shard_bytes``, or of as much more as makes
+``most_shards`` of them. Their bounds come from sums of bytes over equal-width cells of
+the id range; cells that hold more than a shard are cut again, all in one job, until
+none is left or each is a single id. The records of one id, or without an id, that are
+more than a shard are dealt out to several by their payloads' digests. So shards depend
+on the records alone. Each shard is one task, sorted by id; it appends compressed records to a file and begins another when the
 compressed size reaches ``roll_bytes``. Headers are made anew: record ids are
 name-based UUIDs, the date is a parameter, digests are computed from the bytes
 written. A file takes its name ``shard-S-N.warc.gz`` when it is whole; a manifest
@@ -15,9 +17,10 @@ id is the response and the others are revisits that refer to it. Payload groups
 are counted by digest with map-side combining; only their ids are shuffled by
 digest, never the payloads, which move once, to their shard.
 
-Defined results: a null payload counts as empty; a null id is written to the first
-shard as a response and never revisits or is referred to; of equal rows the first
-is the response and the others revisit it; an empty table writes no file and reads
+Defined results: a null payload counts as empty; records with a null id come first,
+as responses, and never revisit or are referred to; of equal rows the first is the
+response and the others revisit it (equal rows go to one task, whatever their number,
+which holds one at a time); an empty table writes no file and reads
 back no rows; a null URL becomes an empty one; other columns are ignored.
 """
 
@@ -29,16 +32,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import storage
-from plumbline.llm.common import batches, scratch, written
+from plumbline.llm.common import batches, dropped, scratch, written
 
-BINS = 4096
-#: Bins that are refined at most, over all levels.
-REFINED = 64
+#: Cells of the id range at first, and of a cell that is cut again.
+CELLS, CUT = 4096, 64
+#: Shards at most.
+MOST_SHARDS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BLOCK = 1 << 20
@@ -47,43 +53,67 @@ MANIFEST = "file string, shard long, records long, bytes long, sha256 string, fi
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
 
 
-def _shards(sizes: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """(shard of column ``page_id``, number of shards) for the rows (page_id, bytes)."""
-    bounds = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes"), F.count("page_id")).first()
-    if bounds[0] is None:
-        return F.lit(0), 1
-    shard_bytes = max(shard_bytes, (bounds[2] or 0) // 20_000)
-    budget, shard, load = REFINED, 0, 0
-
-    def within(low: int, high: int) -> Column:
-        nonlocal budget, shard, load
-        width = max(1, -(-(high - low + 1) // BINS))
-        # decimal, for ranges beyond 64 bits; integral division, for it is exact
-        bin_of = F.expr(f"cast((cast(page_id as decimal(20,0)) - ({low}BD)) div {width}BD as int)")
-        inside = sizes.where(F.col("page_id").between(low, high))
-        weights = dict(inside.groupBy(bin_of.alias("b")).agg(F.sum("bytes")).collect())
-        places, heavy = [], []
-        for b in range(BINS):
-            weight = weights.get(b, 0)
-            if weight > shard_bytes and width > 1 and budget > 0:
-                budget -= 1
-                if load:
-                    shard, load = shard + 1, 0
-                heavy.append((b, within(low + b * width, min(high, low + (b + 1) * width - 1))))
-                shard, load = shard + 1, 0
-                places.append(-1)
-                continue
-            if load and load + weight > shard_bytes:
-                shard, load = shard + 1, 0
-            places.append(shard)
+class Shards:
+    """Where records go: a shard for each cell of the id range, several for a single id that is too large for one."""
+
+    def __init__(self, starts: list[int], first: list[int], parts: list[int], count: int):
+        self.starts, self.first, self.parts = np.array(starts, np.int64), np.array(first, np.int64), np.array(parts, np.int64)
+        self.count = count
+
+    def of(self, page_id: Column, digest: Column) -> Column:
+        starts, first, parts = self.starts, self.first, self.parts
+
+        @F.pandas_udf("int")
+        def shard(ids: pd.Series, none: pd.Series, digests: pd.Series) -> pd.Series:
+            cell = _cells(starts, ids, none)
+            return pd.Series((first[cell] + digests.to_numpy() % parts[cell]).astype(np.int32))
+
+        return shard(F.coalesce(page_id, F.lit(0)), page_id.isNull(), F.xxhash64(digest))
+
+
+def _cells(starts: np.ndarray, ids: pd.Series, none: pd.Series) -> np.ndarray:
+    """The cell of each id, 0 for nulls: cell n holds the ids from ``starts[n - 1]`` on."""
+    return np.where(none.to_numpy(), 0, np.searchsorted(starts, ids.to_numpy(), "right"))
+
+
+def _cell_udf(starts: np.ndarray):
+    @F.pandas_udf("int")
+    def cell(ids: pd.Series, none: pd.Series) -> pd.Series:
+        return pd.Series(_cells(starts, ids, none).astype(np.int32))
+
+    return cell
+
+
+def _shards(sizes: DataFrame, shard_bytes: int, most_shards: int) -> Shards:
+    """The shards for the rows (page_id, bytes), from sums over cells that are cut until they fit."""
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("bytes")).first()
+    shard_bytes = max(shard_bytes, -(-(total or 0) // most_shards))
+    low, high = (0, 0) if low is None else (int(low), int(high))
+    step = max(1, -(-(high - low + 1) // CELLS))
+    starts = list(range(low, high + 1, step))
+    while True:
+        own = np.array(starts, np.int64)
+        weights = dict(sizes.groupBy(_cell_udf(own)(F.coalesce("page_id", F.lit(0)), F.col("page_id").isNull()).alias("cell")).agg(F.sum("bytes")).collect())
+        ends = [*starts[1:], high + 1]
+        cut: list[int] = []
+        for cell, (start, end) in enumerate(zip(starts, ends, strict=True), 1):
+            fits = weights.get(cell, 0) <= shard_bytes
+            cut += [start] if fits else range(start, end, max(1, -(-(end - start) // CUT)))
+        if len(cut) == len(starts):
+            break
+        starts = cut
+    # neighbouring cells share a shard while they fit; a single id that does not has shards of its own
+    first, parts, shard, load = [0] * (len(starts) + 1), [1] * (len(starts) + 1), 0, 0
+    for cell in range(len(starts) + 1):
+        weight = weights.get(cell, 0)
+        if load and load + weight > shard_bytes:
+            shard, load = shard + 1, 0
+        first[cell], parts[cell] = shard, max(1, -(-weight // shard_bytes))
+        if parts[cell] > 1:
+            shard, load = shard + parts[cell], 0
+        else:
             load += weight
-        found = F.try_element_at(F.lit(places), bin_of + 1)
-        for b, inner in heavy:
-            found = F.when(bin_of == b, inner).otherwise(found)
-        return found
-
-    column = F.coalesce(within(int(bounds[0]), int(bounds[1])), F.lit(0))
-    return column, shard + 1
+    return Shards(starts, first, parts, shard + (1 if load else 0) or 1)
 
 
 def identity(page_id: int | None, digest: str, copy: int) -> str:
@@ -129,7 +159,6 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
                     firsts[digest] = first
                     continue
                 body = (html or "").encode("utf-8", "surrogatepass")
-                digest = hashlib.sha256(body).hexdigest()
                 copy = copies[digest] = copies.get(digest, -1) + 1
                 first = firsts.get(digest)
                 revisit = first is not None and (first != page_id or copy > 0)
@@ -159,7 +188,7 @@ def _write(folder: str, roll_bytes: int, date: str, level: int):
     return run
 
 
-def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None, shard_bytes: int = 32 << 20, roll_bytes: int = 256 << 20, least_bytes: int = 100, date: str = DATE, level: int = 5) -> str:
+def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", folder: str | None = None, shard_bytes: int = 32 << 20, roll_bytes: int = 256 << 20, least_bytes: int = 100, date: str = DATE, level: int = 5, most_shards: int = MOST_SHARDS) -> str:
     """Write all records; the folder, whose ``_manifest`` table lists the files."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
@@ -170,13 +199,14 @@ def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     firsts = long_enough.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     firsts = written(firsts, "repeated-payloads")
     notes = long_enough.join(firsts, "digest").distinct()
-    shard, count = _shards(facts.select("page_id", (F.col("bytes") + 512).alias("bytes")), shard_bytes)
+    shards = _shards(facts.select("page_id", (F.col("bytes") + 512).alias("bytes")), shard_bytes, most_shards)
     none = F.lit(None).cast("string")
     rows = notes.select("page_id", F.lit(0).alias("kind"), "digest", "first", none.alias("url"), none.alias("html")).unionAll(
         own.select("page_id", F.lit(1).alias("kind"), F.sha2(html.cast("binary"), 256).alias("digest"), F.lit(None).cast("long").alias("first"), "url", "html")
     )
-    dealt = rows.withColumn("shard", shard.cast("int")).repartitionById(count, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
+    dealt = rows.withColumn("shard", shards.of(F.col("page_id"), F.col("digest"))).repartitionById(shards.count, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
     dealt.select("shard", "page_id", "kind", "digest", "first", "url", "html").mapInArrow(_write(folder, roll_bytes, date, level), MANIFEST).write.parquet(f"{folder}/_manifest")
+    dropped(facts, firsts)
     return folder
 
 

@@ -234,3 +234,25 @@ def test_warc_roles_and_bytes(spark):
 def test_warc_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read(spark, warc.write(df)).count() == 0
+
+
+def test_shards_of_clustered_and_hot_ids(spark):
+    """Ids in dense clusters far apart, one id and missing ids with a third of all bytes each: no shard outgrows the rest."""
+    rows = [(base + i, 700) for base in (-(1 << 62), 0, 1 << 40, (1 << 62) + 5) for i in range(300)]
+    rows += [(77, 700)] * 0 + [(1 << 41, 400 + i % 7) for i in range(900)] + [(None, 350 + i % 5) for i in range(900)]
+    pages = [(i, f"u{n}", f"{n:06d}" + "x" * size) for n, (i, size) in enumerate(rows)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    folder = warc.write(df.repartition(3), shard_bytes=60_000, level=1)
+    manifest = spark.read.parquet(folder + "/_manifest").collect()
+    sizes = {}
+    for m in manifest:
+        sizes[m.shard] = sizes.get(m.shard, 0) + m.records
+    assert len(sizes) >= 40 and max(sizes.values()) <= 130
+    found = warc.read(spark, folder).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.url) for r in found) == sorted((i is None, i or 0, u) for i, u, _ in pages)
+    assert all(r.record_type == "response" for r in found)
+    again = warc.write(df.repartition(5), shard_bytes=60_000, level=1)
+    key = lambda m: (m.file, m.sha256, m.bytes, m.records)
+    assert sorted(map(key, manifest)) == sorted(map(key, spark.read.parquet(again + "/_manifest").collect()))
+    few = spark.read.parquet(warc.write(df, shard_bytes=1, most_shards=5, level=1) + "/_manifest").select("shard").distinct().count()
+    assert few <= 12
