@@ -3,6 +3,12 @@
 Language identification drops what it rejects, near-deduplication keeps one
 document of each group, decontamination drops documents with a benchmark window,
 the secret scan replaces secrets by a mark, and packing makes windows of ids.
+
+Defined results: a null or empty text has no language and goes in the first stage; rows
+with a null id stay rows of their own, and of rows that are equal in id and text one
+stays; all but the last stage return the columns they were given, whatever their names,
+and every row that none of them drops; empty ``documents`` give no rows at every stage,
+and an empty ``benchmark`` leaves every document in.
 """
 
 from __future__ import annotations
