@@ -679,3 +679,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert "password=[SECRET] " in text.text and text.n_chars == len(text.text)
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == ids[3]
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, fp string, kept_id string, `__raws0` string, item_id long, component_id int"
+    words = {"en": "the of and to in is it that was for on are with as his they at be this from".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als".split()}
+    rng = random.Random(3)
+    make = lambda lang, n=60: " ".join(rng.choices(words[lang], k=n)) + " x" + "".join(rng.choices("abcdefgh", k=9))
+    rows = [(i, make("en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(60)]
+    rows += [(None, make("en"), "en"), (None, make("de"), "de"), (None, None, None), (3, make("en"), None), (61, "", "en"), (62, " \n", None), (63, "12 34", "de"), rows[0], rows[0], (64, rows[1][1], "en"), (65, make("en", 60_000), "en")]
+    odd = spark.createDataFrame([(i, t, lang, None, len(t or ""), 1, "f", "k", "r", 5, 6) for i, t, lang in rows], schema)
+    for name, docs, items in (("odd", odd, [(1, None), (None, "")]), ("empty", odd.limit(0), [(1, "alpha beta")]), ("bare", odd, [])):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        held = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage_name, stage in corpus_pipeline.STAGES[:-1]:
+            held = written(stage(spark, held, folder), f"test-{stage_name}")
+            assert held.columns == docs.columns
+        texts = sorted(r.text for r in held.collect())
+        assert texts == ([] if name == "empty" else sorted({t for _, t, _ in rows if t and any(c.isalpha() for c in t)}))
+        pieces = corpus_pipeline.run(spark, folder).collect()
+        assert (len(pieces) == 0) == (name == "empty") and {p.doc_id for p in pieces} == {r.doc_id for r in held.collect()}
