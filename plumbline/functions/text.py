@@ -179,3 +179,21 @@ def enrichment_text(title: Column, questions: Column, synopsis: Column, topics:
 def jaccard(left: Column, right: Column) -> Column:
     """Shared over all distinct values; null if neither has any."""
     return F.size(F.array_intersect(left, right)) / F.nullif(F.size(F.array_union(left, right)), F.lit(0))
+
+
+def display_date(date: Column, pattern: str = "EEEE d MMMM yyyy") -> Column:
+    """A date as it is shown, such as Tuesday 3 March 2026."""
+    return F.date_format(date, pattern)
+
+
+def url_id(text: Column) -> Column:
+    """An id made of a title or URL part: lowered and quoted, with underscores for blanks."""
+    return F.replace(F.url_encode(F.lower(F.regexp_replace(trimmed(text), r"\s+", "_"))), F.lit("+"), F.lit("%20"))
+
+
+def html_escaped(text: Column) -> Column:
+    """Text with the characters escaped that mean something in HTML."""
+    found = text
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        found = F.replace(found, F.lit(sign), F.lit(name))
+    return found

@@ -32,3 +32,16 @@ def int8(vector: Column) -> Column:
     top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
     scale = F.when(top == 0, F.lit(1.0)).otherwise(top)
     return F.struct(F.transform(vector, lambda x: F.rint(x.cast("double") / scale * 127).cast("tinyint")).alias("codes"), (scale / 127).alias("scale"))
+
+
+def packed_codes(codes: Column) -> Column:
+    """8-bit codes as base64 of their bytes."""
+    return F.base64(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("int").bitwiseAND(F.lit(255))), 2, "0")), "")))
+
+
+def unpacked_codes(text: Column) -> Column:
+    """The 8-bit codes that ``packed_codes`` made base64 of."""
+    digits = F.hex(F.unbase64(text))
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    codes = F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / 2 - 1, F.lit(0)).cast("int")), lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)).cast("tinyint"))
+    return F.when(F.length(digits) > 0, codes).otherwise(F.array().cast("array<tinyint>"))

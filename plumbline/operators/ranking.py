@@ -6,13 +6,14 @@ returns (query_id, doc_id, score, rank). Ranks are explicit and ties fall to the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.functions import vectors as V
+from plumbline.tables import located, written
 
 #: BM25 and rank-fusion constants; fixed values.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -53,67 +54,113 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, title_weight: float = 1.0) -> DataFrame:
-    """(query_id, doc_id, score) of every document that shares a term with the query."""
+def indexed(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """A table (doc_id, tl, bl, term, ttf, btf) of one pass over the texts.
+
+    It holds the counts of the given terms, or of all, in title and body, with the lengths
+    of both, and for every document a row with the empty term, which has the lengths alone. All
+    title weights, document frequencies and mean lengths follow from it.
+    """
+    own = docs.select("doc_id", T.tokens(F.col("title")).alias("tt"), T.tokens(F.col("text")).alias("bt"))
+    counted = lambda column, at: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(at == 0).cast("int").alias("t"), F.lit(at == 1).cast("int").alias("b")))
+    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("t"), F.lit(0).alias("b")))
+    sized = own.select("doc_id", F.size("tt").alias("tl"), F.size("bt").alias("bl"), F.concat(whole, counted("tt", 0), counted("bt", 1)).alias("terms"))
+    rows = sized.select("doc_id", "tl", "bl", F.inline_outer("terms")).where("term is not null")
+    if terms is not None:
+        wanted = terms.select("term").distinct().unionAll(docs.sparkSession.createDataFrame([("",)], "term string"))
+        rows = rows.join(wanted, "term", "left_semi")
+    return written(rows.groupBy("doc_id", "tl", "bl", "term").agg(F.sum("t").alias("ttf"), F.sum("b").alias("btf")), "postings")
+
+
+def lane_scores(queries: DataFrame, index: DataFrame, lanes: dict[str, float | None]) -> DataFrame:
+    """(query_id, doc_id, a column for each lane): BM25 with a title weight, or length-normalised counts where it is None."""
     terms = query_terms(queries)
-    tf = postings(docs, title_weight, terms)
+    tf = index.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths(docs, title_weight).agg(F.avg("dl").alias("avgdl"), F.count("*").alias("n"))
-    weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    stats = index.where("term = ''").agg(F.sum("tl").alias("tls"), F.sum("bl").alias("bls"), F.count("*").alias("n"))
+    weights = terms.join(df, "term").crossJoin(stats).select("query_id", "term", "times", "tls", "bls", "n", idf(F.col("n"), F.col("df")).alias("idf"))
 
+    def part(weight: float | None) -> Column:
+        if weight is None:
+            return F.col("times") * (F.col("ttf") + F.col("btf")) / (F.col("tl") + F.col("bl")).cast("double")
+        count, length = weight * F.col("ttf") + F.col("btf"), weight * F.col("tl") + F.col("bl")
+        mean = (weight * F.col("tls") + F.col("bls")) / F.col("n")
+        return F.col("times") * F.col("idf") * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, title_weight: float = 1.0) -> DataFrame:
-    return ranked(bm25_scores(queries, docs, title_weight).where("score > 0"), k)
+    return tf.join(weights, "term").groupBy("query_id", "doc_id").agg(*(F.round(F.sum(part(w)), 6).alias(name) for name, w in lanes.items()))
 
 
-def tf_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Length-normalised term frequency, a plain second lane."""
-    terms = query_terms(queries)
-    tf = postings(docs, 1.0, terms)
-    return tf.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * F.col("tf") / F.col("dl")), 6).alias("score"))
+def lanes(queries: DataFrame, index: DataFrame, weights: dict[str, float | None], k: int) -> DataFrame:
+    """(lane, query_id, doc_id, score, rank): the first k of each lane, all scored in one pass over the postings."""
+    scores = lane_scores(queries, index, weights)
+    each = F.array(*(F.struct(F.lit(name).alias("lane"), F.col(name).alias("score")) for name in weights))
+    rows = scores.select("query_id", "doc_id", F.inline(each)).where("score > 0")
+    return ranked(rows, k, keys=("lane", "query_id")).select("lane", "query_id", "doc_id", "score", "rank")
+
 
+def bm25(queries: DataFrame, docs: DataFrame, k: int, title_weight: float = 1.0, index: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank); ``index``: what ``indexed`` made of the documents and the queries' terms."""
+    index = indexed(docs, query_terms(queries)) if index is None else index
+    return lanes(queries, index, {"bm25": title_weight}, k).drop("lane")
 
-def cosine(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact top k of (query_id, vector) against (doc_id, vector); the query set is broadcast by Spark if small."""
-    pairs = vectors.crossJoin(queries.withColumnRenamed("vector", "qv"))
-    return ranked(pairs.select("query_id", "doc_id", F.round(V.dot(F.col("qv"), F.col("vector")), 6).alias("score")), k)
 
+def cosine(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512, chunk: int = 8192) -> DataFrame:
+    """Exact top k of (query_id, vector) against (doc_id, vector) by matrix products, in one pass over the vectors.
 
-def cosine_blocks(queries: DataFrame, vectors: DataFrame, k: int, block: int = 512) -> DataFrame:
-    """The same by matrix products: queries go out in blocks of ``block`` vectors, each task keeps its best k."""
+    The queries become a table of the shared folder. A task takes ``chunk`` vectors at a time,
+    reads the queries in blocks of ``block`` and hands on its best k of each, so that neither
+    side is ever held whole, broadcast or collected. A column ``factor`` multiplies the products.
+    """
     import numpy as np
     import pandas as pd
 
-    context = vectors.sparkSession.sparkContext
-    parts, held = [], []
-    for row in queries.select(F.col("query_id").cast("string"), "vector").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            parts.append(held)
-            held = []
-    parts += [held] if held else []
-    found = []
-    for rows in parts:
-        shared = context.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
-
-        def best(stream, shared=shared):
-            names, q = shared.value
-            for pdf in stream:
-                m = np.array(pdf["vector"].tolist(), np.float64)
-                if not len(m):
-                    continue
-                ids = pdf["doc_id"].to_numpy()
-                scores = np.round(m @ q.T, 6)
-                for j, name in enumerate(names):
-                    least = np.partition(scores[:, j], -min(k, len(ids)))[-min(k, len(ids))]
-                    at = np.flatnonzero(scores[:, j] >= least)
-                    at = at[np.lexsort((ids[at], -scores[at, j]))][:k]
-                    yield pd.DataFrame({"query_id": name, "doc_id": ids[at], "score": scores[at, j]})
+    asked = written(queries.select(F.col("query_id").cast("string").alias("query_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector")), "vector-queries")
+    factor = F.col("factor").cast("double") if "factor" in vectors.columns else F.lit(1.0)
+    folder = asked._scratch
 
-        found.append(vectors.select(F.col("doc_id").cast("string"), "vector").mapInPandas(best, "query_id string, doc_id string, score double"))
-    return ranked(reduce(DataFrame.unionAll, found), k)
+    def matrix(arrays) -> np.ndarray:
+        return np.array(arrays.tolist() if hasattr(arrays, "tolist") else arrays, np.float64)
+
+    def blocks() -> Iterator[tuple[list[str], np.ndarray]]:
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+
+        fs, base = located(folder)
+        for info in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.base_name):
+            if info.base_name.endswith(".parquet"):
+                with fs.open_input_file(info.path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(block):
+                        yield batch.column(0).to_pylist(), matrix(batch.column(1).to_pylist())
+
+    def best(stream):
+        def chunks():
+            held, load = [], 0
+            for pdf in stream:
+                for at in range(0, len(pdf), chunk):
+                    held.append(pdf.iloc[at : at + chunk])
+                    load += len(held[-1])
+                    if load >= chunk:
+                        yield pd.concat(held)
+                        held, load = [], 0
+            if load:
+                yield pd.concat(held)
+
+        for pdf in chunks():
+            ids, m, f = pdf["doc_id"].to_numpy(), matrix(pdf["vector"]), pdf["factor"].to_numpy()
+            for names, q in blocks():
+                scores = np.round((m @ q.T) * f[:, None], 6)
+                n = min(k, len(ids))
+                least = np.partition(scores, -n, axis=0)[-n]
+                rows, cols = np.nonzero(scores >= least)
+                order = np.lexsort((ids[rows], -scores[rows, cols], cols))
+                rows, cols = rows[order], cols[order]
+                # the place of each row within its query
+                place = np.arange(len(cols)) - np.searchsorted(cols, cols)
+                rows, cols = rows[place < k], cols[place < k]
+                yield pd.DataFrame({"query_id": np.array(names, object)[cols], "doc_id": ids[rows], "score": scores[rows, cols]})
+
+    found = vectors.select(F.col("doc_id").cast("string").alias("doc_id"), "vector", factor.alias("factor")).mapInPandas(best, "query_id string, doc_id string, score double")
+    return ranked(found, k)
 
 
 def rrf(lanes: list[DataFrame], k: int | None = None, constant: int = RRF_K) -> DataFrame:
@@ -149,8 +196,10 @@ def rerank(hits: DataFrame, scores: DataFrame, depth: int = RERANK_DEPTH) -> Dat
 def exact_matches(queries: DataFrame, catalogue: DataFrame, phrase: int = 3) -> DataFrame:
     """(query_id, doc_id, reason, reason_order): title before author before phrase, the first rule that fits.
 
-    ``catalogue``: (doc_id, title, author). Titles and authors meet queries by hash joins, phrases (three words
-    at least) by a hash join on a word inside, then by the substring that the rule asks for.
+    ``catalogue``: (doc_id, title, author) and perhaps ``pos``, the order that settles ties. Titles and authors
+    meet queries by hash joins. A phrase of three words or more stands inside a title so that its inner words are
+    whole words there; it meets titles by a hash join on these and on the letters beside them, then by the
+    substring that the rule asks for.
     """
     q = queries.select("query_id", T.tokens(F.col("query")).alias("qt")).where(F.size("qt") > 0)
     q = q.select("query_id", "qt", F.array_join("qt", " ").alias("asked"), T.runs(F.col("qt"), phrase).alias("phrases"))
@@ -161,23 +210,42 @@ def exact_matches(queries: DataFrame, catalogue: DataFrame, phrase: int = 3) ->
     sizes = author_rows.select("n").distinct()
     author_runs = q.join(F.broadcast(sizes), F.size("qt") >= F.col("n")).select("query_id", F.explode(T.runs(F.col("qt"), F.col("n"))).alias("a"))
     authors = author_runs.join(author_rows, "a").select("query_id", "doc_id", F.lit(2).alias("reason_order")).distinct()
-    # the second word of a phrase stands whole in any title that contains the phrase
-    asked = q.select("query_id", F.explode("phrases").alias("p")).withColumn("word", F.get(F.split("p", " "), 1))
-    words = c.where("t <> ''").select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    contained = asked.join(words, "word").where(F.contains("t", F.col("p"))).select("query_id", "doc_id", F.lit(3).alias("reason_order")).distinct()
+    asked = q.select("query_id", F.explode("phrases").alias("p")).withColumn("w", F.split("p", " "))
+    asked = asked.select("query_id", "p", _inner(F.col("w"), phrase).alias("inner"))
+    titled = c.where("t <> ''").select("doc_id", "t", F.split("t", " ").alias("w")).where(F.size("w") >= phrase)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - phrase + 1, F.lit(1)))
+    places = titled.select("doc_id", "t", F.array_distinct(F.transform(starts, lambda i: _inner(F.slice("w", i, phrase), phrase))).alias("inners"))
+    words = places.select("doc_id", "t", F.explode("inners").alias("inner"))
+    contained = asked.join(words, "inner").where(F.contains("t", F.col("p"))).select("query_id", "doc_id", F.lit(3).alias("reason_order")).distinct()
     first = titles.unionAll(authors).unionAll(contained).groupBy("query_id", "doc_id").agg(F.min("reason_order").alias("reason_order"))
+    if "pos" in catalogue.columns:
+        first = first.join(catalogue.select("doc_id", "pos"), "doc_id")
     return first.withColumn("reason", F.element_at(T.literals(("title", "author", "phrase")), F.col("reason_order")))
 
 
+def _inner(words: Column, n: int) -> Column:
+    """The inner words of a run of n, with the letters beside them."""
+    return F.concat_ws(" ", F.right(F.get(words, 0), F.lit(1)), F.array_join(F.slice(words, 2, n - 2), " "), F.left(F.get(words, n - 1), F.lit(1)))
+
+
 def promote(hits: DataFrame, matches: DataFrame, limit: int = PROMOTED) -> DataFrame:
-    """Every match is labelled, the first ``limit`` are lifted to the top, absent ones inserted with score 0."""
-    order = Window.partitionBy("query_id").orderBy("reason_order", "doc_id")
+    """Every match is labelled, the first ``limit`` are lifted to the top, absent ones inserted with score 0.
+
+    Matches for the same reason go by ``pos``, the catalogue's order, where they have it, and by id.
+    """
+    order = Window.partitionBy("query_id").orderBy("reason_order", *(["pos"] if "pos" in matches.columns else []), "doc_id")
     lift = matches.withColumn("lift", F.row_number().over(order)).select("query_id", "doc_id", "reason", "lift")
     joined = hits.join(lift, ["query_id", "doc_id"], "full").where(F.col("rank").isNotNull() | (F.col("lift") <= limit))
     place = Window.partitionBy("query_id").orderBy(F.when(F.col("lift") <= limit, F.col("lift")).otherwise(limit + 1), F.col("rank"))
     return joined.select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"), "reason", F.row_number().over(place).cast("long").alias("rank"))
 
 
+def promote_within(hits: DataFrame, matches: DataFrame, limit: int = PROMOTED) -> DataFrame:
+    """``promote`` for matches among the hits alone: a permutation, nothing is inserted."""
+    inside = matches.join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    return promote(hits, inside, limit)
+
+
 def pool_filter_cut_page(hits: DataFrame, keep: Column, page: int = 1, per_page: int = 10, pool: int = POOL, cut: int = CUT) -> DataFrame:
     """Pool, then filter, then cut, then page; ``total`` counts what the cut kept."""
     kept = hits.where(F.col("rank") <= pool).where(keep)

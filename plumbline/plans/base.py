@@ -8,13 +8,16 @@ keyword lanes are the engines that are compared.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import ranking as R
+from plumbline.operators.matching import containing
 from plumbline.session import table
+from plumbline.tables import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +36,16 @@ def query(name: str, names: str = "", select: str | None = None):
     """Register a query; ``names``: the shared relations that its SQL ``select`` reads."""
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            # shared relations are made once for each call
+            _MADE.clear()
+            try:
+                return f(spark, sf)
+            finally:
+                _MADE.clear()
+
+        QUERIES[name] = run
         if select:
             SQL[name] = with_(names.split(), select)
         return f
@@ -65,30 +77,50 @@ def split_columns(text: str) -> list[str]:
     return [*parts, text[start:]]
 
 
+#: Relations that the query at hand has made.
+_MADE: dict[str, DataFrame] = {}
+
+
+def once(make: Callable[[SparkSession, str], DataFrame]):
+    """A relation that one query may name often: made once, as a table of the shared folder."""
+
+    @wraps(make)
+    def made(spark: SparkSession, sf: str) -> DataFrame:
+        if make.__name__ not in _MADE:
+            _MADE[make.__name__] = written(make(spark, sf), make.__name__)
+        return _MADE[make.__name__]
+
+    return made
+
+
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """The postings of the queries' terms, from one pass over the documents."""
+    if "index" not in _MADE:
+        _MADE["index"] = R.indexed(docs(spark, sf), R.query_terms(queries(spark, sf)))
+    return _MADE["index"]
+
+
 def bm25(spark: SparkSession, sf: str, k: int = DEPTH, weight: float = 1.0) -> DataFrame:
-    return R.bm25(queries(spark, sf), docs(spark, sf), k, weight)
+    return R.bm25(queries(spark, sf), docs(spark, sf), k, weight, index(spark, sf))
 
 
+@once
 def lanes(spark: SparkSession, sf: str) -> DataFrame:
     """(lane, query_id, doc_id, score, rank): the first 20 of each lane."""
-    q, d = queries(spark, sf), docs(spark, sf)
-    hits = [(name, R.ranked(R.tf_scores(q, d), DEPTH) if weight is None else R.bm25(q, d, DEPTH, weight)) for name, weight in LANES]
-    out = hits[0][1].withColumn("lane", F.lit(hits[0][0]))
-    for name, more in hits[1:]:
-        out = out.unionByName(more.withColumn("lane", F.lit(name)))
-    return out
+    return R.lanes(queries(spark, sf), index(spark, sf), dict(LANES), DEPTH)
 
 
+@once
 def relevant(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc_id) where the document contains the passage: the stated query set against all rows."""
-    q = queries(spark, sf).where("query <> ''")
-    d = docs(spark, sf).select("doc_id", "text")
-    return d.join(q, F.contains("text", F.col("query"))).select("query_id", "doc_id")
+    found = containing(docs(spark, sf), queries(spark, sf).select(F.col("query_id").alias("key"), F.col("query").alias("needle")))
+    return found.select(F.col("key").alias("query_id"), "doc_id")
 
 
-def grades(spark: SparkSession, sf: str, pooled: DataFrame | None = None) -> DataFrame:
+@once
+def grades(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, doc_id, grade) of pooled pairs that labels judge: 2 contains the passage, 1 good, 0 other."""
-    pooled = lanes(spark, sf).select("query_id", "doc_id").distinct() if pooled is None else pooled
+    pooled = lanes(spark, sf).select("query_id", "doc_id").distinct()
     labels = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), "quality", "toxic")
     rel = relevant(spark, sf).withColumn("rel", F.lit(1))
     joined = pooled.join(labels, "doc_id").join(rel, ["query_id", "doc_id"], "left")

@@ -98,7 +98,8 @@ def v7(spark, sf):
 
 @query("V12_batch_topk", "vs", TOP5)
 def v12(spark, sf):
-    return R.cosine_blocks(vector_queries(spark, sf), vectors(spark, sf), 5)
+    every = vectors(spark, sf).select("doc_id", "vector")
+    return R.cosine(vector_queries(spark, sf), every, 5, block=64, chunk=1000)
 
 
 @query("V10_int8_topk", "v vq", """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
@@ -106,8 +107,7 @@ def v12(spark, sf):
  FROM vq, (SELECT doc_id, vector, list_max(list_transform(vector, lambda x: abs(x::DOUBLE))) AS s FROM v) c)) WHERE rank <= 5""")
 def v10(spark, sf):
     coded = vectors(spark, sf).select("doc_id", V.int8(F.col("vector")).alias("c"))
-    pairs = coded.crossJoin(F.broadcast(vector_queries(spark, sf)))
-    return R.ranked(pairs.select("query_id", "doc_id", F.round(V.dot(F.col("vector"), F.col("c.codes")) * F.col("c.scale"), 6).alias("score")), 5)
+    return R.cosine(vector_queries(spark, sf), coded.select("doc_id", F.col("c.codes").alias("vector"), F.col("c.scale").alias("factor")), 5)
 
 
 @query("V11_nearest_labels", "v vq", """SELECT query_id, doc_id, array_to_string(list(label ORDER BY n), ',') AS closest FROM (
@@ -123,9 +123,9 @@ def v11(spark, sf):
     asked = vector_queries(spark, sf)
     # records with the same subjects have the same answer: ranked once for each list of subjects, then dealt to all records
     kinds = rows.select("subjects").distinct().withColumn("doc_id", F.array_join("subjects", ","))
-    found = C.closest_headings(kinds.crossJoin(F.broadcast(asked.select("query_id"))), heads, asked)
+    found = C.closest_headings(kinds.crossJoin(asked.select("query_id")), heads, asked)
     found = found.select("query_id", F.col("doc_id").alias("kind"), F.array_join("closest", ",").alias("closest"))
-    return rows.select("doc_id", F.array_join("subjects", ",").alias("kind")).join(F.broadcast(found), "kind").select("query_id", "doc_id", "closest")
+    return rows.select("doc_id", F.array_join("subjects", ",").alias("kind")).join(found, "kind").select("query_id", "doc_id", "closest")
 
 
 # fusion, order, pages

@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.cli import MODES, Searcher, bounded
 from plumbline.operators import catalogue as C
 from plumbline.operators import ranking as R
+from plumbline.operators.index import IndexMismatch
 
 
 @dataclass(frozen=True)
@@ -69,3 +71,57 @@ def metadata(files: DataFrame) -> DataFrame:
     listed = presets.agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "preset"))), lambda x: x["preset"]).alias("presets"))
     about = files.where("coalesce(description, '') <> ''").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_no", "description"))), lambda x: x["description"]), " ").alias("description"))
     return listed.crossJoin(about)
+
+
+# answers as the service gives them: small frames become plain values at this edge alone
+
+
+def envelope(make) -> tuple[int, dict]:
+    """(status, body) of a request: its data, or what was wrong with it; an empty or foreign index is a conflict."""
+    try:
+        return 200, {"status": "success", "data": make()}
+    except (IndexMismatch, FileNotFoundError) as error:
+        return 409, {"status": "error", "message": str(error) or "the index is empty"}
+    except ValueError as error:
+        return 400, {"status": "error", "message": str(error)}
+
+
+def _asked(searcher: Searcher, query: str) -> DataFrame:
+    bounded(query)
+    return searcher.spark.createDataFrame([("q", query)], "query_id string, query string")
+
+
+def _plain(hits: DataFrame) -> list[dict]:
+    return [r.asDict(True) for r in hits.drop("query_id").orderBy("rank").collect()]
+
+
+def health(searcher: Searcher) -> tuple[int, dict]:
+    return envelope(lambda: {"embedding_provider": searcher.model_id, "modes": list(MODES), "index": searcher.stats().first().asDict()})
+
+
+def search(searcher: Searcher, query: str, mode: str = "hybrid", top_k: int = 10) -> tuple[int, dict]:
+    return envelope(lambda: {"query": query, "mode": mode, "results": _plain(searcher.search(_asked(searcher, query), mode, top_k))})
+
+
+def compare(searcher: Searcher, query: str, top_k: int = 5) -> tuple[int, dict]:
+    def make() -> dict:
+        asked = _asked(searcher, query)
+        return {"query": query, "modes": {mode: _plain(searcher.search(asked, mode, top_k)) for mode in MODES}}
+
+    return envelope(make)
+
+
+def search_catalogue(searcher: Searcher, records: DataFrame, query: str, mode: str = "hybrid", request: CatalogueRequest | None = None) -> tuple[int, dict]:
+    """A page of cards and the facets of all that was found; ``records``: catalogue fields by doc_id."""
+
+    def make() -> dict:
+        wanted = request or CatalogueRequest(semantic=mode != "keyword")
+        asked = _asked(searcher, query)
+        found = searcher.search(asked, mode, 50)
+        best = R.collapse(found.select("query_id", F.col("document").alias("doc_id"), "score", "rank")).select("query_id", "doc_id", "score", "rank")
+        page = catalogue_search(asked, best, records, wanted)
+        cards = [r.asDict(True) for r in page.cards.orderBy("rank").collect()]
+        facets = [r.asDict(True) for r in page.facets.orderBy("facet_order", "value_order").collect()]
+        return {"query": query, "page": wanted.page, "per_page": wanted.per_page, "total": cards[0]["total"] if cards else 0, "results": cards, "facets": facets}
+
+    return envelope(make)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.functions import vectors as V
 from plumbline.operators import chunking, enrichment, index
+from plumbline.operators.matching import containing
 from plumbline.plans.base import docs, queries, query, quoted, records, tok
 from plumbline.session import table
 
@@ -254,16 +255,15 @@ def a9(spark, sf):
 @query("A10_term_coverage", "q d", f"SELECT stem, count(*) AS docs, count(*) < 10 AS gap FROM (SELECT DISTINCT {STEM} AS stem FROM (SELECT unnest({CHECK}) AS w FROM q)) s JOIN d ON contains(lower(d.text), s.stem) GROUP BY stem")
 def a10(spark, sf):
     stems = queries(spark, sf).select(F.explode(T.check_terms(F.col("query"))).alias("w")).select(T.stem(F.col("w")).alias("stem")).distinct()
-    # stems of the stated queries against all texts: one array of them, checked inside the row
-    held = stems.agg(F.collect_list("stem").alias("stems"))
-    found = docs(spark, sf).select(F.lower("text").alias("low")).crossJoin(F.broadcast(held)).select(F.explode(F.filter("stems", lambda s: F.contains(F.col("low"), s))).alias("stem"))
+    found = containing(docs(spark, sf).select("doc_id", F.lower("text").alias("text")), stems.select(F.col("stem").alias("key"), F.col("stem").alias("needle"))).withColumnRenamed("key", "stem")
     return found.groupBy("stem").agg(F.count("*").alias("docs")).withColumn("gap", F.col("docs") < 10)
 
 
 @query("A14_absent_probe", "d q", "SELECT query_id, count(doc_id) AS docs FROM q LEFT JOIN d ON contains(lower(d.text), lower(q.query)) GROUP BY query_id HAVING count(doc_id) <= 1")
 def a14(spark, sf):
     probes = queries(spark, sf).select("query_id", F.lower("query").alias("probe"))
-    hits = docs(spark, sf).select(F.lower("text").alias("low")).join(F.broadcast(probes), F.contains("low", F.col("probe"))).groupBy("query_id").agg(F.count("*").alias("docs"))
+    found = containing(docs(spark, sf).select("doc_id", F.lower("text").alias("text")), probes.select(F.col("query_id").alias("key"), F.col("probe").alias("needle")))
+    hits = found.groupBy(F.col("key").alias("query_id")).agg(F.count("*").alias("docs"))
     return probes.join(hits, "query_id", "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs")).where("docs <= 1")
 
 

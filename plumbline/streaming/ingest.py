@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from plumbline.operators import chunking, index
+from plumbline.tables import dropped, written
 
 DOCUMENT = "doc_id string, title string, text string, url string"
 
@@ -13,17 +14,15 @@ DOCUMENT = "doc_id string, title string, text string, url string"
 def start(spark: SparkSession, source: str, root: str, checkpoint: str, target: int = 450, overlap: int = 60) -> StreamingQuery:
     """New files are chunked, chunks whose text is indexed are skipped, the rest is embedded and upserted.
 
-    Each micro-batch writes one version of the index; a batch that runs again finds its chunks indexed.
+    Each micro-batch is merged into the index: new chunks are appended, only buckets in which a chunk is
+    replaced are written anew. A batch that runs again finds its chunks indexed.
     """
 
     def ingest(batch: DataFrame, _: int) -> None:
-        chunks = chunking.chunk(batch, target, overlap)
-        if index.versions(spark, root):
-            old = index.load(spark, root)
-            new = index.upsert(old, index.embed(index.pending(chunks, old)))
-        else:
-            new = index.embed(chunks)
-        index.save(new, root)
+        chunks = written(chunking.chunk(batch, target, overlap), "batch-chunks")
+        new = index.pending(chunks, index.load(spark, root)) if index.versions(spark, root) else chunks
+        index.merge(index.embed(new), root)
+        dropped(chunks)
 
     stream = spark.readStream.schema(DOCUMENT).parquet(source)
     return stream.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 """Operators on small literal frames, against values worked out by hand."""
 
+import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,8 +69,13 @@ def test_vectors(spark):
     rows = spark.createDataFrame([("d0", [1.0, 0.0, 0.0]), ("d1", [0.0, 1.0, 0.0]), ("d2", [0.6, 0.8, 0.0])], "doc_id string, vector array<double>")
     asked = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, vector array<double>")
     want = [("d0", 1.0, 1), ("d2", 0.6, 2), ("d1", 0.0, 3)]
-    for found in (R.cosine(asked, rows, 9), R.cosine_blocks(asked, rows, 9)):
-        assert [(r.doc_id, r.score, r["rank"]) for r in found.orderBy("rank").collect()] == want
+    assert [(r.doc_id, r.score, r["rank"]) for r in R.cosine(asked, rows, 9).orderBy("rank").collect()] == want
+    rng = random.Random(5)
+    many = [(f"d{i}", [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(300)]
+    asks = many[::7]
+    found = R.cosine(spark.createDataFrame(asks, "query_id string, vector array<double>"), spark.createDataFrame(many, "doc_id string, vector array<double>").repartition(3), 6, block=5, chunk=40)
+    brute = sorted((q, i, d, s) for q, v in asks for i, (s, d) in enumerate(sorted((round(-sum(a * b for a, b in zip(v, w)), 6), d) for d, w in many)[:6], 1))
+    assert sorted((r.query_id, r["rank"], r.doc_id, -r.score) for r in found.collect()) == brute
     assert one(spark, V.normalise(F.array(F.lit(0.0), F.lit(0.0))), t=1) == [0.0, 0.0]
     code = one(spark, V.int8(F.array(F.lit(-0.5), F.lit(0.25))), t=1)
     assert code.codes == [-127, 64]
@@ -179,7 +186,18 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="document 2 occurs twice"):
         files.corpus(spark, [a, b])
     assert {r.doc_id: r.text[-1] for r in files.catalogue(spark, [a, b], "doc_id string, text string").collect()} == {"1": "1", "2": "2", "3": "3"}
+    (tmp_path / "lines.jsonl").write_text("\n".join(json.dumps({"doc_id": str(i), "title": "T", "text": f"t{i}"}) for i in range(30)))
+    assert {r.doc_id: r.text for r in files.corpus(spark, str(tmp_path / "lines.jsonl")).collect()} == {str(i): f"t{i}" for i in range(30)}
+    (tmp_path / "list.json").write_text(json.dumps([{"doc_id": "7", "text": "a"}, {"doc_id": "8", "text": "b"}], indent=1))
+    assert {r.doc_id: r.text for r in files.corpus(spark, [str(tmp_path / "list.json"), a]).collect()}["8"] == "b"
+    (tmp_path / "bare.json").write_text(json.dumps({"documents": [{"doc_id": "7"}]}))
+    with pytest.raises(ValueError, match="lacks doc_id or text.*bare.json"):
+        files.corpus(spark, str(tmp_path / "bare.json"))
     (tmp_path / "r.json").write_text(json.dumps({"q": ["x", "y", "x"]}))
+    files.write_rankings(spark.createDataFrame([("q", "b", 2), ("q", "a", 1), ("p", "c", 1)], "query string, doc_id string, rank long"), str(tmp_path / "ranks"))
+    assert sorted((r.query, r.doc_id, r["rank"]) for r in files.rankings(spark, str(tmp_path / "ranks"), "l").collect()) == [("p", "c", 1), ("q", "a", 1), ("q", "b", 2)]
+    (tmp_path / "pretty.json").write_text(json.dumps({"q": ["x", "y"]}, indent=2))
+    assert files.rankings(spark, str(tmp_path / "pretty.json"), "l").count() == 2
     assert [(r.doc_id, r["rank"]) for r in files.rankings(spark, str(tmp_path / "r.json"), "l").collect()] == [("x", 1), ("y", 2)]
 
 
@@ -200,6 +218,20 @@ def test_ingest_search_evaluate(spark, tmp_path):
         searcher.search(asked, "psychic")
     with pytest.raises(index.IndexMismatch):
         cli.Searcher(spark, root, 8).search(asked, "semantic")
+    from plumbline.plans import service
+
+    status, body = service.health(searcher)
+    assert status == 200 and body["data"]["index"]["chunk_count"] == 3 and body["data"]["modes"] == list(cli.MODES)
+    status, body = service.search(searcher, "carbon dioxide 3", "keyword", 1)
+    assert status == 200 and [r["document"] for r in body["data"]["results"]] == ["3"]
+    assert set(service.compare(searcher, "carbon 3", 2)[1]["data"]["modes"]) == set(cli.MODES)
+    assert service.search(searcher, "")[0] == 400 and service.search(searcher, "x" * 1001)[0] == 400 and service.search(searcher, "x", "keyword", 51)[0] == 400
+    assert service.search(cli.Searcher(spark, root, 8), "x", "semantic")[0] == 409 and service.health(cli.Searcher(spark, root + "none"))[0] == 409
+    records = index.load(spark, root).select("doc_id", "title", "text", F.lit("A").alias("author"), F.lit(None).cast("string").alias("series_id"), F.lit("en").alias("language"))
+    status, body = service.search_catalogue(searcher, records, "carbon dioxide 3", "keyword", service.CatalogueRequest(per_page=2))
+    assert status == 200 and body["data"]["total"] == 3 and len(body["data"]["results"]) == 2 and {f["value"] for f in body["data"]["facets"] if f["facet_key"] == "language"} == {"en"}
+    kept = searcher.terms()
+    assert searcher.terms() is kept and kept.where("term = 'carbon'").count() == 3
     (tmp_path / "q.json").write_text(json.dumps({"queries": [{"query": "carbon dioxide 3", "relevant_doc_ids": ["3"], "note": ""}]}))
     scores = {r["mode"]: r.mrr_10 for r in cli.evaluate(spark, searcher, str(tmp_path / "q.json")).collect()}
     assert scores["keyword"] == 1.0 and set(scores) == set(cli.MODES)
@@ -208,6 +240,144 @@ def test_ingest_search_evaluate(spark, tmp_path):
         searcher.chunks()
 
 
+def test_index_survives_failed_and_rival_writes(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = lambda pairs: spark.createDataFrame(pairs, "chunk_id string, text string")
+    assert index.save(rows([("a", "1"), ("b", "1")]), root) == 1
+    broken = spark.range(4).select(F.col("id").cast("string").alias("chunk_id"), F.raise_error(F.lit("lost")).cast("string").alias("text"))
+    for write in (index.save, index.merge):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, root)
+    assert index.versions(spark, root) == [1] and index.load(spark, root).count() == 2
+    assert index.merge(rows([("b", "2"), ("c", "2")]), root) == 2
+    state = lambda: sorted(map(tuple, index.load(spark, root).collect()))
+    assert state() == [("a", "1"), ("b", "2"), ("c", "2")]
+    # a writer that died between claim and manifest: its number stays empty
+    (tmp_path / "index" / "versions" / "000003.claim").write_text("")
+    original = index._published.__defaults__
+    index._published.__defaults__ = (0.5,)
+    try:
+        assert index.merge(rows([("d", "3")]), root) == 4
+    finally:
+        index._published.__defaults__ = original
+    assert state() == [("a", "1"), ("b", "2"), ("c", "2"), ("d", "3")]
+    # many small merges: buckets are written anew now and then, old versions and their data go
+    for i in range(12):
+        index.merge(rows([("d", str(i)), (f"n{i}", "x")]), root)
+    assert len(index.versions(spark, root)) == index.KEPT and len(state()) == 16 and ("d", "11") in state()
+    writes = {p.name for p in (tmp_path / "index" / "data").iterdir()}
+    named = {n for v in index.versions(spark, root) for names in index._manifest(spark, root, v)["buckets"].values() for n in names}
+    assert named <= writes and len(writes - named) <= 2
+
+
+def test_enrichment_store_keeps_the_order_of_its_writes(spark, tmp_path):
+    store = str(tmp_path / "store")
+    items = spark.createDataFrame([(str(i), f"Title Number {i}", "r") for i in range(40)], "item_id string, title string, record string")
+    made = enrichment.fake(items, "v1", "m")
+    for synopsis in ("OLD " + "long " * 400, "NEW", "NEWER " + "x" * 3000, "LAST"):
+        files.append_enrichments(made.withColumn("synopsis", F.lit(synopsis)).repartition(3), store)
+    rows = enrichment.latest(files.enrichments(spark, store)).collect()
+    assert len(rows) == 40 and {r.synopsis for r in rows} == {"LAST"}
+    # a file from elsewhere: blank lines are skipped, later lines win, whatever their sizes
+    line = lambda text: json.dumps({"item_id": "1", "synopsis": text, "prompt_version": "v", "enrichment_model": "m", "source_hash": "h"})
+    (tmp_path / "plain.jsonl").write_text(line("first " * 500) + "\n\n" + line("second") + "\n" + line("third " * 900) + "\n  \n" + line("fourth") + "\n")
+    assert [r.synopsis for r in enrichment.latest(files.enrichments(spark, str(tmp_path / "plain.jsonl"))).collect()] == ["fourth"]
+
+
+class Service:
+    """A batch service in memory; ``dies``: waiting fails that often."""
+
+    model = "fake-model"
+
+    def __init__(self, dies=0, failing=()):
+        self.dies, self.failing, self.sent, self.tried = dies, set(failing), {}, []
+
+    def preflight(self, request):
+        self.tried.append(request["custom_id"])
+        if self.dies < 0:
+            raise ValueError("bad shape")
+
+    def submit(self, requests):
+        self.sent[f"b{len(self.sent)}"] = requests
+        return f"b{len(self.sent) - 1}"
+
+    def status(self, batch):
+        if self.dies > 0:
+            self.dies -= 1
+            raise ConnectionError("poller died")
+        return "ended"
+
+    def results(self, batch):
+        for r in reversed(self.sent[batch]):
+            ok = r["custom_id"] not in self.failing
+            yield {"custom_id": r["custom_id"], "status": "succeeded" if ok else "errored", "recognised": True, "synopsis": "S " + r["custom_id"], "topics": ["t"], "grade": 2 if ok else None, "why": "w"}
+        yield {"custom_id": "nobody asked", "status": "succeeded", "synopsis": "x"}
+
+
+def test_batches_are_never_paid_for_twice(spark, tmp_path):
+    from plumbline.operators import batches
+
+    store = str(tmp_path / "store")
+    items = spark.createDataFrame([(str(i), f"T{i}", f"r{i}") for i in range(5)], "item_id string, title string, record string")
+    service = Service(dies=-1)
+    with pytest.raises(ValueError, match="bad shape"):
+        batches.enrich(items, store, service, "v1", poll_seconds=0)
+    assert not service.sent
+    service = Service(dies=1, failing={"3"})
+    with pytest.raises(ConnectionError):
+        batches.enrich(items, store, service, "v1", size=3, poll_seconds=0)
+    done = batches.enrich(items, store, service, "v1", size=3, poll_seconds=0)
+    # the batch that was on its way is collected, not sent again
+    assert len(service.sent) == 2 and sorted(r["custom_id"] for b in service.sent.values() for r in b) == list("01234")
+    assert (done.items, done.succeeded, done.failed, done.skipped) == (5, 4, ["3"], 0)
+    again = batches.enrich(items, store, Service(), "v1", poll_seconds=0)
+    assert (again.succeeded, again.skipped, again.failed) == (1, 4, [])
+    assert {r.item_id: r.synopsis for r in enrichment.latest(files.enrichments(spark, store)).collect()} == {str(i): f"S {i}" for i in range(5)}
+    # a record of another prompt is no batch of this one
+    batches.InFlight(spark, store).write(batch="b9", model="fake-model", prompt_version="v0")
+    assert batches.enrich(items, store, Service(), "v2", poll_seconds=0).succeeded == 5
+    assert batches.request("x", "p", "s", "claude-opus-5")["output_config"]["effort"] == "low" and "effort" not in batches.request("x", "p", "s", "claude-haiku-4-5")["output_config"]
+    pairs = spark.createDataFrame([("q", str(i), "query", "prose") for i in range(4)], "query_id string, doc_id string, query string, prose string")
+    graded, lost = batches.judge(pairs, Service(failing={"q--2"}), size=3, poll_seconds=0)
+    assert sorted(map(tuple, graded.collect())) == [("q", d, 2, "w") for d in "013"] and lost == ["q--2"]
+
+
+def test_odds_and_ends(spark, monkeypatch, tmp_path):
+    from plumbline import settings
+
+    monkeypatch.setenv("PLUMBLINE_TEST", " 12 ")
+    assert settings.integer("PLUMBLINE_TEST", 3) == 12 and settings.integer("PLUMBLINE_NONE", 3) == 3
+    monkeypatch.setenv("PLUMBLINE_TEST", "many")
+    with pytest.raises(ValueError, match="PLUMBLINE_TEST"):
+        settings.integer("PLUMBLINE_TEST", 3)
+    assert one(spark, T.display_date(F.to_date(F.col("t"))), t="2026-03-03") == "Tuesday 3 March 2026"
+    assert one(spark, T.url_id(F.col("t")), t=" Bee keeping/ü") == "bee_keeping%2F%C3%BC"
+    assert one(spark, T.html_escaped(F.col("t")), t="<a & 'b'>") == "&lt;a &amp; &#x27;b&#x27;&gt;"
+    codes = [-127, 0, 1, 127, -1]
+    packed = spark.createDataFrame([(codes,), ([],)], "c array<tinyint>").select(V.packed_codes(F.col("c")).alias("p"))
+    assert packed.first().p == base64.b64encode(bytes(c & 255 for c in codes)).decode()
+    assert [r[0] for r in packed.select(V.unpacked_codes(F.col("p"))).collect()] == [codes, []]
+    rows = spark.createDataFrame([("1", "A <b> title", [0.5, -1.0])], "doc_id string, title string, vector array<double>")
+    files.export_vectors(rows, str(tmp_path / "bundle"))
+    line = spark.read.text(str(tmp_path / "bundle")).first()[0]
+    assert "<" not in line and json.loads(line)["title"] == "A <b> title" and base64.b64decode(json.loads(line)["codes"]) == bytes([64, 129])
+    judged = spark.createDataFrame([("bees", ["1"], {"1": 2}, "control: x")], "query string, relevant_doc_ids array<string>, grades map<string,int>, note string")
+    files.write_queries(judged, str(tmp_path / "eval"), {"judge": "none"})
+    back = files.queries(spark, str(tmp_path / "eval")).first()
+    assert (back.query, back.relevant_doc_ids, back.grades, back.note) == ("bees", ["1"], {"1": 2}, "control: x")
+
+
+def test_containing(spark):
+    from plumbline.operators.matching import containing
+
+    docs = spark.createDataFrame([("1", "abcabc xyz"), ("2", ""), ("3", None), ("4", "Bc"), ("5", "𝔸bc")], "doc_id string, text string")
+    needles = spark.createDataFrame([("a", "abc"), ("b", "bc"), ("c", ""), ("d", None), ("e", "bc"), ("f", "c x")], "key string, needle string")
+    want = [("a", "1"), ("b", "1"), ("b", "5"), ("e", "1"), ("e", "5"), ("f", "1")]
+    for most in (1 << 20, 3):
+        assert sorted(map(tuple, containing(docs, needles, most).collect())) == want
+    assert containing(docs, needles.limit(0)).count() == 0
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, root = tmp_path / "in", str(tmp_path / "index")
     rows = lambda ids: spark.createDataFrame([(i, f"T{i}", f"Some text {i}.", None) for i in ids], "doc_id string, title string, text string, url string")
