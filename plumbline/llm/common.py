@@ -2,77 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from plumbline.tables import clear, discard, dropped, scratch, shared_root, written  # noqa: F401  the operators take them from here
 
 #: Bytes of output after which an operator hands an Arrow batch on.
 BATCH_BYTES = 4 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and
-    the master is local, as in tests, is a folder of this machine taken; on any
-    other master that would lose data, so it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = root.get() if root.isDefined() else None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table of the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._scratch = path
-    _TABLES.add(path)
-    return table
-
-
-#: Tables that ``written`` has made and nobody has dropped.
-_TABLES: set[str] = set()
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` has made and nothing reads any more."""
-    for table in tables:
-        _TABLES.discard(table._scratch)
-        discard(table.sparkSession, table._scratch)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every table that this process has written and not dropped, once all results that read them stand."""
-    while _TABLES:
-        discard(spark, _TABLES.pop())
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder that nothing reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def free(columns: list[str], *stems: str) -> list[str]:
     """A name for each stem that clashes with no column."""
     taken = {c.lower() for c in columns}

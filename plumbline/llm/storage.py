@@ -11,14 +11,7 @@ from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 
-
-def located(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or plain path, and the path there."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(uri)
+from plumbline.tables import located
 
 
 @contextmanager
