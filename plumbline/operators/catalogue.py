@@ -95,3 +95,27 @@ def last_wins(files: list[DataFrame], key: str = "doc_id") -> DataFrame:
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("file_no", F.lit(i)) for i, df in enumerate(files)])
     window = Window.partitionBy(key).orderBy(F.desc("file_no"), F.desc("pos"))
     return union.withColumn("n", F.row_number().over(window)).where("n = 1").drop("n", "file_no", "pos")
+
+
+def integrity(records: DataFrame) -> DataFrame:
+    """One row about records (doc_id, title, text, author, subjects, fiction): what is empty or missing, repeated ids, words, the split."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    words = lambda c: F.size(T.whitespace_words(F.coalesce(F.col(c), F.lit(""))))
+    rows = records.withColumn("w", (words("text") + words("title")).cast("long"))
+    count = lambda condition, name: F.count(F.when(condition, 1)).alias(name)
+    counts = rows.agg(
+        F.count("*").alias("records"),
+        count(blank(F.col("title")), "empty_title"),
+        count(F.coalesce(F.size("subjects"), F.lit(0)) <= 0, "no_subjects"),
+        count(blank(F.col("text")), "empty_text"),
+        F.min("w").alias("words_min"),
+        F.max("w").alias("words_max"),
+        count(F.coalesce("author", F.lit("")) == "", "missing_author"),
+        count(F.col("fiction"), "fiction"),
+        count(~F.col("fiction"), "non_fiction"),
+    )
+    twice = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*").alias("duplicate_ids"))
+    # the upper median by counts of sizes: as many rows as there are sizes, not records
+    sizes = rows.groupBy("w").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("w")))
+    median = sizes.crossJoin(rows.agg(F.count("*").alias("total"))).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("w").alias("words_median"))
+    return counts.crossJoin(twice).crossJoin(median)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,22 +48,41 @@ def recall_with(queries: DataFrame, hits: DataFrame, relevant: DataFrame, extra:
     return rows.groupBy(*keys).agg(F.round(F.avg(F.coalesce(F.col("hits") / F.col("n_rel"), F.lit(0.0))), 6).alias("recall"))
 
 
-def monte_carlo(queries: DataFrame, hits: DataFrame, relevant: DataFrame, unjudged: DataFrame, rates: list[float], trials: int, depth: int = 10) -> DataFrame:
-    """(lane, rate, recall): mean over trials in which each unjudged pair is relevant with the given rate.
+def reused(pooled: DataFrame, evaluation: DataFrame, judgements: DataFrame) -> DataFrame:
+    """The pool with grades that are already there, by query and document, and the judge's reason.
 
-    All trials of all rates are one job: trials and rates are rows, and each pair's
-    draw is a digest of pair and trial.
+    ``evaluation``: (query_id, pos, doc_id, grade); ``judgements``: (key, why) of the run that made it, whose keys are
+    ``q<place of the query>--<document>``. Grades never go by place, as queries may have been reordered since.
+    """
+    key = F.concat(F.lit("q"), F.col("pos").cast("string"), F.lit("--"), F.col("doc_id"))
+    known = evaluation.withColumn("key", key).join(judgements.select("key", "why"), "key", "left").select("query_id", "doc_id", "grade", F.coalesce("why", F.lit("")).alias("why"))
+    return pooled.join(known, ["query_id", "doc_id"], "left")
+
+
+def monte_carlo(queries: DataFrame, hits: DataFrame, relevant: DataFrame, unjudged: DataFrame, rates: list[float], trials: int, depth: int = 10, first: str | None = None) -> DataFrame:
+    """(lane, rate, recall, beat): mean over trials in which each unjudged pair is relevant with the given rate.
+
+    All trials of all rates are one job: trials and rates are rows, and each pair's draw is a digest of pair and
+    trial. Rates 0 and 1 are exact and need one trial. ``beat``: trials in which some lane beats ``first``.
     """
     spark = hits.sparkSession
-    runs = spark.range(trials).select(F.col("id").alias("trial")).crossJoin(spark.createDataFrame([(r,) for r in rates], "rate double"))
-    drawn = unjudged.crossJoin(F.broadcast(runs)).where(uniform(F.col("trial").cast("string"), F.col("query_id"), F.col("doc_id")) < F.col("rate"))
-    extra = drawn.select("trial", "rate", "query_id", "doc_id")
-    base = relevant.select("query_id", "doc_id").crossJoin(F.broadcast(runs)).select("trial", "rate", "query_id", "doc_id")
-    rel = base.unionAll(extra).distinct()
-    sizes = rel.groupBy("trial", "rate", "query_id").agg(F.count("*").alias("n_rel"))
-    found = hits.where(F.col("rank") <= depth).join(rel, ["query_id", "doc_id"]).groupBy("lane", "trial", "rate", "query_id").agg(F.count("*").alias("hits"))
+    runs = spark.range(trials).select(F.col("id").alias("trial")).crossJoin(spark.createDataFrame([(r,) for r in rates], "rate double")).where("trial = 0 or rate not in (0, 1)")
+    # base and extra do not overlap, so hits and sizes are counts of either side and no pair is copied for each trial that changes nothing
+    base = relevant.select("query_id", "doc_id").distinct()
+    found_base = hits.where(F.col("rank") <= depth).join(base, ["query_id", "doc_id"], "left_semi").groupBy("lane", "query_id").agg(F.count("*").alias("h"))
+    extra = unjudged.select("query_id", "doc_id").distinct().join(base, ["query_id", "doc_id"], "left_anti")
+    drawn = extra.crossJoin(F.broadcast(runs)).where(uniform(F.col("trial").cast("string"), F.col("query_id"), F.col("doc_id")) < F.col("rate"))
+    sizes_extra = drawn.groupBy("trial", "rate", "query_id").agg(F.count("*").alias("n"))
+    found_extra = drawn.join(hits.where(F.col("rank") <= depth).select("lane", "query_id", "doc_id"), ["query_id", "doc_id"]).groupBy("lane", "trial", "rate", "query_id").agg(F.count("*").alias("h"))
+    sizes = base.groupBy("query_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(runs)).select("trial", "rate", "query_id", "n").unionByName(sizes_extra)
+    sizes = sizes.groupBy("trial", "rate", "query_id").agg(F.sum("n").alias("n"))
+    found = found_base.crossJoin(F.broadcast(runs)).select("lane", "trial", "rate", "query_id", "h").unionByName(found_extra)
+    found = found.groupBy("lane", "trial", "rate", "query_id").agg(F.sum("h").alias("h"))
     total = queries.select("query_id").distinct().agg(F.count("*").alias("n_queries"))
-    parts = found.join(sizes, ["trial", "rate", "query_id"]).groupBy("lane", "rate", "trial").agg(F.sum(F.col("hits") / F.col("n_rel")).alias("s"))
+    parts = found.join(sizes, ["trial", "rate", "query_id"]).groupBy("lane", "rate", "trial").agg(F.sum(F.col("h") / F.col("n")).alias("s"))
     every = hits.select("lane").distinct().crossJoin(F.broadcast(runs))
-    rows = every.join(parts, ["lane", "rate", "trial"], "left").crossJoin(F.broadcast(total))
-    return rows.groupBy("lane", "rate").agg(F.round(F.avg(F.coalesce("s", F.lit(0.0)) / F.col("n_queries")), 6).alias("recall"))
+    rows = every.join(parts, ["lane", "rate", "trial"], "left").crossJoin(total).select("lane", "rate", "trial", (F.coalesce("s", F.lit(0.0)) / F.col("n_queries")).alias("recall"))
+    w = Window.partitionBy("rate", "trial")
+    own = F.max(F.when(F.col("lane") == F.lit(first), F.round("recall", 9))).over(w)
+    rows = rows.withColumn("beaten", F.coalesce(F.max(F.when(F.col("lane") != F.lit(first), F.round("recall", 9))).over(w) > own, F.lit(False)))
+    return rows.groupBy("lane", "rate").agg(F.round(F.avg("recall"), 6).alias("recall"), F.count(F.when(F.col("beaten"), 1)).alias("beat"))

@@ -25,9 +25,12 @@ def six(column: str):
 # keyword ranking
 
 
-@query("K1_weighted_tf", "ttf5", "SELECT term, count(*) AS docs, round(sum(tf), 6) AS weight FROM (SELECT doc_id, term, sum(x) AS tf FROM ttf5 GROUP BY ALL) GROUP BY term")
+ALL_TERMS = "SELECT doc_id, term, sum(x) AS tf FROM (SELECT doc_id, unnest(tt) AS term, 5.0::DOUBLE AS x FROM dt UNION ALL SELECT doc_id, unnest(bt), 1.0::DOUBLE FROM dt) GROUP BY ALL"
+
+
+@query("K1_weighted_tf", "dt", f"SELECT term, count(*) AS docs, round(sum(tf), 6) AS weight FROM ({ALL_TERMS}) GROUP BY term")
 def k1(spark, sf):
-    return R.postings(docs(spark, sf), 5.0, R.query_terms(queries(spark, sf))).groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("tf"), 6).alias("weight"))
+    return R.postings(docs(spark, sf), 5.0).groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("tf"), 6).alias("weight"))
 
 
 @query("K2_avgdl", "dt", "SELECT round(avg(len(tt) + len(bt)), 6) AS avgdl, count(*) AS n FROM dt")
@@ -40,11 +43,11 @@ def k3(spark, sf):
     return R.postings(docs(spark, sf)).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query("K4_idf", "df dt", "SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, (SELECT count(*) AS n FROM dt)")
+@query("K4_idf", "dt", f"SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM ({ALL_TERMS}) GROUP BY term), (SELECT count(*) AS n FROM dt)")
 def k4(spark, sf):
     d = docs(spark, sf)
-    df = R.postings(d, 1.0, R.query_terms(queries(spark, sf))).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    df = R.postings(d).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(d.agg(F.count("*").alias("n"))).select("term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query("K5_bm25_topk", "bm", "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10")
@@ -52,9 +55,11 @@ def k5(spark, sf):
     return bm25(spark, sf, 10)
 
 
-@query("K7_stopword_query", "", "SELECT CAST(NULL AS VARCHAR) AS query_id, CAST(NULL AS VARCHAR) AS doc_id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS rank WHERE 1 = 0")
+@query("K7_stopword_query", "bm", "SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 10 AND query_id = (SELECT min(CAST(item_id AS VARCHAR)) FROM benchmark)")
 def k7(spark, sf):
-    return R.bm25(spark.createDataFrame([("s", "the of and")], "query_id string, query string"), docs(spark, sf), 10)
+    empty = spark.createDataFrame([("s", "the of and"), ("e", ""), ("n", None)], "query_id string, query string")
+    first = queries(spark, sf).orderBy("query_id").limit(1)
+    return R.bm25(empty.unionByName(first), docs(spark, sf), 10)
 
 
 @query("K10_title_weight_sweep", "bm bm5 rel", """SELECT weight, count(*) AS hits, count(r.doc_id) AS relevant FROM (
@@ -113,7 +118,7 @@ def v10(spark, sf):
 @query("V11_nearest_labels", "v vq", """SELECT query_id, doc_id, array_to_string(list(label ORDER BY n), ',') AS closest FROM (
  SELECT query_id, doc_id, label, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sim DESC, pos) AS n FROM (
  SELECT query_id, r.doc_id AS doc_id, s.pos AS pos, s.label AS label, round(list_sum(list_transform(list_zip(vq.vector, c.vector), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS sim
- FROM vq, (SELECT doc_id, label FROM v WHERE doc_id LIKE '%00') r, (SELECT unnest([0, 1, 2]) AS k) ks, LATERAL (SELECT k AS pos, CAST((r.label + k * 3) % 10 AS VARCHAR) AS label) s
+ FROM vq, (SELECT doc_id, label FROM v) r, (SELECT unnest([0, 1, 2]) AS k) ks, LATERAL (SELECT k AS pos, CAST((r.label + k * 3) % 10 AS VARCHAR) AS label) s
  JOIN (SELECT CAST(label AS VARCHAR) AS label, min_by(vector, length(doc_id) * 1000000 + doc_id::INT) AS vector FROM v GROUP BY label) c ON c.label = s.label)) WHERE n <= 2 GROUP BY query_id, doc_id""")
 def v11(spark, sf):
     every = vectors(spark, sf)
@@ -169,9 +174,12 @@ def r6(spark, sf):
     return R.collapse(hits, "series").select("query_id", "doc_id", "repeats", "rank")
 
 
-@query("R7_rerank_slots", "bmtop d", """WITH s AS (SELECT h.*, CASE WHEN n_chars % 3 <> 0 THEN (n_chars % 97)::DOUBLE END AS second FROM bmtop h JOIN d USING (doc_id)),
+R7 = """WITH s AS (SELECT h.*, CASE WHEN n_chars % 3 <> 0 THEN (n_chars % 97)::DOUBLE END AS second FROM bmtop h JOIN d USING (doc_id)),
 m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS slot, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, rank) AS turn FROM s WHERE second IS NOT NULL)
-SELECT a.query_id AS query_id, a.doc_id AS doc_id, a.score AS score, b.rank AS rank FROM m a JOIN m b ON a.query_id = b.query_id AND a.turn = b.slot UNION ALL SELECT query_id, doc_id, score, rank FROM s WHERE second IS NULL""")
+SELECT a.query_id AS query_id, a.doc_id AS doc_id, a.score AS score, b.rank AS rank FROM m a JOIN m b ON a.query_id = b.query_id AND a.turn = b.slot UNION ALL SELECT query_id, doc_id, score, rank FROM s WHERE second IS NULL"""
+
+
+@query("R7_rerank_slots", "bmtop d", R7)
 def r7(spark, sf):
     second = docs(spark, sf).where("n_chars % 3 <> 0").select("doc_id", (F.col("n_chars") % 97).cast("double").alias("second"))
     hits = bm25(spark, sf)
@@ -201,16 +209,31 @@ def r8(spark, sf):
     return R.exact_matches(*named(spark, sf)).select("query_id", "doc_id", "reason")
 
 
-@query("R9_promote", "", f"""WITH {CAT}, hits AS (SELECT query_id, CAST(query_id::BIGINT + (k * 7) % 10 - 4 AS VARCHAR) AS doc_id, 1.0 / k AS score, k AS rank FROM asked, range(1, 6) x(k)),
-lifted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reason_order, doc_id) AS lift FROM exact WHERE reason_order IS NOT NULL)
-SELECT query_id, doc_id, round(coalesce(score, 0), 6) AS score, reason, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lift <= 3 THEN lift ELSE 4 END, rank) AS rank FROM (
- SELECT coalesce(h.query_id, l.query_id) AS query_id, coalesce(h.doc_id, l.doc_id) AS doc_id, score, rank, lift, (['title', 'author', 'phrase'])[reason_order] AS reason FROM hits h FULL JOIN lifted l ON h.query_id = l.query_id AND h.doc_id = l.doc_id) WHERE rank IS NOT NULL OR lift <= 3""")
+R9 = f"""{CAT}, hits AS (SELECT query_id, CAST(query_id::BIGINT + (k * 7) % 10 - 4 AS VARCHAR) AS doc_id, 1.0 / k AS score, k AS rank FROM asked, range(1, 6) x(k)),
+lifted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reason_order, doc_id) AS lift FROM exact WHERE reason_order IS NOT NULL),
+promoted AS (SELECT query_id, doc_id, round(coalesce(score, 0), 6) AS score, reason, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lift <= 3 THEN lift ELSE 4 END, rank) AS rank FROM (
+ SELECT coalesce(h.query_id, l.query_id) AS query_id, coalesce(h.doc_id, l.doc_id) AS doc_id, score, rank, lift, (['title', 'author', 'phrase'])[reason_order] AS reason FROM hits h FULL JOIN lifted l ON h.query_id = l.query_id AND h.doc_id = l.doc_id) WHERE rank IS NOT NULL OR lift <= 3)"""
+
+
+@query("R9_promote", "", f"WITH {R9} SELECT * FROM promoted")
 def r9(spark, sf):
     asked, catalogue = named(spark, sf)
+    return R.promote(near_hits(asked), R.exact_matches(asked, catalogue)).withColumn("score", F.round("score", 6))
+
+
+def near_hits(asked):
+    """Five ranked records near the one that each query was made from."""
     ranked = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
     near = (F.col("query_id").cast("long") + F.col("k") * 7 % 10 - 4).cast("string")
-    hits = ranked.select("query_id", near.alias("doc_id"), (1.0 / F.col("k")).alias("score"), F.col("k").cast("long").alias("rank"))
-    return R.promote(hits, R.exact_matches(asked, catalogue)).withColumn("score", F.round("score", 6))
+    return ranked.select("query_id", near.alias("doc_id"), (1.0 / F.col("k")).alias("score"), F.col("k").cast("long").alias("rank"))
+
+
+@query("R13_promote_within", "", f"""WITH {CAT}, hits AS (SELECT query_id, CAST(query_id::BIGINT + (k * 7) % 10 - 4 AS VARCHAR) AS doc_id, 1.0 / k AS score, k AS rank FROM asked, range(1, 6) x(k)),
+lifted AS (SELECT query_id, doc_id, (['title', 'author', 'phrase'])[reason_order] AS reason, row_number() OVER (PARTITION BY query_id ORDER BY reason_order, doc_id) AS lift FROM exact JOIN (SELECT query_id, doc_id FROM hits) USING (query_id, doc_id) WHERE reason_order IS NOT NULL)
+SELECT query_id, doc_id, round(score, 6) AS score, reason, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lift <= 3 THEN lift ELSE 4 END, rank) AS rank FROM hits LEFT JOIN lifted USING (query_id, doc_id)""")
+def r13(spark, sf):
+    asked, catalogue = named(spark, sf)
+    return R.promote_within(near_hits(asked), R.exact_matches(asked, catalogue)).withColumn("score", F.round("score", 6))
 
 
 @query("R10_pool_filter_cut_page", "bm rec", """SELECT query_id, doc_id, rank, total FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM (
@@ -254,20 +277,34 @@ def r11(spark, sf):
     return marked.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("r", F.lit(1)), "rank")).cast("long").alias("rank"))
 
 
-@query("R12_permutation_guard", "", "SELECT 0::BIGINT AS lost, 0::BIGINT AS invented")
+@query("R12_permutation_guard", "bmtop d", f"""WITH r7 AS ({R7}), kept AS (SELECT query_id, doc_id FROM r7 WHERE rank <= 18)
+SELECT (SELECT count(*) FROM (SELECT query_id, doc_id FROM bmtop EXCEPT ALL SELECT query_id, doc_id FROM r7)) AS lost, (SELECT count(*) FROM (SELECT query_id, doc_id FROM r7 EXCEPT ALL SELECT query_id, doc_id FROM bmtop)) AS invented,
+ (SELECT count(*) FROM (SELECT query_id, doc_id FROM bmtop EXCEPT ALL SELECT query_id, doc_id FROM kept)) AS lost_by_cut""")
 def r12(spark, sf):
-    before, after = bm25(spark, sf).select("query_id", "doc_id"), r7(spark, sf).select("query_id", "doc_id")
+    before, after = bm25(spark, sf).select("query_id", "doc_id"), r7(spark, sf)
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(before.exceptAll(after), "lost").crossJoin(count(after.exceptAll(before), "invented"))
-
+    whole, cut = after.select("query_id", "doc_id"), after.where("rank <= 18").select("query_id", "doc_id")
+    return count(before.exceptAll(whole), "lost").crossJoin(count(whole.exceptAll(before), "invented")).crossJoin(count(before.exceptAll(cut), "lost_by_cut"))
 
 
-
-@query("R21_known_items", "d", f"SELECT doc_id, 'title' AS kind, title AS query FROM (SELECT doc_id, title FROM d ORDER BY sha256(concat('known', doc_id)), doc_id LIMIT 30) UNION ALL SELECT doc_id, 'dropped', array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN i <> 2 THEN t[i] END), lambda x: x IS NOT NULL), ' ') FROM (SELECT doc_id, {tok('title')} AS t FROM (SELECT doc_id, title FROM d ORDER BY sha256(concat('known', doc_id)), doc_id LIMIT 30))")
+@query("R21_known_items", "d", """WITH chosen AS (SELECT doc_id, title FROM d WHERE title <> '' AND NOT starts_with(title, '[') ORDER BY sha256(concat('known', doc_id)), doc_id LIMIT 30),
+damaged AS (SELECT doc_id, string_split(title, ' ') AS w FROM d WHERE title <> '' AND NOT starts_with(title, '[') ORDER BY sha256(concat('damaged', doc_id)), doc_id LIMIT 15),
+authors AS (SELECT DISTINCT source FROM d WHERE source <> '' ORDER BY sha256(concat('author', source)), source LIMIT 3)
+SELECT 'title' AS kind, lower(title) AS query, doc_id AS answers, 1::BIGINT AS n FROM chosen
+UNION ALL SELECT 'author', lower(source), min(doc_id), count(DISTINCT doc_id) FROM d JOIN authors USING (source) GROUP BY source
+UNION ALL SELECT 'dropped', lower(array_to_string(list_filter(w, lambda x, i: i <> CAST(concat('0x', substr(sha256(concat('drop', doc_id)), 1, 6)) AS INT) % len(w) + 1), ' ')), doc_id, 1 FROM damaged WHERE len(w) >= 3""")
 def r21(spark, sf):
-    sample = docs(spark, sf).select("doc_id", "title", F.sha2(F.concat(F.lit("known"), "doc_id").cast("binary"), 256).alias("h")).orderBy("h", "doc_id").limit(30)
-    whole = sample.select("doc_id", F.lit("title").alias("kind"), F.col("title").alias("query"))
-    return whole.unionAll(sample.select("doc_id", F.lit("dropped").alias("kind"), F.array_join(F.filter(T.tokens(F.col("title")), lambda t, i: i != 1), " ").alias("query")))
+    """Questions whose answers are known because they were made from records: titles, authors, titles with a word dropped."""
+    d = docs(spark, sf)
+    usable = d.where("title <> '' and not startswith(title, '[')").select("doc_id", "title")
+    seeded = lambda rows, seed, column, n: rows.withColumn("h", F.sha2(F.concat(F.lit(seed), column).cast("binary"), 256)).orderBy("h", column).limit(n).drop("h")
+    titles = seeded(usable, "known", "doc_id", 30).select(F.lit("title").alias("kind"), F.lower("title").alias("query"), F.col("doc_id").alias("answers"), F.lit(1).cast("long").alias("n"))
+    names = seeded(d.where("source <> ''").select("source").distinct(), "author", "source", 3)
+    authors = d.join(names, "source").groupBy("source").agg(F.min("doc_id").alias("answers"), F.countDistinct("doc_id").alias("n")).select(F.lit("author").alias("kind"), F.lower("source").alias("query"), "answers", "n")
+    damaged = seeded(usable, "damaged", "doc_id", 15).withColumn("w", F.split("title", " ")).where(F.size("w") >= 3)
+    gone = F.conv(F.substring(F.sha2(F.concat(F.lit("drop"), "doc_id").cast("binary"), 256), 1, 6), 16, 10).cast("int") % F.size("w")
+    dropped = damaged.withColumn("gone", gone).select(F.lit("dropped").alias("kind"), F.lower(F.array_join(F.filter("w", lambda x, i: i != F.col("gone")), " ")).alias("query"), F.col("doc_id").alias("answers"), F.lit(1).cast("long").alias("n"))
+    return titles.unionAll(authors).unionAll(dropped)
 
 
 @query("R22_router", "mq bmtop q dt", f"""SELECT query_id, round(CASE WHEN coverage >= 1.0 THEN k ELSE s END, 6) AS routed, round(greatest(k, s), 6) AS oracle FROM (
@@ -323,16 +360,47 @@ def a8(spark, sf):
 @query("A12_reach", "bmtop rec", "SELECT query_id, count(*) FILTER (WHERE record_type = 'event') AS events, min(rank) FILTER (WHERE record_type = 'event') AS best_rank, min_by(title, rank) FILTER (WHERE record_type = 'event') AS best_title FROM bmtop JOIN rec USING (doc_id) GROUP BY query_id")
 def a12(spark, sf):
     hits = bm25(spark, sf).join(records(spark, sf), "doc_id").withColumn("e", F.col("record_type") == "event")
+    return reach(hits).select("query_id", "events", "best_rank", "best_title")
+
+
+def reach(hits):
+    """For each query: events among its hits, the best one's rank and title."""
     return hits.groupBy("query_id").agg(F.count(F.when(F.col("e"), 1)).alias("events"), F.min(F.when(F.col("e"), F.col("rank"))).alias("best_rank"), F.min_by("title", F.when(F.col("e"), F.col("rank"))).alias("best_title"))
 
 
-@query("P14_filter_before_after", "bm rec", """SELECT language, count(*) FILTER (WHERE rank <= 20) AS after_cut, sum(least(k, 20)) FILTER (WHERE last) ::BIGINT AS before_cut FROM (
- SELECT query_id, language, rank, count(*) OVER (PARTITION BY query_id, language) AS k, row_number() OVER (PARTITION BY query_id, language ORDER BY rank) = 1 AS last FROM (
- SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) JOIN rec USING (doc_id) WHERE rank <= 200) GROUP BY language""")
+CONTROL = "substr(sha256(concat('control', query_id)), 1, 1) < '4'"
+
+
+def controls(spark, sf):
+    """(query_id, control): a quarter of the queries, by digest, stand for known-item controls."""
+    return queries(spark, sf).select("query_id", (F.substring(F.sha2(F.concat(F.lit("control"), "query_id").cast("binary"), 256), 1, 1) < "4").alias("control"))
+
+
+@query("A12_reach_totals", "bmtop rec q", f"""SELECT count(*) AS queries, count(*) FILTER (WHERE events > 0) AS reached, coalesce(sum(events), 0)::BIGINT AS event_hits, count(*) * 20 AS slots, count(*) FILTER (WHERE events > 0) / count(*) >= 0.6 AS passed,
+ count(*) FILTER (WHERE {CONTROL}) AS known_items, count(*) FILTER (WHERE {CONTROL} AND events > 0) AS intruded FROM (SELECT query_id, coalesce(events, 0) AS events FROM q LEFT JOIN (SELECT query_id, count(*) FILTER (WHERE record_type = 'event') AS events FROM bmtop JOIN rec USING (doc_id) GROUP BY query_id) USING (query_id))""")
+def a12_totals(spark, sf):
+    hits = bm25(spark, sf).join(records(spark, sf), "doc_id").withColumn("e", F.col("record_type") == "event")
+    rows = controls(spark, sf).join(reach(hits).select("query_id", "events"), "query_id", "left").withColumn("some", F.coalesce("events", F.lit(0)) > 0)
+    n, got = F.count("*"), F.count(F.when(F.col("some"), 1))
+    return rows.agg(n.alias("queries"), got.alias("reached"), F.coalesce(F.sum("events"), F.lit(0)).alias("event_hits"), (n * 20).alias("slots"), (got / n >= 0.6).alias("passed"), F.count(F.when(F.col("control"), 1)).alias("known_items"), F.count(F.when(F.col("control") & F.col("some"), 1)).alias("intruded"))
+
+
+@query("P14_filter_before_after", "bm rec q", """WITH pool AS (SELECT query_id, language, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) JOIN rec USING (doc_id) WHERE rank <= 200),
+counted AS (SELECT query_id, language, coalesce(a, 0) AS a, least(coalesce(k, 0), 20) AS b FROM q CROSS JOIN (SELECT DISTINCT language FROM rec WHERE language <> '') LEFT JOIN (SELECT query_id, language, count(*) AS k, count(*) FILTER (WHERE rank <= 20) AS a FROM pool GROUP BY ALL) USING (query_id, language))
+SELECT language, sum(a)::BIGINT AS after_cut, sum(b)::BIGINT AS before_cut, round(avg((a < 3)::INT), 6) AS few_after, round(avg((b < 3)::INT), 6) AS few_before, round(avg((a = 0)::INT), 6) AS none_after, round(avg((b = 0)::INT), 6) AS none_before FROM counted GROUP BY language""")
 def p14(spark, sf):
-    pool = bm25(spark, sf, R.POOL).join(records(spark, sf).select("doc_id", "language"), "doc_id")
-    sizes = pool.groupBy("query_id", "language").agg(F.count("*").alias("k"), F.count(F.when(F.col("rank") <= 20, 1)).alias("a"))
-    return sizes.groupBy("language").agg(F.sum("a").alias("after_cut"), F.sum(F.least("k", F.lit(20))).alias("before_cut"))
+    """What a filter leaves of a result if it comes after the cut, and if it comes before: sums, shares of few and of none."""
+    rec = records(spark, sf).select("doc_id", "language")
+    pool = bm25(spark, sf, R.POOL).join(rec, "doc_id")
+    sizes = pool.groupBy("query_id", "language").agg(F.least(F.count("*"), F.lit(R.CUT)).alias("before"), F.count(F.when(F.col("rank") <= R.CUT, 1)).alias("after"))
+    grid = queries(spark, sf).select("query_id").crossJoin(rec.where("language <> ''").select("language").distinct())
+    rows = grid.join(sizes, ["query_id", "language"], "left").fillna(0, ["before", "after"])
+    share = lambda condition: F.round(F.avg(condition.cast("int")), 6)
+    return rows.groupBy("language").agg(
+        F.sum("after").alias("after_cut"), F.sum("before").alias("before_cut"),
+        share(F.col("after") < 3).alias("few_after"), share(F.col("before") < 3).alias("few_before"),
+        share(F.col("after") == 0).alias("none_after"), share(F.col("before") == 0).alias("none_before"),
+    )
 
 
 # metrics
@@ -360,13 +428,18 @@ def e5(spark, sf):
     return wide.select("query_id", *(F.round(c, 3).alias(c) for c in ("bm25", "tf", "title")))
 
 
-@query("E6_score_rankings", "lanes grades mq", """SELECT lane, round(judged / total, 6) AS coverage, CASE WHEN judged / total >= 0.9 THEN 'comparable' WHEN judged / total >= 0.75 THEN 'caution' ELSE 'not comparable' END AS verdict, ndcg_10 FROM (
- SELECT lane, count(g.doc_id) AS judged, count(*) AS total FROM lanes l LEFT JOIN grades g ON g.query_id = l.query_id AND g.doc_id = l.doc_id WHERE rank <= 10 GROUP BY lane) JOIN (SELECT lane, round(avg(ndcg_10), 6) AS ndcg_10 FROM mq GROUP BY lane) USING (lane)""")
+ANSWERED = "lane <> 'title' OR substr(sha256(concat('missing', query_id)), 1, 1) >= '4'"
+
+
+@query("E6_score_rankings", "lanes grades mq rec", f"""WITH answered AS (SELECT * FROM lanes WHERE {ANSWERED}), have AS (SELECT DISTINCT lane, query_id FROM answered),
+scored AS (SELECT lane, count(*) AS queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(recall_5), 6) AS recall_5, round(avg(mrr_10), 6) AS mrr_10, round(coalesce(avg(ndcg_10) FILTER (WHERE {CONTROL}), 0), 6) AS controls, count(*) FILTER (WHERE {CONTROL}) AS control_count FROM mq JOIN have USING (lane, query_id) GROUP BY lane),
+judged AS (SELECT lane, count(g.doc_id) / count(*) AS share, count(DISTINCT CASE WHEN {CONTROL.replace('query_id', 'l.query_id')} AND r.record_type = 'event' THEN l.query_id END) AS intruded FROM answered l LEFT JOIN grades g ON g.query_id = l.query_id AND g.doc_id = l.doc_id LEFT JOIN rec r ON r.doc_id = l.doc_id WHERE rank <= 10 GROUP BY lane)
+SELECT lane, queries, (SELECT count(*) FROM benchmark) - (SELECT count(*) FROM have h WHERE h.lane = scored.lane) AS missing, ndcg_10, recall_5, mrr_10, round(share, 6) AS coverage, CASE WHEN share >= 0.9 THEN 'comparable' WHEN share >= 0.75 THEN 'caution' ELSE 'not comparable' END AS verdict, controls, control_count, intruded FROM scored JOIN judged USING (lane)""")
 def e6(spark, sf):
-    every = lanes(spark, sf)
-    judged = every.where("rank <= 10").join(grades(spark, sf), ["query_id", "doc_id"], "left").groupBy("lane").agg((F.count("grade") / F.count("*")).alias("share"))
-    scored = measured(spark, sf).groupBy("lane").agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"))
-    return judged.join(scored, "lane").select("lane", F.round("share", 6).alias("coverage"), metrics.verdict(F.col("share")).alias("verdict"), "ndcg_10")
+    answered = lanes(spark, sf).where((F.col("lane") != "title") | (F.substring(F.sha2(F.concat(F.lit("missing"), "query_id").cast("binary"), 256), 1, 1) >= "4"))
+    twice = answered.unionByName(answered.where("rank = 1").withColumn("rank", F.col("rank") + 50))
+    events = records(spark, sf).where("record_type = 'event'").select("doc_id")
+    return metrics.score_rankings(controls(spark, sf), twice, relevant(spark, sf), grades(spark, sf), events)
 
 
 @query("E8_weakest", "mq", "SELECT query_id, round(ndcg_10, 6) AS ndcg_10 FROM mq WHERE lane = 'bm25' ORDER BY ndcg_10, query_id LIMIT 5")
@@ -383,21 +456,14 @@ def e9(spark, sf):
 
 @query("E11_break_eval", "bmtop grades", BREAKS + """, j AS (SELECT h.query_id AS query_id, h.doc_id AS doc_id, rank, coalesce(grade >= 1, false)::INT AS good FROM bmtop h LEFT JOIN grades g ON g.query_id = h.query_id AND g.doc_id = h.doc_id),
 sized AS (SELECT rule, query_id, max(rank) AS cut FROM kept GROUP BY rule, query_id)
-SELECT rule, round(avg(size), 6) AS size, round(avg(above), 6) AS above, round(avg(missed), 6) AS missed FROM (
- SELECT rule, query_id, count(*) FILTER (WHERE rank <= cut) AS size, sum(good) FILTER (WHERE rank <= cut) / count(*) FILTER (WHERE rank <= cut) AS above,
+SELECT rule, round(avg(size), 6) AS size, round(avg(above), 6) AS above, round(coalesce(avg(below), 0), 6) AS below, round(avg(above) - coalesce(avg(below), 0), 6) AS lift, round(avg(missed), 6) AS missed FROM (
+ SELECT rule, query_id, count(*) FILTER (WHERE rank <= cut) AS size, avg(good) FILTER (WHERE rank <= cut) AS above, avg(good) FILTER (WHERE rank > cut) AS below,
  coalesce(sum(good) FILTER (WHERE rank > cut), 0) / greatest(sum(good), 1) AS missed FROM sized JOIN j USING (query_id) GROUP BY rule, query_id) GROUP BY rule""")
 def e11(spark, sf):
     hits = bm25(spark, sf)
     good = grades(spark, sf).where("grade >= 1").select("query_id", "doc_id", F.lit(1).alias("g"))
     judged = hits.join(good, ["query_id", "doc_id"], "left").select("query_id", "rank", F.coalesce("g", F.lit(0)).alias("good"))
-    cut = cuts.named(hits, cuts.BREAKS).groupBy("rule", "query_id").agg(F.max("rank").alias("cut"))
-    above = F.col("rank") <= F.col("cut")
-    rows = cut.join(judged, "query_id").groupBy("rule", "query_id").agg(
-        F.count(F.when(above, 1)).alias("size"),
-        (F.sum(F.when(above, F.col("good"))) / F.count(F.when(above, 1))).alias("above"),
-        (F.coalesce(F.sum(F.when(~above, F.col("good"))), F.lit(0)) / F.greatest(F.sum("good"), F.lit(1))).alias("missed"),
-    )
-    return rows.groupBy("rule").agg(*(F.round(F.avg(c), 6).alias(c) for c in ("size", "above", "missed")))
+    return metrics.break_quality(cuts.named(hits, cuts.BREAKS), judged)
 
 
 @query("E12_rank_bands", "lanes grades", "SELECT lane, ceil(rank / 5)::BIGINT AS band, round(avg((g.doc_id IS NOT NULL)::INT), 6) AS judged FROM lanes l LEFT JOIN grades g ON g.query_id = l.query_id AND g.doc_id = l.doc_id GROUP BY 1, 2")
@@ -461,9 +527,18 @@ def e20(spark, sf):
     return first.join(again, ["query_id", "doc_id"]).agg(F.count("*").alias("rejudged"), F.round(F.avg((F.col("grade") == F.col("second")).cast("int")), 6).alias("same"))
 
 
-@query("E21_grade_distribution", "grades", "SELECT grade, count(*) AS n, count(DISTINCT query_id) AS queries FROM grades GROUP BY grade")
+@query("E21_grade_distribution", "grades q", """WITH per AS (SELECT query_id, coalesce(k, 0) AS k FROM q LEFT JOIN (SELECT query_id, count(*) AS k FROM grades WHERE grade >= 1 GROUP BY query_id) USING (query_id))
+SELECT grade, count(*) AS n, count(DISTINCT query_id) AS queries, (SELECT min(k) FROM per) AS relevant_min, (SELECT list_sort(list(k))[count(*) // 2 + 1] FROM per) AS relevant_median, (SELECT max(k) FROM per) AS relevant_max, (SELECT count(*) FROM per WHERE k = 0) AS without FROM grades GROUP BY grade""")
 def e21(spark, sf):
-    return grades(spark, sf).groupBy("grade").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries"))
+    """Pairs and queries of each grade, beside the spread of relevant documents over all queries and how many have none."""
+    good = grades(spark, sf).where("grade >= 1").groupBy("query_id").agg(F.count("*").alias("k"))
+    per = queries(spark, sf).select("query_id").join(good, "query_id", "left").fillna(0, ["k"])
+    # the upper median by counts of sizes, as many rows as there are sizes
+    sizes = per.groupBy("k").agg(F.count("*").alias("n"))
+    order = Window.orderBy("k")
+    median = sizes.withColumn("upto", F.sum("n").over(order)).crossJoin(per.agg(F.count("*").alias("total"))).where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("k").alias("relevant_median"))
+    spread = sizes.agg(F.min("k").alias("relevant_min"), F.max("k").alias("relevant_max"), F.coalesce(F.max(F.when(F.col("k") == 0, F.col("n"))), F.lit(0)).alias("without")).crossJoin(median)
+    return grades(spark, sf).groupBy("grade").agg(F.count("*").alias("n"), F.countDistinct("query_id").alias("queries")).crossJoin(spread)
 
 
 SCALED = "SELECT lane, query_id, doc_id, rank, score, CASE WHEN max(score) OVER w - min(score) OVER w > 1e-9 THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS mm, CASE WHEN stddev_pop(score) OVER w > 1e-9 THEN (score - avg(score) OVER w) / stddev_pop(score) OVER w ELSE 0 END AS z FROM lanes WINDOW w AS (PARTITION BY lane, query_id)"
@@ -506,7 +581,7 @@ GRID = f"""grid AS (SELECT w, query_id, coalesce(1.0 / min(rank) FILTER (WHERE r
  (SELECT query_id, doc_id, coalesce(max(mm) FILTER (WHERE lane = 'bm25'), 0) AS a, coalesce(max(mm) FILTER (WHERE lane = 'tf'), 0) AS b FROM ({SCALED}) GROUP BY query_id, doc_id)) LEFT JOIN rel r USING (query_id, doc_id) GROUP BY w, query_id)"""
 
 
-@query("E26_loo_cv", "lanes rel", f"""WITH {GRID} SELECT query_id, w, round(value, 6) AS held FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rest DESC, w) AS n FROM (
+@query("E26_loo_cv", "lanes rel", f"""WITH {GRID}, whole AS (SELECT w, round(avg(value), 9) AS mean FROM grid GROUP BY w) SELECT query_id, w, round(value, 6) AS held, (SELECT w FROM whole ORDER BY mean DESC, w LIMIT 1) AS best_w, (SELECT round(max(mean), 6) FROM whole) AS best_mean FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rest DESC, w) AS n FROM (
  SELECT *, round((sum(value) OVER (PARTITION BY w) - value) / (count(*) OVER (PARTITION BY w) - 1), 9) AS rest FROM grid)) WHERE n = 1""")
 def e26(spark, sf):
     weights = F.broadcast(spark.createDataFrame([(w,) for w in WEIGHTS], "w double"))
@@ -514,26 +589,43 @@ def e26(spark, sf):
     order = R.ranked(rows, keys=("w", "query_id"))
     rel = relevant(spark, sf).withColumn("r", F.lit(1))
     grid = order.join(rel, ["query_id", "doc_id"], "left").groupBy("w", "query_id").agg(F.coalesce(1.0 / F.min(F.when((F.col("r") == 1) & (F.col("rank") <= 10), F.col("rank"))), F.lit(0.0)).alias("value"))
-    return metrics.leave_one_out(grid).select("query_id", "w", six("held"))
+    means = grid.groupBy("w").agg(F.round(F.avg("value"), 9).alias("mean"))
+    best = means.agg(F.max(F.struct("mean", (-F.col("w")).alias("less"))).alias("top")).select((-F.col("top.less") + 0.0).alias("best_w"), F.round("top.mean", 6).alias("best_mean"))
+    return metrics.leave_one_out(grid).select("query_id", "w", six("held")).crossJoin(best)
 
 
-@query("E27_max_of_two", "lanes", f"SELECT query_id, doc_id, round(greatest(coalesce(max(mm) FILTER (WHERE lane = 'bm25'), 0), coalesce(max(mm) FILTER (WHERE lane = 'tf'), 0)), 6) AS score FROM ({SCALED}) GROUP BY query_id, doc_id")
+@query("E27_ensembles", "lanes", f"""SELECT query_id, doc_id, round(greatest(coalesce(max(mm) FILTER (WHERE lane = 'bm25'), 0), coalesce(max(mm) FILTER (WHERE lane = 'tf'), 0)), 6) AS highest,
+ round((coalesce(max(z) FILTER (WHERE lane = 'bm25'), 0) + coalesce(max(z) FILTER (WHERE lane = 'tf'), 0)) / 2, 6) AS z_blend, round(sum(1.0 / (60 + rank)), 6) AS fused FROM ({SCALED}) GROUP BY query_id, doc_id""")
 def e27(spark, sf):
-    return signals(spark, sf).select("query_id", "doc_id", F.round(F.greatest("a", "b"), 6).alias("score"))
+    """Signals put together: the larger of two, the mean of two in deviations, the sum of reciprocal ranks of all three."""
+    rows = lanes(spark, sf).withColumn("mm", metrics.min_max(F.col("score"), BY_LANE)).withColumn("z", metrics.z_score(F.col("score"), BY_LANE))
+    of = lambda name, column: F.coalesce(F.max(F.when(F.col("lane") == name, F.col(column))), F.lit(0.0))
+    return rows.groupBy("query_id", "doc_id").agg(
+        F.round(F.greatest(of("bm25", "mm"), of("tf", "mm")), 6).alias("highest"),
+        F.round((of("bm25", "z") + of("tf", "z")) / 2, 6).alias("z_blend"),
+        F.round(F.sum(1.0 / (R.RRF_K + F.col("rank"))), 6).alias("fused"),
+    )
 
 
-@query("E28_headroom", "mq", "SELECT lane, round(n, 6) AS ndcg_10, round((n - b) / nullif(c - b, 0), 6) AS share FROM (SELECT lane, avg(ndcg_10) AS n FROM mq GROUP BY lane), (SELECT avg(ndcg_10) FILTER (WHERE lane = 'tf') AS b, sum((lane = 'bm25' AND n_rel IS NOT NULL)::INT) / sum((lane = 'bm25')::INT) AS c FROM mq)")
+@query("E28_headroom", "mq", f"""WITH base AS (SELECT query_id, ndcg_10 AS was FROM mq WHERE lane = 'tf'), moved AS (SELECT lane, query_id, round(ndcg_10 - was, 9) AS d FROM mq JOIN base USING (query_id)),
+sides AS (SELECT lane, count(*) FILTER (WHERE d > 0) AS gains, count(*) FILTER (WHERE d < 0) AS losses, coalesce(array_to_string(list_slice(list(query_id ORDER BY d DESC, query_id DESC) FILTER (WHERE d > 0), 1, 8), ','), '') AS gained FROM moved GROUP BY lane),
+arms AS (SELECT lane, avg(ndcg_10) AS v, coalesce(avg(ndcg_10) FILTER (WHERE {CONTROL}), 0) AS controls FROM mq GROUP BY lane), ends AS (SELECT avg(ndcg_10) FILTER (WHERE lane = 'tf') AS b, sum((lane = 'bm25' AND n_rel IS NOT NULL)::INT) / sum((lane = 'bm25')::INT) AS c FROM mq),
+marked AS (SELECT *, controls >= 0.999 AND lane <> 'tf' AS eligible FROM arms JOIN sides USING (lane), ends)
+SELECT lane, round(v, 6) AS ndcg_10, round(CASE WHEN c > b THEN (v - b) / (c - b) ELSE 0 END, 6) AS share, round(controls, 6) AS controls, eligible, coalesce(eligible AND v = (SELECT max(v) FROM marked WHERE eligible), false) AS best, gains, losses, gained FROM marked""")
 def e28(spark, sf):
-    per = measured(spark, sf)
-    rel = relevant(spark, sf).select("query_id").distinct().agg(F.count("*").alias("k")).crossJoin(queries(spark, sf).agg(F.countDistinct("query_id").alias("n"))).select((F.col("k") / F.col("n")).alias("c"))
-    arms = per.groupBy("lane").agg(F.avg("ndcg_10").alias("v"))
-    base = arms.where("lane = 'tf'").select(F.col("v").alias("b")).crossJoin(rel)
-    return arms.crossJoin(F.broadcast(base)).select("lane", F.round("v", 6).alias("ndcg_10"), F.round((F.col("v") - F.col("b")) / F.nullif(F.col("c") - F.col("b"), F.lit(0.0)), 6).alias("share"))
+    able = relevant(spark, sf).select("query_id").distinct().agg(F.count("*").alias("k")).crossJoin(queries(spark, sf).agg(F.countDistinct("query_id").alias("n"))).select((F.col("k") / F.col("n")).alias("c"))
+    return metrics.headroom(measured(spark, sf), controls(spark, sf).where("control"), able, "tf")
 
 
-@query("E29_name_lookups", "", f"WITH {CAT} SELECT reason_order::BIGINT AS reason_order, count(*) AS named, count(*) FILTER (WHERE query_id = doc_id) AS own FROM exact WHERE reason_order IS NOT NULL GROUP BY reason_order")
+@query("E29_name_lookups", "", f"""WITH {R9} SELECT lane, count(*) AS named, count(*) FILTER (WHERE best = 1) AS at_first, count(*) FILTER (WHERE best <= 5) AS in_five FROM (
+ SELECT 'plain' AS lane, a.query_id, min(rank) AS best FROM asked a LEFT JOIN hits h ON h.query_id = a.query_id AND h.doc_id = a.query_id GROUP BY a.query_id
+ UNION ALL SELECT 'promoted', a.query_id, min(rank) FROM asked a LEFT JOIN promoted p ON p.query_id = a.query_id AND p.doc_id = a.query_id GROUP BY a.query_id) GROUP BY lane""")
 def e29(spark, sf):
-    return R.exact_matches(*named(spark, sf)).groupBy(F.col("reason_order").cast("long").alias("reason_order")).agg(F.count("*").alias("named"), F.count(F.when(F.col("query_id") == F.col("doc_id"), 1)).alias("own"))
+    """Lookups made from records: how often the record itself comes first or among five, without and with promotion."""
+    asked, catalogue = named(spark, sf)
+    plain = near_hits(asked)
+    both = plain.select(F.lit("plain").alias("lane"), "query_id", "doc_id", "rank").unionAll(R.promote(plain, R.exact_matches(asked, catalogue)).select(F.lit("promoted").alias("lane"), "query_id", "doc_id", "rank"))
+    return metrics.hit_rates(asked.select("query_id", F.col("query_id").alias("doc_id")), both)
 
 
 # pools
@@ -594,10 +686,12 @@ def p11(spark, sf):
     return pooling.recall_with(queries(spark, sf), every, relevant(spark, sf), unjudged(spark, sf, every), keys=("lane",))
 
 
-@query("P12_montecarlo", "lanes grades rel q", f"""WITH {EXTRA}, runs AS (SELECT t AS trial, r::DOUBLE AS rate FROM range(20) x(t), (SELECT unnest([0.0, 0.25, 1.0]) AS r)),
-r3 AS (SELECT trial, rate, query_id, doc_id FROM rel, runs UNION SELECT trial, rate, query_id, doc_id FROM extra, runs WHERE {UNIFORM.format("concat(trial, '|', query_id, '|', doc_id)")} < rate)
-SELECT lane, rate, round(avg(coalesce(s, 0) / nq), 6) AS recall FROM (SELECT DISTINCT lane FROM lanes) CROSS JOIN runs LEFT JOIN (SELECT lane, trial, rate, sum(h / n) AS s FROM (
- SELECT lane, trial, rate, query_id, count(*) AS h FROM lanes JOIN r3 USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL) JOIN (SELECT trial, rate, query_id, count(*) AS n FROM r3 GROUP BY ALL) USING (trial, rate, query_id) GROUP BY ALL) USING (lane, trial, rate) CROSS JOIN (SELECT count(*) AS nq FROM q) GROUP BY lane, rate""")
+@query("P12_montecarlo", "lanes grades rel q", f"""WITH {EXTRA}, runs AS (SELECT t AS trial, r::DOUBLE AS rate FROM range(200) x(t), (SELECT unnest([0.0, 0.25, 1.0]) AS r) WHERE t = 0 OR r NOT IN (0, 1)),
+r3 AS (SELECT trial, rate, query_id, doc_id FROM rel, runs UNION SELECT trial, rate, query_id, doc_id FROM extra, runs WHERE {UNIFORM.format("concat(trial, '|', query_id, '|', doc_id)")} < rate),
+got AS (SELECT lane, trial, rate, coalesce(s, 0) / nq AS recall FROM (SELECT DISTINCT lane FROM lanes) CROSS JOIN runs LEFT JOIN (SELECT lane, trial, rate, sum(h / n) AS s FROM (
+ SELECT lane, trial, rate, query_id, count(*) AS h FROM lanes JOIN r3 USING (query_id, doc_id) WHERE rank <= 10 GROUP BY ALL) JOIN (SELECT trial, rate, query_id, count(*) AS n FROM r3 GROUP BY ALL) USING (trial, rate, query_id) GROUP BY ALL) USING (lane, trial, rate) CROSS JOIN (SELECT count(*) AS nq FROM q)),
+beaten AS (SELECT trial, rate, max(round(recall, 9)) FILTER (WHERE lane <> 'bm25') > max(round(recall, 9)) FILTER (WHERE lane = 'bm25') AS beaten FROM got GROUP BY trial, rate)
+SELECT lane, rate, round(avg(recall), 6) AS recall, count(*) FILTER (WHERE beaten) AS beat FROM got JOIN beaten USING (trial, rate) GROUP BY lane, rate""")
 def p12(spark, sf):
     every = lanes(spark, sf)
-    return pooling.monte_carlo(queries(spark, sf), every, relevant(spark, sf), unjudged(spark, sf, every), [0.0, 0.25, 1.0], 20)
+    return pooling.monte_carlo(queries(spark, sf), every, relevant(spark, sf), unjudged(spark, sf, every), [0.0, 0.25, 1.0], 200, first="bm25")

@@ -8,8 +8,10 @@ from plumbline.functions import text as T
 from plumbline.functions import vectors as V
 from plumbline.operators import chunking, enrichment, index
 from plumbline.operators.matching import containing
-from plumbline.plans.base import docs, queries, query, quoted, records, tok
+from plumbline.plans.base import SQL, docs, queries, query, quoted, records, relevant, tok, with_
 from plumbline.session import table
+from plumbline.sources import files
+from plumbline.tables import scratch
 
 ESTIMATE = r"CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS BIGINT)"
 HASH = "substr(sha256(concat(title, chr(10), chr(10), text)), 1, 16)"
@@ -47,18 +49,55 @@ def t5(spark, sf):
     return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
+SIZE = r"CAST(floor(len(list_filter(regexp_split_to_array({}, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE) AS BIGINT)"
+STRIPPED = r"list_filter(list_transform({}, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+TOTAL = "list_transform(range(0, len(w) + 1), lambda i: coalesce(list_sum(list_slice(w, 1, i)), 0)::BIGINT)"
+
+
+def chunked(text: str, target: int, overlap: int) -> str:
+    """SQL of the relation ``ch``: chunks as ranges (a, b] of a document's units, the next one of each by recursion."""
+    reach = lambda at: f"(len(list_filter(total, lambda x: x <= total[{at} + 1] + {target})) - 1)"
+    back = f"len(list_filter(total, lambda x: x < total[b + 1] - {overlap}))"
+    sentences = STRIPPED.format("string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))")
+    next_start = f"greatest(a + 1, least({back}, b - 1))" if overlap else "b"
+    return f"""RECURSIVE paras AS (SELECT doc_id, i, p[i] AS x FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {STRIPPED.format(f"regexp_split_to_array({text}, '\\n\\s*\\n')")} AS p FROM d))),
+big AS (SELECT doc_id, i, s, {TOTAL} AS total FROM (SELECT doc_id, i, s, list_transform(s, lambda y: {SIZE.format('y')}) AS w FROM (SELECT doc_id, i, {sentences} AS s FROM paras WHERE {SIZE.format('x')} > {target}))),
+sp AS (SELECT doc_id, i, s, total, 0::BIGINT AS a, greatest(1, {reach('0')}) AS b FROM big WHERE len(s) > 0 UNION ALL SELECT doc_id, i, s, total, b, greatest(b + 1, {reach('b')}) FROM sp WHERE b < len(s)),
+us AS (SELECT doc_id, i, 0 AS j, x FROM paras WHERE {SIZE.format('x')} <= {target} UNION ALL SELECT doc_id, i, a, array_to_string(list_slice(s, a + 1, b), ' ') FROM sp),
+docs_units AS (SELECT doc_id, u, {TOTAL} AS total FROM (SELECT doc_id, u, list_transform(u, lambda y: {SIZE.format('y')}) AS w FROM (SELECT doc_id, list(x ORDER BY i, j) AS u FROM us GROUP BY doc_id))),
+ch AS (SELECT doc_id, u, total, 0::BIGINT AS n, 0::BIGINT AS a, greatest(1, {reach('0')}) AS b FROM docs_units
+ UNION ALL SELECT doc_id, u, total, n + 1, a2, greatest(b + 1, {reach('a2')}) FROM (SELECT *, {next_start} AS a2 FROM ch WHERE b < len(u)))"""
+
+
+def recursive(select: str, text: str, target: int, overlap: int) -> str:
+    """``select`` over ``ch``; the word RECURSIVE stands before all relations."""
+    return with_(["d"], f"WITH {chunked(text, target, overlap).removeprefix('RECURSIVE ')} {select}").replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+
+
 @query("T8_chunk")
 def t8(spark, sf):
     chunks = chunking.chunk(docs(spark, sf))
     return chunks.select("chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "content_hash", T.estimate_tokens(F.col("text")).alias("estimate"))
 
 
+SQL["T8_chunk"] = recursive(
+    f"SELECT concat(doc_id, ':', n) AS chunk_id, doc_id, n AS ordinal, substr(sha256(concat(title, chr(10), chr(10), t)), 1, 16) AS content_hash, {SIZE.format('t')} AS estimate FROM (SELECT doc_id, n, array_to_string(list_slice(u, a + 1, b), chr(10) || chr(10)) AS t FROM ch) JOIN d USING (doc_id)",
+    "text", 450, 60,
+)
+
+
 @query("T8_chunk_paragraphs")
 def t8p(spark, sf):
     chunks = chunking.chunk(docs(spark, sf).withColumn("text", F.regexp_replace("text", "\n", "\n\n")), 200, 60)
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(T.estimate_tokens(F.col("text"))).alias("estimate"))
 
 
+SQL["T8_chunk_paragraphs"] = recursive(
+    f"SELECT doc_id, count(*) AS chunks, sum({SIZE.format('t')})::BIGINT AS estimate FROM (SELECT doc_id, array_to_string(list_slice(u, a + 1, b), chr(10) || chr(10)) AS t FROM ch) GROUP BY doc_id",
+    "replace(text, chr(10), chr(10) || chr(10))", 200, 60,
+)
+
+
 INDEXED = f"(SELECT DISTINCT {HASH} AS content_hash FROM d WHERE n_chars % 2 = 0)"
 
 
@@ -211,7 +250,51 @@ def j5(spark, sf):
 
 @query("S2_duplicate_keys", "", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1")
 def s2(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1")
+    return index.duplicates(table(spark, sf, "events"), "user_id")
+
+
+@query("S7_enrichment_store", "d", "SELECT doc_id AS item_id, CASE WHEN n_chars % 3 = 0 THEN 'NEW' WHEN n_chars % 5 = 0 THEN concat('NEWER ', repeat('x', 400)) ELSE 'OLD, and longer than what comes after it' END AS synopsis FROM d WHERE n_chars % 2 = 0")
+def s7(spark, sf):
+    """Three writes to a store; the last one of each key counts, however long the lines of any write are."""
+    made = enrichment.fake(docs(spark, sf).where("n_chars % 2 = 0").select(F.col("doc_id").alias("item_id"), "title", F.col("lang").alias("record"), "n_chars"), "v1", "rules")
+    kept = made.join(docs(spark, sf).select(F.col("doc_id").alias("item_id"), "n_chars"), "item_id")
+    path = scratch(spark, "enrichment-store")
+    for rows, synopsis in ((kept, F.lit("OLD, and longer than what comes after it")), (kept.where("n_chars % 5 = 0"), F.concat(F.lit("NEWER "), F.repeat(F.lit("x"), F.lit(400)))), (kept.where("n_chars % 3 = 0"), F.lit("NEW"))):
+        files.append_enrichments(rows.withColumn("synopsis", synopsis).drop("n_chars"), path)
+    return enrichment.latest(files.enrichments(spark, path)).select("item_id", "synopsis")
+
+
+@query("S1_corpus_scan", "d", "SELECT doc_id, title, length(text)::BIGINT AS n, lang AS tag FROM d")
+def s1(spark, sf):
+    """The documents as two corpus files, an object a line, read back with the checks of a corpus."""
+    rows = docs(spark, sf).select("doc_id", "title", "text", F.array("lang").alias("tags"), "n_chars")
+    paths = []
+    for part in (0, 1):
+        paths.append(scratch(spark, f"corpus-{part}"))
+        rows.where(F.col("n_chars") % 2 == part).drop("n_chars").write.json(paths[-1])
+    return files.corpus(spark, paths).select("doc_id", "title", F.length("text").cast("long").alias("n"), F.get("tags", 0).alias("tag"))
+
+
+@query("S5_eval_set", "q rel", "SELECT query_id AS note, query, coalesce(len(ids), 0)::BIGINT AS n, coalesce(array_to_string(ids, ','), '') AS relevant FROM q LEFT JOIN (SELECT query_id, list(doc_id ORDER BY doc_id) AS ids FROM rel GROUP BY query_id) USING (query_id)")
+def s5(spark, sf):
+    """An evaluation set written with its provenance and read back."""
+    lists = relevant(spark, sf).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("relevant_doc_ids"))
+    judged = queries(spark, sf).join(lists, "query_id", "left").withColumn("grades", F.map_from_arrays("relevant_doc_ids", F.transform("relevant_doc_ids", lambda _: F.lit(2))))
+    path = scratch(spark, "eval-set")
+    files.write_queries(judged.withColumnRenamed("query_id", "note"), path, {"judge": "contained passages"})
+    back = files.queries(spark, path)
+    return back.select("note", "query", F.coalesce(F.size("relevant_doc_ids"), F.lit(0)).cast("long").alias("n"), F.coalesce(F.array_join("relevant_doc_ids", ","), F.lit("")).alias("relevant"))
+
+
+@query("S10_index_folder", "d", "SELECT doc_id, n_chars + CASE WHEN n_chars % 5 = 0 THEN 2 WHEN n_chars % 2 = 0 THEN 1 ELSE 0 END AS n_chars, CASE WHEN n_chars % 5 = 0 THEN 'newest' WHEN n_chars % 2 = 0 THEN 'new' ELSE 'old' END AS version FROM d WHERE n_chars % 5 = 0 OR n_chars % 2 = 0 OR n_chars % 3 <> 0")
+def s10(spark, sf):
+    """An index folder saved, merged twice and loaded: the last row of each key."""
+    base = docs(spark, sf).select("doc_id", "n_chars")
+    root = scratch(spark, "index")
+    index.save(base.where("n_chars % 3 <> 0").withColumn("version", F.lit("old")), root, "doc_id", 4)
+    for condition, more, version in (("n_chars % 2 = 0", 1, "new"), ("n_chars % 5 = 0", 2, "newest")):
+        index.merge(base.where(condition).select("doc_id", (F.col("n_chars") + more).alias("n_chars"), F.lit(version).alias("version")), root, "doc_id")
+    return index.load(spark, root)
 
 
 @query("S3_last_wins", "", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
@@ -229,34 +312,30 @@ def s19(spark, sf):
     return index.stats(rows)
 
 
-@query("A9_integrity", "d", r"""SELECT count(*) AS records, count(*) FILTER (WHERE text = '') AS empty_text, count(*) FILTER (WHERE title = '') AS empty_title, count(*) - count(DISTINCT doc_id) AS duplicate_ids, min(w) AS words_min,
- list_sort(list(w))[count(*) // 2 + 1] AS words_median, max(w) AS words_max, count(*) FILTER (WHERE source IS NULL) AS missing_author FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS w FROM d)""")
+@query("A9_integrity", "rec", r"""SELECT count(*) AS records, count(*) FILTER (WHERE trim(coalesce(title, '')) = '') AS empty_title, count(*) FILTER (WHERE len(list_filter([language, format], lambda x: x IS NOT NULL AND x <> '')) = 0) AS no_subjects, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS empty_text,
+ (SELECT count(*) FROM (SELECT doc_id FROM rec GROUP BY doc_id HAVING count(*) > 1)) AS duplicate_ids, min(w) AS words_min, list_sort(list(w))[count(*) // 2 + 1] AS words_median, max(w) AS words_max, count(*) FILTER (WHERE coalesce(author, '') = '') AS missing_author, count(*) FILTER (WHERE fiction) AS fiction, count(*) FILTER (WHERE NOT fiction) AS non_fiction
+FROM (SELECT *, (len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) + len(list_filter(regexp_split_to_array(coalesce(title, ''), '\s+'), lambda x: x <> '')))::BIGINT AS w FROM rec)""")
 def a9(spark, sf):
-    from pyspark.sql import Window
+    from plumbline.operators.catalogue import integrity
+
+    return integrity(records(spark, sf).withColumn("subjects", F.filter(F.array("language", "format"), lambda x: x.isNotNull() & (x != ""))))
+
+
+STEMMED = "array_to_string(list_transform(regexp_extract_all(lower(concat(title, ' ', author, ' ', language)), '[a-z'']+'), lambda w: " + STEM + "), ' ')"
+
 
-    rows = docs(spark, sf).withColumn("w", F.size(T.whitespace_words(F.col("text"))).cast("long"))
-    # the upper median by counts of sizes: as many rows as there are sizes, not documents
-    sizes = rows.groupBy("w").agg(F.count("*").alias("k"))
-    total = rows.agg(F.count("*").alias("total"))
-    upto = sizes.withColumn("upto", F.sum("k").over(Window.orderBy("w"))).crossJoin(F.broadcast(total))
-    median = upto.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("w").alias("words_median"))
-    counts = rows.agg(
-        F.count("*").alias("records"),
-        F.count(F.when(F.col("text") == "", 1)).alias("empty_text"),
-        F.count(F.when(F.col("title") == "", 1)).alias("empty_title"),
-        (F.count("*") - F.countDistinct("doc_id")).alias("duplicate_ids"),
-        F.min("w").alias("words_min"),
-        F.max("w").alias("words_max"),
-        F.count(F.when(F.col("source").isNull(), 1)).alias("missing_author"),
-    )
-    return counts.crossJoin(median)
-
-
-@query("A10_term_coverage", "q d", f"SELECT stem, count(*) AS docs, count(*) < 10 AS gap FROM (SELECT DISTINCT {STEM} AS stem FROM (SELECT unnest({CHECK}) AS w FROM q)) s JOIN d ON contains(lower(d.text), s.stem) GROUP BY stem")
+@query("A10_term_coverage", "q rec", f"""WITH asked AS (SELECT query_id, {STEM} AS stem FROM (SELECT query_id, unnest(list_distinct({CHECK})) AS w FROM q)),
+counts AS (SELECT stem, count(*) AS n FROM (SELECT DISTINCT stem FROM asked) s JOIN (SELECT {STEMMED} AS h FROM rec) ON contains(h, stem) GROUP BY stem)
+SELECT query_id, count(*) AS terms, coalesce(max(n), 0) AS most, coalesce(max(n), 0) < 10 AS gap FROM asked LEFT JOIN counts USING (stem) GROUP BY query_id""")
 def a10(spark, sf):
-    stems = queries(spark, sf).select(F.explode(T.check_terms(F.col("query"))).alias("w")).select(T.stem(F.col("w")).alias("stem")).distinct()
-    found = containing(docs(spark, sf).select("doc_id", F.lower("text").alias("text")), stems.select(F.col("stem").alias("key"), F.col("stem").alias("needle"))).withColumnRenamed("key", "stem")
-    return found.groupBy("stem").agg(F.count("*").alias("docs")).withColumn("gap", F.col("docs") < 10)
+    """For each query with terms: how many, and how many records hold the one that most records hold, by stems."""
+    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", "title", "author", "language")), F.lit("([a-z']+)"), F.lit(1))
+    stemmed = records(spark, sf).select("doc_id", F.array_join(F.transform(words, T.stem), " ").alias("text"))
+    asked = queries(spark, sf).select("query_id", F.explode(F.array_distinct(T.check_terms(F.col("query")))).alias("w")).select("query_id", T.stem(F.col("w")).alias("stem"))
+    stems = asked.select(F.col("stem").alias("key"), F.col("stem").alias("needle")).distinct()
+    counts = containing(stemmed, stems).groupBy(F.col("key").alias("stem")).agg(F.count("*").alias("n"))
+    most = F.coalesce(F.max("n"), F.lit(0))
+    return asked.join(counts, "stem", "left").groupBy("query_id").agg(F.count("*").alias("terms"), most.alias("most"), (most < 10).alias("gap"))
 
 
 @query("A14_absent_probe", "d q", "SELECT query_id, count(doc_id) AS docs FROM q LEFT JOIN d ON contains(lower(d.text), lower(q.query)) GROUP BY query_id HAVING count(doc_id) <= 1")

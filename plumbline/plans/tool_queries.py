@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.functions import vectors as V
-from plumbline.operators import cuts, enrichment, metrics, pooling
+from plumbline.operators import cuts, enrichment, metrics, pooling, providers
 from plumbline.operators import ranking as R
 from plumbline.plans import service
-from plumbline.plans.base import bm25, docs, grades, lanes, queries, query, records, relevant
-from plumbline.plans.rank_queries import measured
+from plumbline.plans.base import bm25, docs, grades, lanes, queries, query, records, relevant, tok
+from plumbline.plans.rank_queries import CONTROL, controls, measured
 from plumbline.plans.text_queries import HEAD, store
 from plumbline.session import table
+from plumbline.sources import files
+from plumbline.tables import scratch
 
 
 @query("S4_catalogue_meta", "", "SELECT array_to_string(list(p ORDER BY f, i), ',') AS presets, (SELECT string_agg(r_name, ' ' ORDER BY r_regionkey) FROM region) AS description FROM (SELECT p, min(f) AS f, min_by(i, f * 1000 + i) AS i FROM (SELECT r_regionkey AS f, i, ([lower(r_name), 'common', concat('x', r_regionkey % 2)])[i] AS p FROM region, range(1, 4) x(i)) GROUP BY p)")
@@ -34,14 +36,20 @@ def s16(spark, sf):
 
 @query("S6_ranking_rows", "lanes", "SELECT lane, query_id, doc_id, rank FROM lanes")
 def s6(spark, sf):
-    lists = lanes(spark, sf).groupBy("lane", "query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-    return lists.select("lane", "query_id", F.posexplode("ids").alias("pos", "doc_id")).select("lane", "query_id", "doc_id", (F.col("pos") + 1).cast("long").alias("rank"))
+    """Rankings written to files and read back."""
+    found = []
+    for lane in ("bm25", "tf", "title"):
+        path = scratch(spark, f"ranking-{lane}")
+        files.write_rankings(lanes(spark, sf).where(F.col("lane") == lane).withColumnRenamed("query_id", "query"), path)
+        found.append(files.rankings(spark, path, lane).withColumnRenamed("query", "query_id"))
+    return found[0].unionAll(found[1]).unionAll(found[2]).select("lane", "query_id", "doc_id", "rank")
 
 
-@query("T12_batch_embed", "d", "SELECT doc_id, 16::BIGINT AS dims, round((CAST(concat('0x', substr(sha256(concat(title, chr(10), chr(10), text)), 1, 2)) AS INT) - 128)::DOUBLE, 6) AS first_raw FROM d")
+@query("T12_batch_embed", "d", "SELECT doc_id, 'hash@16' AS model_id, len(b)::BIGINT AS dims, len(list_filter(b, lambda x: x > 0))::BIGINT AS above, list_position(b, list_max(b))::BIGINT AS largest, round(list_sum(list_transform(b, lambda x: x * x)) / list_sum(list_transform(b, lambda x: x * x)), 4) AS size FROM (SELECT doc_id, list_transform(range(0, 16), lambda i: (CAST(concat('0x', substr(sha256(concat(title, chr(10), chr(10), text)), CAST(2 * i + 1 AS INT), 2)) AS INT) - 128)::DOUBLE) AS b FROM d)")
 def t12(spark, sf):
-    whole = docs(spark, sf).select("doc_id", F.concat_ws("\n\n", "title", "text").alias("t"))
-    return whole.select("doc_id", F.size(V.hash_embedding(F.col("t"))).cast("long").alias("dims"), (T.digest_byte(F.col("t"), 0) - 128).cast("double").alias("first_raw"))
+    whole = docs(spark, sf).select("doc_id", F.concat_ws("\n\n", "title", "text").alias("embed_text"))
+    e = providers.embed(whole, providers.PROVIDERS["hash"])
+    return e.select("doc_id", "model_id", F.col("dims").cast("long").alias("dims"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("above"), F.array_position("embedding", F.array_max("embedding")).cast("long").alias("largest"), F.round(V.norm(F.col("embedding")), 4).alias("size"))
 
 
 @query("T29_record_views", "rec", "SELECT doc_id, title AS thin, CASE WHEN fiction THEN concat(title, chr(10), author) ELSE title END AS enriched, CASE WHEN fiction THEN concat('What is ', title, '?') ELSE title END AS asked FROM rec")
@@ -51,7 +59,21 @@ def t29(spark, sf):
     return joined.select("doc_id", F.col("title").alias("thin"), F.coalesce("e", "title").alias("enriched"), F.coalesce("a", "title").alias("asked"))
 
 
-@query("U2_catalogue_search")
+CATALOGUE = f"""WITH hits AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 200),
+series AS (SELECT h.*, count(*) OVER (PARTITION BY query_id, coalesce(series_id, doc_id)) AS repeats, row_number() OVER (PARTITION BY query_id, coalesce(series_id, doc_id) ORDER BY rank) AS n FROM hits h JOIN rec USING (doc_id)),
+collapsed AS (SELECT query_id, doc_id, score, repeats, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM series WHERE n = 1),
+ct AS (SELECT doc_id, array_to_string({tok('title')}, ' ') AS t, array_to_string({tok('author')}, ' ') AS a FROM rec), askt AS (SELECT query_id, {tok('query')} AS qt FROM q),
+exact AS (SELECT query_id, doc_id, CASE WHEN t <> '' AND t = array_to_string(qt, ' ') THEN 1 WHEN a <> '' AND contains(concat(' ', array_to_string(qt, ' '), ' '), concat(' ', a, ' ')) THEN 2
+ WHEN t <> '' AND len(qt) >= 3 AND len(list_filter(range(1, len(qt) - 1), lambda i: contains(t, array_to_string(list_slice(qt, i, i + 2), ' ')))) > 0 THEN 3 END AS reason_order FROM askt, ct WHERE len(qt) > 0),
+lifted AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reason_order, doc_id) AS lift FROM exact WHERE reason_order IS NOT NULL),
+promoted AS (SELECT query_id, doc_id, coalesce(score, 0) AS score, reason, repeats, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN lift <= 3 THEN lift ELSE 4 END, rank) AS rank FROM (
+ SELECT coalesce(h.query_id, l.query_id) AS query_id, coalesce(h.doc_id, l.doc_id) AS doc_id, score, rank, repeats, lift, (['title', 'author', 'phrase'])[reason_order] AS reason FROM collapsed h FULL JOIN lifted l ON h.query_id = l.query_id AND h.doc_id = l.doc_id) WHERE rank IS NOT NULL OR lift <= 3),
+kept AS (SELECT p.query_id AS query_id, p.doc_id AS doc_id, p.score AS score, p.reason AS reason, p.repeats AS repeats, r.title AS title, r.author AS author, r.text AS text, count(*) OVER (PARTITION BY p.query_id) AS total, row_number() OVER (PARTITION BY p.query_id ORDER BY p.rank) AS rank FROM promoted p JOIN rec r ON r.doc_id = p.doc_id WHERE language IN ('en', 'de', 'fr'))
+SELECT query_id, rank, doc_id, score, reason, repeats, total, array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN list_position(t, t[i]) = i AND NOT list_contains(h, t[i]) THEN t[i] END), lambda x: x IS NOT NULL), ' ') AS missing_terms
+FROM (SELECT *, {tok('query')} AS t, list_concat(list_concat({tok('title')}, {tok('author')}), {tok('text')}) AS h FROM kept JOIN q USING (query_id) WHERE rank <= 10)"""
+
+
+@query("U2_catalogue_search", "bm rec q", CATALOGUE)
 def u2(spark, sf):
     asked, rec = queries(spark, sf), records(spark, sf)
     page = service.catalogue_search(asked, bm25(spark, sf, R.POOL), rec, service.CatalogueRequest(filters={"language": ["en", "de", "fr"]}))
@@ -79,24 +101,31 @@ def a13(spark, sf):
     return tokens.select(F.round(F.col("i") / 1e6 * 2.5 + F.col("n") * 300 / 1e6 * 12.5, 6).alias("cost"))
 
 
-@query("E10_best_strategy", "lanes rel q", """SELECT rule, round(f1, 6) AS f1, n = 1 AS best FROM (SELECT rule, f1, row_number() OVER (ORDER BY round(f1, 9) DESC, rule) AS n FROM (SELECT rule, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM (
- SELECT rule, avg(coalesce(h / k, 0.0)) AS p, avg(coalesce(h / n_rel, 0.0)) AS r FROM (SELECT unnest(['top 10', 'top 15', 'top 20', 'top 5']) AS rule, unnest([10, 15, 20, 5]) AS d) CROSS JOIN q
- LEFT JOIN (SELECT d, query_id, count(*) AS k, count(r.doc_id) AS h FROM lanes JOIN (SELECT unnest([5, 10, 15, 20]) AS d) ON rank <= d LEFT JOIN rel r USING (query_id, doc_id) WHERE lane = 'bm25' GROUP BY d, query_id) USING (d, query_id)
- LEFT JOIN (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id) USING (query_id) GROUP BY rule)))""")
+@query("E10_best_strategy", "lanes rel q", """WITH rules AS (SELECT unnest(['top 5', 'top 10', 'top 15', 'top 20']) AS rule, unnest([5, 10, 15, 20]) AS d),
+f AS (SELECT rule, d, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, median_size, median_size > 15 AS blind FROM (
+ SELECT rule, rules.d AS d, avg(coalesce(h / k, 0.0)) AS p, avg(coalesce(h / n_rel, 0.0)) AS r, median(coalesce(k, 0))::DOUBLE AS median_size FROM rules CROSS JOIN q
+ LEFT JOIN (SELECT d, query_id, count(*) AS k, count(r.doc_id) AS h FROM lanes JOIN (SELECT unnest([5, 10, 15, 20]) AS d) ON rank <= d LEFT JOIN rel r USING (query_id, doc_id) WHERE lane = 'bm25' GROUP BY d, query_id) c ON c.d = rules.d AND c.query_id = q.query_id
+ LEFT JOIN (SELECT query_id, count(*) AS n_rel FROM rel GROUP BY query_id) n ON n.query_id = q.query_id GROUP BY rule, rules.d)),
+best AS (SELECT rule FROM f WHERE NOT blind ORDER BY f1 DESC, d LIMIT 1),
+steps AS (SELECT rule, f1 < lag(f1) OVER (ORDER BY d) AS falls, row_number() OVER (ORDER BY d DESC) AS from_end FROM f WHERE NOT blind)
+SELECT rule, f1, median_size, blind, NOT blind AND rule = (SELECT rule FROM best) AS best, (SELECT NOT coalesce(bool_or(falls), false) FROM steps) AND (SELECT rule FROM steps WHERE from_end = 1) = (SELECT rule FROM best) AS climbing FROM f""")
 def e10(spark, sf):
-    kept = cuts.named(bm25(spark, sf), [rule for rule in cuts.STRATEGIES if rule[0].startswith("top")])
-    quality = metrics.set_quality(queries(spark, sf), kept, relevant(spark, sf), ("rule",))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("f1"), "rule")
-    return quality.select("rule", "f1").withColumn("best", F.row_number().over(order) == 1)
+    rules = [rule for rule in cuts.STRATEGIES if rule[0].startswith("top")]
+    quality = metrics.set_quality(queries(spark, sf), cuts.named(bm25(spark, sf), rules), relevant(spark, sf), ("rule",))
+    order = spark.createDataFrame([(name, place, True) for place, (name, _) in enumerate(rules)], "rule string, place int, fixed boolean")
+    return metrics.assessed(quality, order, 15)
 
 
-@query("E13_arm_measures", "mq lanes grades", """SELECT lane, recall_5, recall_10, mrr_10, ndcg_10, coverage FROM (SELECT lane, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(mrr_10), 6) AS mrr_10, round(avg(ndcg_10), 6) AS ndcg_10, count(*) AS n FROM mq GROUP BY lane)
+@query("E13_arm_measures", "mq lanes grades", f"""SELECT lane, recall_5, recall_10, mrr_10, ndcg_10, coverage, controls FROM (SELECT lane, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(mrr_10), 6) AS mrr_10, round(avg(ndcg_10), 6) AS ndcg_10, round(coalesce(avg(ndcg_10) FILTER (WHERE {CONTROL}), 0), 6) AS controls FROM mq GROUP BY lane)
  JOIN (SELECT lane, round(count(g.doc_id) / 10.0 / (SELECT count(*) FROM benchmark), 6) AS coverage FROM lanes l LEFT JOIN grades g ON g.query_id = l.query_id AND g.doc_id = l.doc_id WHERE rank <= 10 GROUP BY lane) USING (lane)""")
 def e13(spark, sf):
-    means = metrics.means(measured(spark, sf), ("lane",)).drop("queries")
+    """Quality of each arm, the judged share of its first ten places, and its controls; times are bench.py's."""
+    rows = measured(spark, sf)
+    means = metrics.means(rows, ("lane",)).drop("queries")
+    kept = rows.join(controls(spark, sf).where("control"), "query_id", "left").groupBy("lane").agg(F.round(F.coalesce(F.avg(F.when(F.col("control"), F.col("ndcg_10"))), F.lit(0.0)), 6).alias("controls"))
     total = queries(spark, sf).agg(F.count("*").alias("n"))
     judged = lanes(spark, sf).where("rank <= 10").join(grades(spark, sf), ["query_id", "doc_id"], "left").groupBy("lane").agg(F.count("grade").alias("k"))
-    return means.join(judged.crossJoin(F.broadcast(total)).select("lane", F.round(F.col("k") / 10.0 / F.col("n"), 6).alias("coverage")), "lane")
+    return means.join(judged.crossJoin(total).select("lane", F.round(F.col("k") / 10.0 / F.col("n"), 6).alias("coverage")), "lane").join(kept, "lane")
 
 
 @query("E14_reaggregate", "mq", "SELECT round(avg(ndcg_10), 6) AS ndcg_10, round(avg(mrr_10), 6) AS mrr_10, count(*) AS n FROM mq")
@@ -104,9 +133,16 @@ def e14(spark, sf):
     return measured(spark, sf).agg(F.round(F.avg("ndcg_10"), 6).alias("ndcg_10"), F.round(F.avg("mrr_10"), 6).alias("mrr_10"), F.count("*").alias("n"))
 
 
-@query("P4_grade_reuse", "lanes grades", "SELECT lane, count(g.doc_id) AS reused, coalesce(sum(grade), 0)::BIGINT AS total FROM lanes l LEFT JOIN grades g ON g.query_id = l.query_id AND g.doc_id = l.doc_id GROUP BY lane")
+@query("P4_grade_reuse", "lanes grades q", """WITH placed AS (SELECT query_id, row_number() OVER (ORDER BY query_id) - 1 AS pos FROM q),
+whys AS (SELECT query_id, doc_id, concat('judged ', grade) AS why FROM grades JOIN placed USING (query_id) WHERE substr(sha256(concat('q', pos, '--', doc_id)), 1, 1) < '8')
+SELECT p.query_id AS query_id, p.doc_id AS doc_id, grade, CASE WHEN grade IS NOT NULL THEN coalesce(why, '') END AS why FROM (SELECT DISTINCT query_id, doc_id FROM lanes) p LEFT JOIN grades g ON g.query_id = p.query_id AND g.doc_id = p.doc_id LEFT JOIN whys w ON w.query_id = p.query_id AND w.doc_id = p.doc_id""")
 def p4(spark, sf):
-    return pooling.split(lanes(spark, sf), grades(spark, sf)).groupBy("lane").agg(F.count("grade").alias("reused"), F.coalesce(F.sum("grade"), F.lit(0)).alias("total"))
+    """Pairs of the pool with the grades they have; the reason comes from a file keyed by the query's place in its time."""
+    placed = queries(spark, sf).select("query_id").withColumn("pos", F.row_number().over(Window.orderBy("query_id")) - 1)
+    evaluation = grades(spark, sf).join(placed, "query_id")
+    key = F.concat(F.lit("q"), F.col("pos").cast("string"), F.lit("--"), F.col("doc_id"))
+    judgements = evaluation.select(key.alias("key"), F.concat(F.lit("judged "), F.col("grade").cast("string")).alias("why")).where(F.substring(F.sha2(F.col("key").cast("binary"), 256), 1, 1) < "8")
+    return pooling.reused(lanes(spark, sf).select("query_id", "doc_id").distinct(), evaluation, judgements)
 
 
 @query("P10_seeded_sample", "grades", "SELECT query_id, doc_id, grade FROM grades ORDER BY sha256(concat('50|', query_id, '|', doc_id)), query_id, doc_id LIMIT 50")
