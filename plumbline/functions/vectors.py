@@ -35,8 +35,9 @@ def int8(vector: Column) -> Column:
 
 
 def packed_codes(codes: Column) -> Column:
-    """8-bit codes as base64 of their bytes."""
-    return F.base64(F.unhex(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("int").bitwiseAND(F.lit(255))), 2, "0")), "")))
+    """8-bit codes as base64 of their bytes, in one line."""
+    digits = F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("int").bitwiseAND(F.lit(255))), 2, "0")), "")
+    return F.regexp_replace(F.base64(F.unhex(digits)), "[\\r\\n]", "")
 
 
 def unpacked_codes(text: Column) -> Column:

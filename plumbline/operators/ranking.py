@@ -19,6 +19,8 @@ from plumbline.tables import located, written
 K1, B, RRF_K = 1.5, 0.75, 60
 #: Catalogue depths; fixed values.
 POOL, CUT, RERANK_DEPTH, PROMOTED = 200, 20, 20, 3
+#: Stands before words of a title; no token has it.
+MARK = "\t"
 
 
 def ranked(scored: DataFrame, k: int | None = None, keys=("query_id",), order=None) -> DataFrame:
@@ -62,14 +64,18 @@ def indexed(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     title weights, document frequencies and mean lengths follow from it.
     """
     own = docs.select("doc_id", T.tokens(F.col("title")).alias("tt"), T.tokens(F.col("text")).alias("bt"))
-    counted = lambda column, at: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(at == 0).cast("int").alias("t"), F.lit(at == 1).cast("int").alias("b")))
-    whole = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("t"), F.lit(0).alias("b")))
-    sized = own.select("doc_id", F.size("tt").alias("tl"), F.size("bt").alias("bl"), F.concat(whole, counted("tt", 0), counted("bt", 1)).alias("terms"))
-    rows = sized.select("doc_id", "tl", "bl", F.inline_outer("terms")).where("term is not null")
+    # title words carry a mark, so that all words go through one generator as plain strings
+    words = F.concat(F.array(F.lit("")), F.transform("tt", lambda t: F.concat(F.lit(MARK), t)), "bt")
+    sized = own.select("doc_id", F.size("tt").alias("tl"), F.size("bt").alias("bl"), words.alias("words"))
+    rows = sized.select("doc_id", "tl", "bl", F.explode_outer("words").alias("word"))
+    titled = F.startswith("word", F.lit(MARK))
+    rows = rows.select("doc_id", "tl", "bl", F.when(titled, F.substring("word", 2, 1 << 30)).otherwise(F.col("word")).alias("term"), titled.cast("int").alias("t"))
     if terms is not None:
         wanted = terms.select("term").distinct().unionAll(docs.sparkSession.createDataFrame([("",)], "term string"))
         rows = rows.join(wanted, "term", "left_semi")
-    return written(rows.groupBy("doc_id", "tl", "bl", "term").agg(F.sum("t").alias("ttf"), F.sum("b").alias("btf")), "postings")
+    # a document's words are in one task, so that the sums before the shuffle are whole already
+    counted = rows.groupBy("doc_id", "tl", "bl", "term").agg(F.sum("t").alias("ttf"), F.sum(1 - F.col("t")).alias("btf"))
+    return written(counted, "postings")
 
 
 def lane_scores(queries: DataFrame, index: DataFrame, lanes: dict[str, float | None]) -> DataFrame:
@@ -78,7 +84,8 @@ def lane_scores(queries: DataFrame, index: DataFrame, lanes: dict[str, float | N
     tf = index.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     stats = index.where("term = ''").agg(F.sum("tl").alias("tls"), F.sum("bl").alias("bls"), F.count("*").alias("n"))
-    weights = terms.join(df, "term").crossJoin(stats).select("query_id", "term", "times", "tls", "bls", "n", idf(F.col("n"), F.col("df")).alias("idf"))
+    # a table, so that Spark knows how small it is beside the postings
+    weights = written(terms.join(df, "term").crossJoin(stats).select("query_id", "term", "times", "tls", "bls", "n", idf(F.col("n"), F.col("df")).alias("idf")), "query-weights")
 
     def part(weight: float | None) -> Column:
         if weight is None:

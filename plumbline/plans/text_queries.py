@@ -366,3 +366,25 @@ def m6(spark, sf):
 
     c = vectors(spark, sf).select("doc_id", V.int8(F.col("vector")).alias("c"))
     return c.select("doc_id", F.round("c.scale", 9).alias("scale"), F.aggregate("c.codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+@query("F9_display_dates", "", "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%A %-d %B %Y') AS shown, strftime(CAST(o_orderdate AS DATE) + INTERVAL 14 DAY, '%Y-%m-%d') AS due FROM orders")
+def f9(spark, sf):
+    day = F.col("o_orderdate").cast("date")
+    return table(spark, sf, "orders").select("o_orderkey", T.display_date(day).alias("shown"), F.date_format(F.date_add(day, 14), "yyyy-MM-dd").alias("due"))
+
+
+@query("F10_base64_codes", "v", "SELECT doc_id, base64(unhex(array_to_string(list_transform(vector, lambda x: printf('%02x', ((round_even(x::DOUBLE / s * 127, 0)::INT + 256) % 256)::INT)), ''))) AS codes, list_sum(list_transform(vector, lambda x: round_even(x::DOUBLE / s * 127, 0)))::BIGINT AS code_sum FROM (SELECT doc_id, vector, list_max(list_transform(vector, lambda x: abs(x::DOUBLE))) AS s FROM v)")
+def f10(spark, sf):
+    from plumbline.plans.base import vectors
+
+    packed = vectors(spark, sf).select("doc_id", V.packed_codes(V.int8(F.col("vector"))["codes"]).alias("codes"))
+    return packed.select("doc_id", "codes", F.aggregate(V.unpacked_codes(F.col("codes")), F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
+
+
+ESCAPES = "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query("F11_F12_ids_and_escapes", "", r"SELECT page_id, url_encode(lower(regexp_replace(regexp_replace(url, '^\s+|\s+$', '', 'g'), '\s+', '_', 'g'))) AS quoted, md5(ESCAPES) AS escaped FROM pages".replace("ESCAPES", ESCAPES))
+def f11(spark, sf):
+    return table(spark, sf, "pages").select("page_id", T.url_id(F.col("url")).alias("quoted"), F.md5(T.html_escaped(F.col("html")).cast("binary")).alias("escaped"))
