@@ -55,4 +55,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         if last:
             discard(spark, last)
+        # Spark deletes shuffle files and broadcasts of the stage once the driver has collected what refers to them
+        spark.sparkContext._jvm.System.gc()
     return STAGES[-1][1](spark, docs, sf_dir)
