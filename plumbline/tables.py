@@ -8,8 +8,8 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that ``written`` has made and nobody has dropped.
-_TABLES: set[str] = set()
+#: Paths that ``scratch`` has given out and nobody has deleted.
+_PATHS: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,7 +35,9 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    _PATHS.add(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,25 +47,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch = path
-    _TABLES.add(path)
     return table
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that ``written`` has made and nothing reads any more."""
     for table in tables:
-        _TABLES.discard(table._scratch)
         discard(table.sparkSession, table._scratch)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that this process has written and not dropped, once all results that read them stand."""
-    while _TABLES:
-        discard(spark, _TABLES.pop())
+    """Delete whatever this process has put under the shared folder and not deleted, once all results that read it stand."""
+    while _PATHS:
+        discard(spark, next(iter(_PATHS)))
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a file or folder."""
+    _PATHS.discard(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 

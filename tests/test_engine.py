@@ -367,6 +367,20 @@ def test_odds_and_ends(spark, monkeypatch, tmp_path):
     assert (back.query, back.relevant_doc_ids, back.grades, back.note) == ("bees", ["1"], {"1": 2}, "control: x")
 
 
+def test_clear_leaves_nothing(spark):
+    from plumbline import tables
+    from plumbline.plans import registry
+
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = registry.queries()["S6_ranking_rows"](spark, "/root/testdata/sf0.001")
+    assert found.count() > 0
+    made = set(tables._PATHS)
+    fs = path(next(iter(made))).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert any(fs.exists(path(p)) for p in made)
+    tables.clear(spark)
+    assert not tables._PATHS and not any(fs.exists(path(p)) for p in made)
+
+
 def test_containing(spark):
     from plumbline.operators.matching import containing
 
