@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline import cli
+from plumbline import cli, session
 from plumbline.functions import text as T
 from plumbline.functions import vectors as V
 from plumbline.operators import catalogue as C
@@ -27,6 +27,19 @@ def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id string, doc_id string, score double, rank long")
 
 
+def test_few_splits_are_dealt_out(spark, tmp_path, monkeypatch):
+    for name, n in (("wide", 200_000), ("tiny", 100)):
+        spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    wide, tiny = (session.table(spark, str(tmp_path), name) for name in ("wide", "tiny"))
+    assert wide.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert min(r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()) > 5_000
+    assert wide.agg(F.sum("id")).first()[0] == sum(range(200_000)) and tiny.rdd.getNumPartitions() == 1
+    # a table that is large beside the cores is read as its files are split
+    monkeypatch.setattr(session, "MOST_DEALT", 600 << 10)
+    plain = session.table(spark, str(tmp_path), "wide")
+    assert "Repartition" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_text(spark):
     assert one(spark, T.tokens(F.col("t")), t="The Ship, THAT sank! é2") == ["ship", "sank", "2"]
     assert one(spark, T.sentences(F.col("t")), t="One. Two!  Three") == ["One.", "Two!", "Three"]
