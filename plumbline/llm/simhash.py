@@ -32,9 +32,16 @@ in all rows of a band share a bucket. A pair of similarity J shares one with pro
 so that texts of an equal fingerprint keep their own buckets. A member is compared, by
 its whole text, with three members of each of its buckets: the least and the greatest, in
 one of four orders that the bucket's key picks, and the hub, the one that meets most texts
-over all its buckets. So rows stay linear in a bucket's size, buckets of up to three have
-all their pairs compared, and in larger ones a pair may be linked through others only. A
-link counts if the similarity is reached.
+over all its buckets. So rows stay linear in a bucket's size, and buckets of up to three
+have all their pairs compared. A link counts if the similarity is reached.
+
+What larger buckets leave over is found exactly. If the links so far make one group of a
+bucket, nothing is left there. The texts of all others ("open") are joined by prefixes:
+their shingles are put in one order, rare ones first, and two texts that reach the
+similarity share a shingle among the first fifth or so of each (the lesser text's among a
+ninth, at 0.8). All pairs of open texts that meet there in different groups and have room
+for the similarity by size and place are compared by their whole texts. So every pair that
+shares a bucket is compared, ruled out by a bound, or in one group already.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked
 like any other; every row is a node of its own and repeated rows share a group; a
@@ -47,6 +54,7 @@ in id and text any one stays.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, islice
@@ -67,6 +75,10 @@ WIDTH = 64
 BLOCK = 1 << 15
 #: Shingles whose values under all hash functions are made at once.
 MIN_BLOCK = 256
+#: Bins in which the shingles of open texts are counted; texts' shingles are taken from the rarest bin on.
+BINS = 1 << 20
+#: What rounding may take from a bound.
+SLACK = 1e-6
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -133,6 +145,13 @@ def band_keys(text: str | None, size: int = SIMILAR_WORDS) -> list[int]:
     return [key - (1 << WIDTH) if key >> (WIDTH - 1) else key for key in found]
 
 
+def _hashes(text: str | None, size: int = SIMILAR_WORDS) -> np.ndarray:
+    """The hashes of the text's distinct shingles."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.fromiter((xxh64_intdigest(s, SEED) for s in shingles(text, size)), np.uint64))
+
+
 def jaccard(left: str | None, right: str | None, size: int = SIMILAR_WORDS) -> float:
     a, b = set(shingles(left, size)), set(shingles(right, size))
     return len(a & b) / len(a | b) if a or b else 1.0
@@ -170,8 +189,79 @@ def _similar(similarity: float):
     return run
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """A table of edges (a, b), a > b, of fingerprints whose texts reach the similarity; ``nodes``: (node, fp, least_id, keys)."""
+def _verified(candidates: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
+    """A table of edges (a, b), a > b, of fingerprints; ``candidates``: (node, rep), ``texts``: (node, fp, text)."""
+    left = candidates.join(texts.select("node", F.col("fp").alias("a"), F.col("text").alias("left")), "node")
+    both = left.join(texts.select(F.col("node").alias("rep"), F.col("fp").alias("b"), F.col("text").alias("right")), "rep").where("a <> b")
+    return written(both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct(), name)
+
+
+def _tally(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(BINS, np.int64)
+    for batch in stream:
+        texts = batch.column(0)
+        for i in range(batch.num_rows):
+            np.add.at(sums, (_hashes(texts[i].as_py()) & np.uint64(BINS - 1)).astype(np.int64), 1)
+    found = np.flatnonzero(sums)
+    yield pa.record_batch([pa.array(found), pa.array(sums[found])], schema=pa.schema([("bin", pa.int64()), ("n", pa.int64())]))
+
+
+def prefix_lengths(n: int, similarity: float) -> tuple[int, int]:
+    """Of n shingles in order, how many the first one shared with a text of any size lies in, and with one of n or more shingles."""
+    return n - math.ceil(similarity * n - SLACK) + 1, n - math.ceil(2 * similarity / (1 + similarity) * n - SLACK) + 1
+
+
+PREFIXES = "token long, node long, root long, size long, at long, indexed boolean"
+
+
+def _prefixes(shared, similarity: float):
+    kinds = [pa.int64()] * 5 + [pa.bool_()]
+    schema = pa.schema([(column.split()[0], kind) for column, kind in zip(PREFIXES.split(", "), kinds, strict=True)])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+
+        def rows() -> Iterator[tuple]:
+            for batch in stream:
+                for i in range(batch.num_rows):
+                    node, root, text = (batch.column(c)[i].as_py() for c in range(3))
+                    own = _hashes(text)
+                    own = own[np.lexsort((own, counts[(own & np.uint64(BINS - 1)).astype(np.int64)]))]
+                    probed, indexed = prefix_lengths(len(own), similarity)
+                    for at, token in enumerate(own[:probed].view(np.int64).tolist()):
+                        yield token, node, root, len(own), at, at < indexed
+
+        yield from batches(rows(), schema)
+
+    return run
+
+
+def similar_pairs(opened: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, rep), node > rep, among which are all of different roots that reach the similarity; ``opened``: (node, root, text)."""
+    counts = np.zeros(BINS, np.int64)
+    tallied = opened.select("text").mapInArrow(_tally, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[tallied["bin"].to_numpy()] = tallied["n"].to_numpy()
+    shared = opened.sparkSession.sparkContext.broadcast(counts)
+    tokens = written(opened.select("node", "root", "text").mapInArrow(_prefixes(shared, similarity), PREFIXES), "prefixes")
+    shared.unpersist()
+    # the group with most texts of a token never meets itself, so that the pairs looked at are at most twice those of different groups
+    main = tokens.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "root")).alias("main"))
+    met = written(tokens.join(main.where("kinds > 1").select("token", F.col("main.root").alias("main")), "token"), "met-prefixes")
+    x, y = met.where("root <> main").alias("x"), met.alias("y")
+    size, other, at, other_at = (F.col(c) for c in ("x.size", "y.size", "x.at", "y.at"))
+    # each pair once for a token; the lesser text's shingle is among its first ones; sizes, and shingles from here on, leave room for the similarity
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    first = F.when(size <= other, F.col("x.indexed")).otherwise(F.col("y.indexed"))
+    alike = F.least(size, other) >= similarity * F.greatest(size, other) - SLACK
+    room = F.least(size - at, other - other_at) >= similarity / (1 + similarity) * (size + other) - SLACK
+    both = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & first & alike & room)
+    found = written(both.select(F.greatest("x.node", "y.node").alias("node"), F.least("x.node", "y.node").alias("rep")).distinct(), "similar-pairs")
+    dropped(tokens, met)
+    return found
+
+
+def similar_roots(docs: DataFrame, nodes: DataFrame, near: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) as of ``components``, of the edges ``near`` and those of fingerprints whose texts reach the similarity; ``nodes``: (node, fp, least_id, keys)."""
     # the key's last two bits, put over the node's first ones, pick the order of its bucket
     turn = F.shiftleft(F.col("key"), WIDTH - 2)
     keyed = nodes.select("node", F.explode("keys").alias("key")).withColumn("at", F.col("node").bitwiseXOR(turn))
@@ -184,7 +274,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     hubs = written(hubs.select("key", F.col("hub.node").alias("hub")), "band-hubs")
     met = members.join(hubs, "key").select("node", F.explode(F.array_append("reps", F.col("hub"))).alias("rep")).where("node <> rep")
     candidates = written(met.select(F.greatest("node", "rep").alias("node"), F.least("node", "rep").alias("rep")).distinct(), "candidates")
-    dropped(crowded, members, hubs)
+    dropped(crowded, hubs)
     wanted = candidates.select("node").union(candidates.select("rep")).distinct()
     wanted = written(nodes.select("node", "fp", "least_id").join(wanted, "node"), "wanted")
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).withColumn("own_node", F.xxhash64("text"))
@@ -192,12 +282,23 @@ def similar_links(docs: DataFrame, nodes: DataFrame, similarity: float, id_col:
     same = F.col("own_id").eqNullSafe(F.col("least_id")) & (F.col("own_node") == F.col("node"))
     texts = own.join(wanted.hint("shuffle_hash"), same).select("least_id", "node", "fp", "text").dropDuplicates(["least_id", "node"])
     texts = written(texts.select("node", "fp", "text"), "wanted-texts")
-    dropped(wanted)
-    left = candidates.join(texts.select("node", F.col("fp").alias("a"), F.col("text").alias("left")), "node")
-    both = left.join(texts.select(F.col("node").alias("rep"), F.col("fp").alias("b"), F.col("text").alias("right")), "rep").where("a <> b")
-    found = written(both.select("a", "b", "left", "right").mapInArrow(_similar(similarity), "a long, b long").distinct(), "similar")
-    dropped(candidates, texts)
-    return found
+    similar = _verified(candidates, texts, similarity, "similar")
+    roots = components(near.unionAll(similar).distinct())
+    # larger buckets that are still of several groups: every pair of their texts in different groups that can reach the similarity
+    rooted = wanted.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    rooted = written(rooted, "rooted-texts")
+    large = written(members.where("n > 3").select("node", "key").join(rooted, "node"), "large-bands")
+    several = large.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    opened = written(large.join(several, "key").select("node", "root").distinct(), "open-texts")
+    dropped(wanted, members, similar, rooted, large)
+    if not opened.isEmpty():
+        pairs = similar_pairs(texts.join(opened, "node"), similarity)
+        more = _verified(pairs.join(candidates, ["node", "rep"], "left_anti"), texts, similarity, "more-similar")
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more))
+        dropped(pairs, more)
+    dropped(candidates, texts, opened)
+    return roots
 
 
 def _printer(size: int, id_type: pa.DataType):
@@ -303,9 +404,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     else:
         nodes = written(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id"), F.max("keys").alias("keys")), "distinct-texts")
         distinct = written(nodes.groupBy("fp").agg(F.min("least_id").alias("least_id")), "distinct-fingerprints")
-        similar = similar_links(docs, nodes, similarity, id_col, text_col)
-        roots = components(links(distinct.select("fp"), radius).unionAll(similar).distinct())
-        dropped(nodes, similar)
+        roots = similar_roots(docs, nodes, links(distinct.select("fp"), radius), similarity, id_col, text_col)
+        dropped(nodes)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     named = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named-roots")

@@ -232,3 +232,33 @@ def test_recall_on_the_documents(spark):
     for r, g in zip(rows, want):
         least[g] = min(least.get(g, r.doc_id), r.doc_id)
     assert found == {r.doc_id: least[g] for r, g in zip(rows, want)}
+
+
+def test_prefixes_hold_a_shared_shingle():
+    """Of sets that reach the similarity, the first shared member lies in the lesser one's shorter and the other's longer prefix."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        both, left, right = rng.randrange(1, 90), rng.randrange(12), rng.randrange(12)
+        similarity = rng.choice([0.5, 0.8, both / (both + left + right)])
+        if both / (both + left + right) < similarity:
+            continue
+        members = rng.sample(range(1000), both + left + right)
+        a, b = sorted(([*members[:both], *members[both : both + left]], [*members[:both], *members[both + left :]]), key=len)
+        first = min(set(a) & set(b))
+        assert sorted(a).index(first) < simhash.prefix_lengths(len(a), similarity)[1]
+        assert sorted(b).index(first) < simhash.prefix_lengths(len(b), similarity)[0]
+
+
+def test_every_link_in_large_buckets_of_many_groups(spark):
+    """Pages of one template: all share a long core, which fills large buckets, and only pairs of them reach the similarity."""
+    rng = random.Random(17)
+    core = ["core%d" % i for i in range(84)]
+    texts = []
+    for pair in range(150):
+        for own in range(2):
+            texts.append(" ".join([*core, f"p{pair}", f"q{pair}", *("own%d" % rng.randrange(10**9) for _ in range(9))]))
+    rng.shuffle(texts)
+    assert 0.8 < simhash.jaccard(texts[0], next(t for t in texts[1:] if t.split()[84] == texts[0].split()[84])) < 0.83
+    want = brute_components(texts, 0.8)
+    found = {r.doc_id: r.component_id for r in simhash.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similarity=0.8).collect()}
+    assert len(set(want)) > 100 and [found[i] for i in range(300)] == want
