@@ -14,9 +14,12 @@ sorted hash array, each with an entry for every language that has seen it, so th
 model grows with the 4-grams that languages really have; a language that has not
 seen one backs off through dense tables of contexts and 3-grams, 2 MB a language.
 
-The language of the least length-normalised cross-entropy is chosen. A sample of at
-most ``calibration_rows`` labelled training rows, those of the least hashes of id and
-text, fits the temperature of the score and each language's rejection threshold.
+The language of the least length-normalised cross-entropy is chosen. All labelled
+training rows fit the temperature of the score and each language's rejection threshold:
+losses are summed as whole numbers and quantiles are exact, found by counts of ever
+longer prefixes of the values, so that no rows are collected and any order of them gives
+the same model. Only who asks for ``calibration_rows`` gets a sample of so many rows,
+those of the least hashes of id and text.
 
 Defined results: null texts and texts without a letter are ``und``, score 0,
 rejected; ties go to the language first in sorting order; repeated rows are
@@ -35,12 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, kept, pairs
+from plumbline.llm.common import batches, dropped, kept, pairs, written
 
 BITS, ORDER = 6, 4
 SYMBOLS = 1 << BITS
 LOW = (1 << BITS * (ORDER - 1)) - 1
 UNKNOWN = "und"
+#: Temperatures that are tried, and the unit in which losses are summed.
+TEMPERATURES = [2.0**-k for k in range(8)]
+LOSS_UNIT = 1 << 24
+#: Bits below the prefixes by which a quantile is found, one after the other.
+SHIFTS = (52, 40, 28, 16, 4, 0)
 #: Codes that a task gathers before it counts them.
 BUFFER = 4 << 20
 #: Codes that are scored at once.
@@ -252,6 +260,17 @@ def measurer(shared):
     return run
 
 
+def _losses(bits: np.ndarray, lengths: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log loss of every row (of bits a symbol under each language) at each temperature."""
+    b = (bits - bits.min(1)[:, None]) * np.minimum(lengths, CONFIDENT)[:, None] * math.log(2)
+    return np.array([np.log(np.exp(-b * t).sum(1)) + (b * t)[np.arange(len(own)), own] for t in TEMPERATURES])
+
+
+def _set(model: Model, losses: list, everywhere: float, each: list[float | None], slack: float) -> None:
+    model.temperature = TEMPERATURES[min(range(len(TEMPERATURES)), key=lambda k: losses[k])]
+    model.thresholds = np.array([everywhere if x is None else max(x, everywhere) for x in each]) + slack
+
+
 def calibrate(model: Model, rows: list[tuple[str, int, list[float]]], quantile: float = 0.999, slack: float = 0.5) -> None:
     """Fit the temperature by log loss, and each language's threshold as a high quantile plus ``slack`` bits.
 
@@ -260,20 +279,88 @@ def calibrate(model: Model, rows: list[tuple[str, int, list[float]]], quantile:
     if not rows:
         return
     langs, lengths, bits = zip(*rows, strict=True)
-    b, m, t = np.array(bits), np.minimum(lengths, CONFIDENT)[:, None], np.array([model.langs.index(x) for x in langs])
+    b, t = np.array(bits), np.array([model.langs.index(x) for x in langs])
     best = b.min(1)
-    losses = []
-    grid = [2.0**-k for k in range(8)]
-    for temperature in grid:
-        z = -(b - best[:, None]) * m * temperature * math.log(2)
-        losses.append(float((np.log(np.exp(z).sum(1)) - z[np.arange(len(t)), t]).mean()))
-    model.temperature = grid[int(np.argmin(losses))]
-    everywhere = np.quantile(best, quantile)
-    model.thresholds = np.array([max(np.quantile(best[t == i], quantile), everywhere) if (t == i).any() else everywhere for i in range(len(model.langs))]) + slack
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = 2000) -> Model:
-    """Count all rows that have a language and calibrate on at most ``calibration_rows`` of them."""
+    each = [np.quantile(best[t == i], quantile) if (t == i).any() else None for i in range(len(model.langs))]
+    _set(model, _losses(b, np.array(lengths), t).mean(1).tolist(), np.quantile(best, quantile), each, slack)
+
+
+def _ordered(value: float) -> int:
+    """A signed 64-bit number in the order of the values; its own inverse but for the type."""
+    bits = int(np.float64(value).view(np.int64))
+    return bits ^ (0x7FFFFFFFFFFFFFFF if bits < 0 else 0)
+
+
+def _value(key: int) -> float:
+    return float(np.int64(key ^ (0x7FFFFFFFFFFFFFFF if key < 0 else 0)).view(np.float64))
+
+
+SURVEYED = "lang string, key long, losses array<long>"
+
+
+def surveyor(shared):
+    """Of rows (language, text), the least bits a symbol as a key in order; one row more a batch has its losses' sums."""
+    schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("losses", pa.list_(pa.int64()))])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = {lang: at for at, lang in enumerate(model.langs)}
+
+        def rows() -> Iterator[tuple]:
+            for batch in stream:
+                sums = np.zeros(len(TEMPERATURES), np.int64)
+                for lang, text in pairs(iter([batch])):
+                    own = codes(text or "")
+                    if len(own):
+                        bits = model.entropies(own)
+                        sums += np.rint(_losses(bits[None], np.array([len(own)]), np.array([place[lang]]))[:, 0] * LOSS_UNIT).astype(np.int64)
+                        yield lang, _ordered(bits.min()), None
+                yield None, None, sums.tolist()
+
+        yield from batches(rows(), schema)
+
+    return run
+
+
+def quantiles(values: DataFrame, quantile: float) -> dict[str | None, float]:
+    """The exact quantile of the keys of each language, and of all under None; ``values``: (lang, key)."""
+    both = values.select(F.explode(F.array("lang", F.lit(None).cast("string"))).alias("lang"), "key")
+    sizes = {r.lang: r.n for r in both.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    spots = {lang: quantile * (n - 1) for lang, n in sizes.items()}
+    # of each wanted value, the prefix so far and its rank among the values that have it
+    wanted = {(lang, side): (0, min(math.floor(at) + side, sizes[lang] - 1)) for lang, at in spots.items() for side in (0, 1)}
+    last = None
+    for shift in SHIFTS if wanted else ():
+        inside = both.withColumn("prefix", F.lit(0).cast("long") if last is None else F.shiftright("key", last))
+        asked = values.sparkSession.createDataFrame(sorted({(lang, w[0]) for (lang, _), w in wanted.items()}, key=repr), "own string, at long")
+        inside = inside.join(F.broadcast(asked), F.col("lang").eqNullSafe(F.col("own")) & (F.col("prefix") == F.col("at")))
+        bins: dict[tuple, list] = {}
+        for r in inside.groupBy("lang", "prefix", F.shiftright("key", shift).alias("bin")).agg(F.count("*").alias("n")).collect():
+            bins.setdefault((r.lang, r.prefix), []).append((r.bin, r.n))
+        for (lang, side), (prefix, rank) in wanted.items():
+            for bin, n in sorted(bins[lang, prefix]):
+                if rank < n:
+                    wanted[lang, side] = bin, rank
+                    break
+                rank -= n
+        last = shift
+    return {lang: float(np.quantile([_value(wanted[lang, side][0]) for side in (0, 1)], at - math.floor(at))) for lang, at in spots.items()}
+
+
+def calibrate_whole(model: Model, labelled: DataFrame, quantile: float = 0.999, slack: float = 0.5) -> None:
+    """As ``calibrate``, over all rows (language, text) of a table, of which none is collected."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    surveyed = written(labelled.mapInArrow(surveyor(shared), SURVEYED), "surveyed")
+    shared.unpersist()
+    found = quantiles(surveyed.where("lang is not null").select("lang", "key"), quantile)
+    if found:
+        sums = surveyed.where("lang is null").select(F.posexplode("losses").alias("at", "loss")).groupBy("at").agg(F.sum(F.col("loss").cast("decimal(38,0)")).alias("loss"))
+        _set(model, [r.loss for r in sums.orderBy("at").collect()], found[None], [found.get(lang) for lang in model.langs], slack)
+    dropped(surveyed)
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int | None = None) -> Model:
+    """Count all rows that have a language and calibrate on all of them, or on at most ``calibration_rows`` if that is given."""
     labelled = docs.where(F.col(lang_col).isNotNull())
     counted = labelled.select(lang_col, text_col).mapInArrow(_count, COUNTS).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     table = counted.toArrow()
@@ -285,6 +372,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         own = own[np.argsort(keys[own])]
         counts[lang] = keys[own], n[own]
     model = build(counts)
+    if calibration_rows is None:
+        calibrate_whole(model, labelled.select(lang_col, text_col))
+        return model
     # the least hashes of id, then of text: rows that are equal in both are alike, so the limit is strict
     h, t = F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.xxhash64(text_col, lang_col).alias("t")
     order = F.struct(h, t)

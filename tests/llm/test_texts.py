@@ -209,6 +209,29 @@ def test_language_ties_and_repeated_ids(spark):
     assert taken == [25]
 
 
+def test_language_calibration_takes_every_row(spark):
+    rng = random.Random(31)
+    words = {"a": ["tok", "ratu", "memi", "sol"], "b": ["wen", "dirk", "sol", "xaq"], "c": ["mur", "tok"]}
+    rows = []
+    for i in range(3000):
+        lang = "c" if i % 1000 == 7 else rng.choice("ab")
+        text = " ".join(rng.choices(words[lang], k=rng.randint(1, 12)))
+        # every 90th row is unlike its language, so that the quantiles depend on which rows are seen
+        rows.append((i, "".join(rng.choices("bcdfghjklm", k=40)) if i % 90 == 3 else text, lang))
+    rows += [(3000, None, "a"), (3001, "12", "b"), (3002, "tok", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5))
+    own = [(lang, len(langid.codes(t or "")), model.entropies(langid.codes(t)).tolist()) for _, t, lang in rows if lang and len(langid.codes(t or ""))]
+    assert len(own) == 3000
+    temperature, thresholds = model.temperature, model.thresholds.copy()
+    langid.calibrate(model, own)
+    assert temperature == model.temperature and np.allclose(thresholds, model.thresholds, atol=1e-12)
+    values = [-1.5, -0.0, 0.0, 1e-9, 0.25, 0.25, 3.0, 7.5]
+    table = spark.createDataFrame([(lang, langid._ordered(v)) for lang, part in (("a", values), ("b", values[:3])) for v in part], "lang string, key long")
+    for q in (0.0, 0.3, 0.5, 0.999, 1.0):
+        found = langid.quantiles(table, q)
+        assert found == pytest.approx({"a": np.quantile(values, q), "b": np.quantile(values[:3], q), None: np.quantile(values + values[:3], q)})
+
+
 def test_language_cases(spark):
     train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog ran home", "en"), ("der hund und die katze laufen", "de")] * 30 + [("no label", None)])], "doc_id long, text string, lang string")
     model = langid.train(train)
