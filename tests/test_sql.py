@@ -1,8 +1,11 @@
 """Queries on small odd tables, against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
+from plumbline.operators import ranking as R
 from plumbline.plans import registry
 
 ODD = ["", " ", "\n\nAlpha beta  gamma delta", "one two ", "tab\tend\x0bof line", "İstanbul ΟΔΟΣ ΣΑΣ", None, "plain words that are longer than the eight that a title takes"]
@@ -28,3 +31,60 @@ def both(spark, folder, name, **tables):
 def test_odd_titles(spark, tmp_path, name):
     found, want = both(spark, tmp_path, name, documents=documents(spark, ODD))
     assert found == want
+
+
+def most_rows(df) -> int:
+    """The most rows that a step of the plan put out."""
+    df.collect()
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+def names(spark, n):
+    """Parts of two names, each of which has a supplier of three names."""
+    part = spark.range(n).selectExpr("id AS p_partkey", "CASE WHEN id % 7 < 4 THEN 'red bolt' ELSE 'hot ring' END AS p_name")
+    return part, spark.range(n).selectExpr("id AS s_suppkey", "concat('Supplier#', id % 3) AS s_name")
+
+
+def test_exact_matches_of_rules(spark):
+    rng = random.Random(3)
+    some = lambda low, high, words="abc": " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
+    cat = [(f"d{i}", some(0, 5), some(0, 2), rng.randrange(9)) for i in range(80)]
+    cat.append(cat[5])
+    cat += [(f"e{i}", "x" + some(2, 3) + "x", "", 0) for i in range(9)]
+    asked = [(f"q{i}", some(0, 6)) for i in range(40)] + [("none", None)]
+
+    def rule(query, title, author):
+        q, t, a = query.split(), " ".join(title.split()), " ".join(author.split())
+        if t and t == " ".join(q):
+            return 1
+        if a and f" {a} " in f" {' '.join(q)} ":
+            return 2
+        if t and any(" ".join(q[i : i + 3]) in t for i in range(len(q) - 2)):
+            return 3
+
+    words = lambda s: "".join(c if c != "a" else "k" for c in s)  # noqa: E731 (a is a stopword)
+    cat, asked = [(d, words(t), words(a), p) for d, t, a, p in cat], [(q, s and words(s)) for q, s in asked]
+    want = {(q, d, rule(s, t, a)) for q, s in asked if s for d, t, a, _ in cat if rule(s, t, a)}
+    queries = spark.createDataFrame(asked, "query_id string, query string")
+    plain = spark.createDataFrame(cat, "doc_id string, title string, author string, pos int")
+    hits = spark.createDataFrame([(q, f"d{d}", 1.0, r) for q, _ in asked for r, d in enumerate(rng.sample(range(90), 6), 1)], "query_id string, doc_id string, score double, rank long")
+    pairs = lambda df: {(r.query_id, r.doc_id, r.reason_order) for r in df.collect()}
+    for catalogue, limit in ((plain, 3), (plain.drop("pos"), 1)):
+        every = R.exact_matches(queries, catalogue)
+        assert pairs(every) == want and {r for _, _, r in want} == {1, 2, 3}
+        ids = {(r.query_id, r.doc_id) for r in hits.collect()}
+        assert pairs(R.exact_within(hits, queries, catalogue)) == {x for x in want if x[:2] in ids}
+        rows = [sorted(map(tuple, R.promote(hits, m, limit).collect()), key=str) for m in (every.distinct(), R.exact_promoted(hits, queries, catalogue, limit))]
+        assert rows[0] == rows[1]
