@@ -57,6 +57,15 @@ def names(spark, n):
     return part, spark.range(n).selectExpr("id AS s_suppkey", "concat('Supplier#', id % 3) AS s_name")
 
 
+@pytest.mark.parametrize("name", ["E29_name_lookups"])
+def test_promotion_meets_no_pairs(spark, tmp_path, name):
+    part, supplier = names(spark, 400)
+    found, want = both(spark, tmp_path, name, part=part, supplier=supplier)
+    assert found == want
+    # about 200 * 200 + 200 * 133 pairs match
+    assert most_rows(registry.queries()[name](spark, str(tmp_path))) < 20_000
+
+
 def test_exact_matches_of_rules(spark):
     rng = random.Random(3)
     some = lambda low, high, words="abc": " ".join(rng.choice(words) for _ in range(rng.randint(low, high)))
