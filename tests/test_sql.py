@@ -57,7 +57,7 @@ def names(spark, n):
     return part, spark.range(n).selectExpr("id AS s_suppkey", "concat('Supplier#', id % 3) AS s_name")
 
 
-@pytest.mark.parametrize("name", ["E29_name_lookups", "R9_promote"])
+@pytest.mark.parametrize("name", ["E29_name_lookups", "R9_promote", "R13_promote_within"])
 def test_promotion_meets_no_pairs(spark, tmp_path, name):
     part, supplier = names(spark, 400)
     found, want = both(spark, tmp_path, name, part=part, supplier=supplier)
