@@ -97,3 +97,43 @@ def test_exact_matches_of_rules(spark):
         assert pairs(R.exact_within(hits, queries, catalogue)) == {x for x in want if x[:2] in ids}
         rows = [sorted(map(tuple, R.promote(hits, m, limit).collect()), key=str) for m in (every.distinct(), R.exact_promoted(hits, queries, catalogue, limit))]
         assert rows[0] == rows[1]
+
+
+def texts(spark, n, words=("sail", "rope", "mast", "deck", "hull", "keel")):
+    rng = random.Random(n)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))), ("en", "de", "fr")[i % 3], f"src{i % 4}", 10 + i % 17) for i in range(n)]
+    # equal texts have equal scores, so that ids decide
+    rows += [(n + i, "sail rope " * 9, "en", "src0", 12) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def passages(spark, n):
+    rng = random.Random(7)
+    words = ("sail", "rope", "mast", "deck", "hull", "keel", "the", "unheard")
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, ""), (n + 1, None)], "item_id long, text string")
+
+
+def labels(spark, n):
+    return spark.createDataFrame([(i, i % 2, i % 5 == 0) for i in range(0, n, 2)], "doc_id long, quality int, toxic boolean").selectExpr("doc_id", "quality", "CAST(toxic AS INT) AS toxic")
+
+
+def test_lanes_hand_on_no_pairs(spark, monkeypatch):
+    docs = texts(spark, 600).selectExpr("CAST(doc_id AS STRING) AS doc_id", "substr(text, 1, 30) AS title", "text").repartition(2)
+    asked = passages(spark, 30).selectExpr("CAST(item_id AS STRING) AS query_id", "text AS query")
+    index = R.indexed(docs, R.query_terms(asked))
+    make = lambda: R.lanes(asked, index, {"bm25": 1.0, "tf": None, "title": 5.0}, 5)
+    # about 600 * 30 pairs share a term; a task hands on 5 * 30 in each lane
+    assert most_rows(make()) < 3_000
+    once = sorted(map(tuple, make().collect()))
+    assert len(once) == 3 * 5 * len({r[1] for r in once})
+    # more passes, smaller matrices: the same
+    monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "CELLS", 1)
+    assert sorted(map(tuple, make().collect())) == once
+
+
+@pytest.mark.parametrize("name", ["P1_pool"])
+def test_lanes_as_in_sql(spark, tmp_path, name):
+    found, want = both(spark, tmp_path, name, documents=texts(spark, 300), benchmark=passages(spark, 20), labels=labels(spark, 300))
+    assert found == want
