@@ -133,7 +133,7 @@ def test_lanes_hand_on_no_pairs(spark, monkeypatch):
     assert sorted(map(tuple, make().collect())) == once
 
 
-@pytest.mark.parametrize("name", ["P1_pool", "U2_catalogue_search", "R22_router", "R10_pool_filter_cut_page", "P14_filter_before_after", "E13_arm_measures", "S6_ranking_rows", "E11_break_eval", "E12_rank_bands", "E18_threshold_sweep", "E6_score_rankings", "R12_permutation_guard", "E10_best_strategy", "E26_loo_cv", "E24_rrf_contribution"])
+@pytest.mark.parametrize("name", ["P1_pool", "U2_catalogue_search", "R22_router", "R10_pool_filter_cut_page", "P14_filter_before_after", "E13_arm_measures", "S6_ranking_rows", "E11_break_eval", "E12_rank_bands", "E18_threshold_sweep", "E6_score_rankings", "R12_permutation_guard", "E10_best_strategy", "E26_loo_cv", "E24_rrf_contribution", "E1_recall"])
 def test_lanes_as_in_sql(spark, tmp_path, name):
     found, want = both(spark, tmp_path, name, documents=texts(spark, 300), benchmark=passages(spark, 20), labels=labels(spark, 300))
     assert found == want
