@@ -43,7 +43,7 @@ class Searcher:
         self.spark, self.root = spark, root
         self.provider = provider or (lambda: providers.HashProvider(dims))
         self.model_id = self.provider().model_id
-        self._terms: tuple[int, DataFrame] | None = None
+        self._terms: tuple[int, DataFrame, DataFrame] | None = None
 
     def chunks(self) -> DataFrame:
         return index.load(self.spark, self.root)
@@ -51,14 +51,20 @@ class Searcher:
     def stats(self) -> DataFrame:
         return index.stats(self.chunks())
 
-    def terms(self) -> DataFrame:
-        """The postings of the index's current version."""
+    def postings(self) -> DataFrame:
+        """The postings of the index's current version, a row for each chunk."""
         version = (index.versions(self.spark, self.root) or [0])[-1]
         if self._terms is None or self._terms[0] != version:
             self.close()
-            self._terms = version, R.indexed(self.chunks().select(F.col("chunk_id").alias("doc_id"), "title", "text"))
+            made = R.indexed(self.chunks().select(F.col("chunk_id").alias("doc_id"), "title", "text"))
+            self._terms = version, made, R.by_term(made)
         return self._terms[1]
 
+    def terms(self) -> DataFrame:
+        """The postings, a row for each term of a chunk."""
+        self.postings()
+        return self._terms[2]
+
     def close(self) -> None:
         if self._terms is not None:
             dropped(self._terms[1])
@@ -70,7 +76,7 @@ class Searcher:
         depth = top_k * 4 if mode == "hybrid" else top_k
         lanes = []
         if mode != "semantic":
-            lanes.append(R.bm25(queries, rows, depth, index=self.terms()))
+            lanes.append(R.bm25(queries, rows, depth, index=self.postings()))
         if mode != "keyword":
             index.guard(rows, self.model_id)
             asked = providers.embed(queries.select("query_id", F.col("query").alias("embed_text")), self.provider)
